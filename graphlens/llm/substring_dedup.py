@@ -8,7 +8,7 @@ anchor whose 15 words (35 - 21 + 1) lie inside both. The steps:
 1. documents are dealt into blocks of bounded size; each block hashes its anchors,
    keeps each hash once, and notes those it holds twice (pre-aggregation);
 2. hashes held by two blocks, or twice by one, go back to the blocks that hold them;
-3. windows around such an anchor are extended to their 35 words (128-bit hash), counted
+3. windows around such an anchor are extended to their 35 words (96-bit hash), counted
    by block in the same way, and those that occur again go back to the blocks;
 4. the words covered by them are removed.
 
@@ -105,7 +105,7 @@ def _once(h: np.ndarray, h2: np.ndarray | None, block: int) -> pa.RecordBatch |
         new[1:] |= h2[1:] != h2[:-1]
     at = np.flatnonzero(new)
     many = np.diff(np.append(at, len(h))) > 1
-    cols = {"h": h[at].view(np.int64)} | ({} if h2 is None else {"h2": h2[at].view(np.int64)})
+    cols = {"h": h[at].view(np.int64)} | ({} if h2 is None else {"h2": h2[at].view(np.int32)})
     return pa.table(cols | {"block": np.full(len(at), block, np.int32), "many": many})
 
 
@@ -145,12 +145,12 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _windows(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return window_hashes(words, WINDOW, 2)[at], window_hashes(words, WINDOW, 3)[at]
+    return window_hashes(words, WINDOW, 2)[at], (window_hashes(words, WINDOW, 3)[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def _window_rows(docs: pa.Table, shared: pa.Table) -> pa.Table:
     known = np.sort(shared["h"].to_numpy().view(np.uint64))
-    first, second, block = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], docs["block"][0].as_py() if len(docs) else 0
+    first, second, block = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], docs["block"][0].as_py() if len(docs) else 0
     for text in _bytes(docs["text"]):
         words = word_hashes(text)
         a, b = _windows(words, _candidates(words, known))
@@ -160,7 +160,7 @@ def _window_rows(docs: pa.Table, shared: pa.Table) -> pa.Table:
 
 
 def _kept_rows(docs: pa.Table, again: pa.Table) -> pa.Table:
-    h, h2 = again["h"].to_numpy().view(np.uint64), again["h2"].to_numpy().view(np.uint64)
+    h, h2 = again["h"].to_numpy().view(np.uint64), again["h2"].to_numpy().view(np.uint32)
     order = np.lexsort((h2, h))
     h, h2 = h[order], h2[order]
     out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": []}
@@ -229,11 +229,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spread = F.pmod(F.xxhash64(docs[id_col], F.crc32(docs[text_col].cast("binary"))), F.lit(blocks)).cast("int")
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), spread.alias("block")).repartition(blocks, "block")
 
-    def shared(found: DataFrame, keys: list[str]) -> DataFrame:
-        schema = ", ".join(f"{k} long" for k in keys) + ", block int"
-        return found.repartition("h").sortWithinPartitions(*keys, "block").mapInArrow(_repeated(keys), schema)
+    def shared(found: DataFrame, keys: dict[str, str]) -> DataFrame:
+        schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", block int"
+        return found.repartition("h").sortWithinPartitions(*keys, "block").mapInArrow(_repeated([*keys]), schema)
 
-    anchors = shared(rows.mapInArrow(_anchor_rows, "h long, block int, many boolean"), ["h"])
-    windows = rows.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_window_rows, "h long, h2 long, block int, many boolean")
-    again = shared(windows, ["h", "h2"])
+    anchors = shared(rows.mapInArrow(_anchor_rows, "h long, block int, many boolean"), {"h": "long"})
+    windows = rows.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_window_rows, "h long, h2 int, block int, many boolean")
+    again = shared(windows, {"h": "long", "h2": "int"})
     return rows.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_text binary")
