@@ -16,19 +16,20 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces of each of two generations that a worker remembers.
-REMEMBERED = 150_000
+#: Words of each of two generations that a worker remembers.
+REMEMBERED = 300_000
 _NEVER = 1 << 60
 
 
@@ -50,6 +51,76 @@ class Recent(dict):
         return value
 
 
+class Parts:
+    """Encodes a batch of texts between their single spaces: each different part once.
+
+    A space before a character that is not white space always starts a pre-token, so a text
+    without white space after a space is its first part and parts with a space before
+    them. A part of letters and final punctuation is two pre-tokens, so only its word is
+    encoded, and words met lately are remembered. Texts of other forms are encoded whole.
+    """
+
+    #: Marks that may follow a word; all are neither letters, digits nor white space.
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, whole, many, tail, special: list[str]):
+        """whole(text); many(parts) of parts that follow a space; tail(marks) of marks after a word."""
+        self.whole, self.many = whole, many
+        self.tail, self.first = Recent(tail, 20_000), Recent(whole, 20_000)
+        self.odd = "|".join([r" [ \t\n\r\v\f]", " $", *map(re.escape, special)])
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def word(self, part: str) -> str | None:
+        word = part.rstrip(self.MARKS)
+        return word if word.isalpha() and (word.isascii() or max(word) < "\u0250") else None
+
+    def resolve(self, parts: list[str]) -> list[bytes | None]:
+        """The encodings of different parts; None for those that begin with white space or are empty."""
+        new, old = self.new, self.old
+        marks = self.MARKS
+        words = [w if w.isascii() and w.isalpha() else self.word(p) or p for p, w in zip(parts, [p.rstrip(marks) for p in parts], strict=True)]
+        ask = {w: None for w in words if w not in new and w not in old and w and not w[0].isspace()}
+        made = dict(zip(ask, self.many([*ask]), strict=True)) if ask else {}
+        out: list[bytes | None] = []
+        for part, word in zip(parts, words, strict=True):
+            got = made.get(word)
+            if got is None:
+                got = new.get(word)
+                if got is None:
+                    got = old.get(word)
+                    if got is None:
+                        out.append(None)
+                        continue
+                    new[word] = got
+            out.append(got if word is part or len(word) == len(part) else got + self.tail[part[len(word) :]])
+        new.update(made)
+        if len(new) > REMEMBERED:
+            self.old, self.new = new, {}
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, self.odd).to_pylist()
+        split = pc.split_pattern(texts, " ")
+        coded = split.values.dictionary_encode()
+        known = self.resolve(coded.dictionary.to_pylist())
+        codes, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        if None in known:
+            lost = np.isin(codes, [k for k, v in enumerate(known) if v is None])
+            lost[ends[:-1][ends[:-1] < ends[1:]]] = False  # a first part may be empty
+            odd = [o or bool(lost[a:b].any()) for o, a, b in zip(odd, ends, ends[1:], strict=False)]
+        out = []
+        for k, whole in enumerate(odd):
+            text_codes = codes[ends[k] : ends[k + 1]].tolist()
+            if whole or not text_codes:
+                out.append(self.whole(texts[k].as_py()))
+            else:
+                head = coded.dictionary[text_codes[0]].as_py()
+                out.append(b"".join([self.first[head], *[known[c] for c in text_codes[1:]]]))
+        return out
+
+
 def byte_characters() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte: itself if printable Latin-1, else the next from U+0100."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -79,14 +150,13 @@ class Encoder:
         self.match.make_automaton()
         self.special = sorted(((t["content"], t["id"]) for t in spec["added_tokens"]), key=lambda t: -len(t[0]))
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.apart = Recent(self._apart, 4 * REMEMBERED)
-        self.piece = Recent(self._encode_piece)
-        self.inner = Recent(lambda part: self._encode_part(" " + part))
-        self.first = Recent(self._encode_part)
+        self.apart = Recent(self._apart, REMEMBERED)
+        self.written = {b: c for b, c in byte_characters().items() if chr(b) != c}
+        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special])
 
-    def _apart(self, both: tuple[int, int]) -> bool:
+    def _apart(self, both: int) -> bool:
         """Whether two neighbours stay two tokens: undo their merges from the last to the first and look for a merge across the seam that would have come before the one undone."""
-        x, y = both
+        x, y = both >> 32, both & 0xFFFFFFFF
         born, bound = self.born, _NEVER
         while True:
             if self.pair.get((x, y), _NEVER) < bound:
@@ -105,7 +175,7 @@ class Encoder:
         for end, (token, length) in self.match.iter(piece):
             end += 1
             start = end - length
-            if last[end] < 0 and (start == 0 or (last[start] >= 0 and apart[last[start], token])):
+            if last[end] < 0 and (start == 0 or (last[start] >= 0 and apart[last[start] << 32 | token])):
                 last[end], back[end] = token, start
         ids = []
         while n:
@@ -114,17 +184,15 @@ class Encoder:
         return np.array(ids[::-1], "<u4").tobytes()
 
     def _encode_part(self, part: str) -> bytes:
-        return b"".join([self.piece[p] for p, _ in self.cut(part)])
+        return b"".join([self._encode_piece(p) for p, _ in self.cut(part)])
 
-    def _encode_plain(self, text: str) -> bytes:
-        """A space between two characters that are not white space always starts a pre-token, so such texts are looked up between spaces; others are cut whole."""
-        parts = text.split(" ")
-        if any(p == "" or p[0].isspace() for p in parts[1:]):
-            return self._encode_part(text)
-        return self.first[parts[0]] + b"".join([*map(self.inner.__getitem__, parts[1:])])
+    def _encode_inner(self, part: str) -> bytes:
+        """A part that follows a space; a word of letters is one pre-token."""
+        if self.parts.word(part) == part:
+            return self._encode_piece((" " + part).encode().decode("latin-1").translate(self.written))
+        return self._encode_part(" " + part)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
+    def _encode_whole(self, text: str) -> bytes:
         todo: list = [text]
         for content, k in self.special:
             if content in text:
@@ -136,7 +204,11 @@ class Encoder:
                     else:
                         cut.append(t)
                 todo = cut
-        return b"".join(self._encode_plain(t) if isinstance(t, str) else t.to_bytes(4, "little") for t in todo)
+        return b"".join(self._encode_part(t) if isinstance(t, str) else t.to_bytes(4, "little") for t in todo)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts as little-endian unsigned 32-bit integers."""
+        return self.parts.encode(texts)
 
 
 class Decoder:
@@ -175,7 +247,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
-            ids = [e.encode(t.as_py() or "") for t in batch.column(1)]
+            ids = e.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -194,6 +266,3 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     return encoded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded string")
 
-
-def encode_stage(docs: DataFrame) -> DataFrame:
-    return bpe_encode(docs).withColumn("ids_sha256", F.sha2("ids", 256))

@@ -24,7 +24,6 @@ from __future__ import annotations
 import functools
 import os
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import TOKENIZER, Recent
+from .bpe import TOKENIZER, Parts, byte_characters
 from .common import BROADCAST_ROWS, new_folder, split_uri
 
 END_ID = 2
@@ -46,7 +45,7 @@ LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a memory of the parts between spaces (a single space before a character always starts a pre-token)."""
+    """The tokenizers library behind a memory of the parts between spaces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,34 +54,32 @@ class LibraryEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.inner = Recent(lambda part: self.raw(" " + part))
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        space = byte_characters()[32]
+        self.opens[[k for t, k in vocab.items() if t.startswith(space)]] = True
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.parts = Parts(self.raw, self.many, lambda marks: self.raw(marks) if marks else b"", special)
+        self.size = len(self.opens)
 
     def raw(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def parts(self, text: str) -> list[str] | None:
-        """First part and the others, or None if the text must be encoded whole."""
-        parts = text.split(" ")
-        if any(s in text for s in self.special) or any(p == "" or p[0].isspace() for p in parts[1:]):
-            return None
-        return parts
-
-    def encode(self, text: str) -> bytes:
-        parts = self.parts(text)
-        return self.raw(text) if parts is None else self.raw(parts[0]) + b"".join([*map(self.inner.__getitem__, parts[1:])])
-
-    def count(self, texts: list[str], into: np.ndarray) -> None:
-        seen: Counter = Counter()
-        for text in texts:
-            parts = self.parts(text)
-            if parts is None:
-                np.add.at(into, np.frombuffer(self.raw(text), "<u4"), 1)
-            else:
-                np.add.at(into, np.frombuffer(self.raw(parts[0]), "<u4"), 1)
-                seen.update(parts[1:])
-        for part, n in seen.items():
-            np.add.at(into, np.frombuffer(self.inner[part], "<u4"), n)
+    def many(self, parts: list[str]) -> list[bytes]:
+        """Parts that follow a space, encoded as one text: each begins at a token that begins with a space."""
+        out = []
+        for k in range(0, len(parts), 500):
+            some = parts[k : k + 500]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+            if len(at) != len(some) + 1:
+                raise ValueError("parts and tokens do not agree")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        return self.parts.encode(texts)
 
 
 @functools.cache
@@ -146,18 +143,46 @@ def read_file(raw: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         k, code0 = last, whole
 
 
-def token_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """id, n over all documents, end ids not counted; ids that never occur are left out."""
+def encode_once(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode all documents, in any order, and keep the ids compressed in the folder with their counts.
+
+    Rows (doc_id, ids) hold a document; rows without ids hold what a task has counted: pairs of id and number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = library(path)
-        counts = np.zeros(max(lib.lib.get_vocab_size(True), END_ID + 1), np.int64)
+        import zstandard
+
+        lib, press = library(path), zstandard.ZstdCompressor(1)
+        counts = np.zeros(max(lib.size, END_ID + 1), np.int64)
+        end = END_ID.to_bytes(4, "little")
+        names = ["doc_id", "ids", "counts"]
         for batch in batches:
-            lib.count([t.as_py() or "" for t in batch.column(0)], counts)
+            packed, raw = [], lib.encode(batch.column(1))
+            for k in range(0, len(raw), 512):
+                counts += np.bincount(np.frombuffer(end.join([*raw[k : k + 512], b""]), "<u4"), minlength=len(counts))
+            for x in raw:
+                ids = np.frombuffer(x + end, "<u4")
+                packed.append(press.compress((ids if lib.size > 1 << 16 else ids.astype("<u2")).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"id": at.astype(np.int32), "n": counts[at]})
+        seen = np.stack([at, counts[at]], 1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], pa.binary())], names)
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows.mapInArrow(run, "doc_id long, ids binary, counts binary").write.option("compression", "none").parquet(f"{folder}/encoded")
+    return docs.sparkSession.read.parquet(f"{folder}/encoded")
 
-    return docs.select(docs[text_col]).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+def token_counts(encoded: DataFrame) -> DataFrame:
+    """id, n over all documents, end ids included; ids that never occur are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                pairs = np.frombuffer(cell.as_py(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"id": pairs[:, 0].astype(np.int32), "n": pairs[:, 1]})
+
+    return encoded.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -168,9 +193,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path(TOKENIZER)
-    counts = token_counts(docs, path, text_col)
+    encoded = encode_once(docs, folder, path, id_col, text_col)
     # one entry for each id of the vocabulary at most, whatever the input
-    ranked = np.array([r["id"] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
+    ranked = np.array([r["id"] for r in token_counts(encoded).orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
     rest = np.setdiff1d(np.arange(max(int(ranked.max(initial=0)), END_ID) + 1), ranked)
     table = np.concatenate([ranked, rest])
     rank = np.empty(len(table), np.int64)
@@ -179,7 +204,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     target = f"{folder}/files"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib, (table, rank) = library(path), known.value
+        import zstandard
+
+        kind, (table, rank), press = "<u4" if library(path).size > 1 << 16 else "<u2", known.value, zstandard.ZstdDecompressor()
         fs, place = split_uri(target)
         fs.create_dir(place, recursive=True)
         ids: list = []
@@ -196,8 +223,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
 
         held = 0
         for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens.append(np.frombuffer(lib.encode(text.as_py() or "") + END_ID.to_bytes(4, "little"), "<u4"))
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens.append(np.frombuffer(press.decompress(packed.as_py()), kind))
                 ids.append(k)
                 held += len(tokens[-1])
                 if held >= FILE_TOKENS:
@@ -206,7 +233,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         if ids:
             yield out()
 
-    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = encoded.where("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     written = ordered.mapInArrow(run, "file string, first long, docs long, tokens long")
     written = written.withColumn("part", F.spark_partition_id()).withColumn("turn", F.monotonically_increasing_id())
     written.write.parquet(f"{folder}/manifest")
