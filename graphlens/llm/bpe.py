@@ -29,7 +29,9 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words of each of two generations that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Bytes of text whose parts are looked at together.
+TOGETHER = 12 << 20
 _NEVER = 1 << 60
 
 
@@ -101,11 +103,18 @@ class Parts:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+        return [x for a, b in zip(cuts, cuts[1:], strict=False) if b > a for x in self.encode_some(texts.slice(a, b - a))]
+
+    def encode_some(self, texts: pa.Array) -> list[bytes]:
         odd = pc.match_substring_regex(texts, self.odd).to_pylist()
         split = pc.split_pattern(texts, " ")
         coded = split.values.dictionary_encode()
         known = self.resolve(coded.dictionary.to_pylist())
         codes, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        heads = coded.dictionary
+        del coded, split
         if None in known:
             lost = np.isin(codes, [k for k, v in enumerate(known) if v is None])
             lost[ends[:-1][ends[:-1] < ends[1:]]] = False  # a first part may be empty
@@ -116,7 +125,7 @@ class Parts:
             if whole or not text_codes:
                 out.append(self.whole(texts[k].as_py()))
             else:
-                head = coded.dictionary[text_codes[0]].as_py()
+                head = heads[text_codes[0]].as_py()
                 out.append(b"".join([self.first[head], *[known[c] for c in text_codes[1:]]]))
         return out
 
@@ -150,7 +159,7 @@ class Encoder:
         self.match.make_automaton()
         self.special = sorted(((t["content"], t["id"]) for t in spec["added_tokens"]), key=lambda t: -len(t[0]))
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.apart = Recent(self._apart, REMEMBERED)
+        self.apart = Recent(self._apart, 150_000)
         self.written = {b: c for b, c in byte_characters().items() if chr(b) != c}
         self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special])
 
