@@ -31,7 +31,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Words of each of two generations that a worker remembers.
 REMEMBERED = 200_000
 #: Bytes of text whose parts are looked at together.
-TOGETHER = 12 << 20
+TOGETHER = 16 << 20
 _NEVER = 1 << 60
 
 
@@ -77,8 +77,8 @@ class Parts:
         word = part.rstrip(self.MARKS)
         return word if word.isalpha() and (word.isascii() or max(word) < "\u0250") else None
 
-    def resolve(self, parts: list[str]) -> list[bytes | None]:
-        """The encodings of different parts; None for those that begin with white space or are empty."""
+    def resolve(self, parts: list[str], again: list[bool]) -> list[bytes | None]:
+        """The encodings of different parts; None for those that begin with white space or are empty. Words of parts that come again are remembered."""
         new, old = self.new, self.old
         marks = self.MARKS
         words = [w if w.isascii() and w.isalpha() else self.word(p) or p for p, w in zip(parts, [p.rstrip(marks) for p in parts], strict=True)]
@@ -96,7 +96,7 @@ class Parts:
                         continue
                     new[word] = got
             out.append(got if word is part or len(word) == len(part) else got + self.tail[part[len(word) :]])
-        new.update(made)
+        new.update((w, made[w]) for w, more in zip(words, again, strict=True) if more and w in made)
         if len(new) > REMEMBERED:
             self.old, self.new = new, {}
         return out
@@ -111,8 +111,8 @@ class Parts:
         odd = pc.match_substring_regex(texts, self.odd).to_pylist()
         split = pc.split_pattern(texts, " ")
         coded = split.values.dictionary_encode()
-        known = self.resolve(coded.dictionary.to_pylist())
         codes, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        known = self.resolve(coded.dictionary.to_pylist(), (np.bincount(codes, minlength=len(coded.dictionary)) > 1).tolist())
         heads = coded.dictionary
         del coded, split
         if None in known:
