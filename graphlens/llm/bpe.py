@@ -65,8 +65,9 @@ class Parts:
     #: Marks that may follow a word; all are neither letters, digits nor white space.
     MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, whole, many, tail, special: list[str]):
+    def __init__(self, whole, many, tail, special: list[str], together: int = TOGETHER, remembered: int = REMEMBERED):
         """whole(text); many(parts) of parts that follow a space; tail(marks) of marks after a word."""
+        self.together, self.remembered = together, remembered
         self.whole, self.many = whole, many
         self.tail, self.first = Recent(tail, 20_000), Recent(whole, 20_000)
         self.odd = "|".join([r" [ \t\n\r\v\f]", " $", *map(re.escape, special)])
@@ -97,15 +98,20 @@ class Parts:
                     new[word] = got
             out.append(got if word is part or len(word) == len(part) else got + self.tail[part[len(word) :]])
         new.update((w, made[w]) for w, more in zip(words, again, strict=True) if more and w in made)
-        if len(new) > REMEMBERED:
+        if len(new) > self.remembered:
             self.old, self.new = new, {}
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
+        at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // self.together
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
-        return [x for a, b in zip(cuts, cuts[1:], strict=False) if b > a for x in self.encode_some(texts.slice(a, b - a))]
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                out += self.encode_some(texts.slice(a, b - a))
+                pa.default_memory_pool().release_unused()
+        return out
 
     def encode_some(self, texts: pa.Array) -> list[bytes]:
         odd = pc.match_substring_regex(texts, self.odd).to_pylist()
@@ -159,9 +165,9 @@ class Encoder:
         self.match.make_automaton()
         self.special = sorted(((t["content"], t["id"]) for t in spec["added_tokens"]), key=lambda t: -len(t[0]))
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.apart = Recent(self._apart, 150_000)
+        self.apart = Recent(self._apart, 100_000)
         self.written = {b: c for b, c in byte_characters().items() if chr(b) != c}
-        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special])
+        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special], TOGETHER // 3, REMEMBERED // 2)
 
     def _apart(self, both: int) -> bool:
         """Whether two neighbours stay two tokens: undo their merges from the last to the first and look for a merge across the seam that would have come before the one undone."""
@@ -239,6 +245,11 @@ class Decoder:
         return self.flat[np.repeat(shift, n) + np.arange(int(n.sum()))].tobytes().decode("utf-8", "replace")
 
 
+def slices(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -255,9 +266,10 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in batches:
-            ids = e.encode(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for whole in batches:
+            for batch in slices(whole):
+                ids = e.encode(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -269,7 +281,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = decoder(path)
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, 512)):
             text = pa.array([d.decode(x.as_py() or b"") for x in batch.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "decoded"])
 

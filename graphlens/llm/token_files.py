@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import TOKENIZER, Parts, byte_characters
+from .bpe import TOKENIZER, Parts, byte_characters, slices
 from .common import BROADCAST_ROWS, new_folder, split_uri
 
 END_ID = 2
@@ -156,7 +156,7 @@ def encode_once(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
         counts = np.zeros(max(lib.size, END_ID + 1), np.int64)
         end = END_ID.to_bytes(4, "little")
         names = ["doc_id", "ids", "counts"]
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, 5000)):
             packed, raw = [], lib.encode(batch.column(1))
             for k in range(0, len(raw), 512):
                 counts += np.bincount(np.frombuffer(end.join([*raw[k : k + 512], b""]), "<u4"), minlength=len(counts))
