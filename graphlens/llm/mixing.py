@@ -30,7 +30,7 @@ TRACE_BYTES = 64_000_000
 
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take, so that the words come as near to the budget, from below, as the search can."""
+    """How many of each length to take, so that the words come near to the budget."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or total <= 0:
         return [0] * len(lengths)
@@ -71,6 +71,11 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         if not before >> at & 1:
             take[i] += part
             at -= lengths[i] * part
+    # one document more, if that comes nearer from above than this does from below
+    gap = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
+    over = min((n, i) for i, n in enumerate(lengths) if take[i] < counts[i] and n) if gap else (2 * gap, 0)
+    if 0 < over[0] < 2 * gap:
+        take[over[1]] += 1
     return take
 
 
