@@ -36,10 +36,10 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
+    take = [max(0, c * budget // total - 1) for c in counts]  # one less, which leaves the search some room
     left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
     # one more of the lengths whose share was cut most, largest first, while they fit
-    longest = max(lengths)
+    longest = 4 * max(lengths)
     for _, i in sorted((-(c * budget % total), i) for i, c in enumerate(counts)):
         if left <= longest:
             break
