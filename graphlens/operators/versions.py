@@ -97,3 +97,27 @@ def add_external_ids(known: DataFrame, new: DataFrame) -> DataFrame:
     from_ = known.agg(F.coalesce(F.max("graph_id"), F.lit(0)).alias("_max"))
     fresh = new.join(known.select("external_id"), "external_id", "left_anti")
     return fresh.join(F.broadcast(from_), F.lit(True)).select("external_id", (F.col("_max") + F.row_number().over(Window.orderBy("ord"))).alias("graph_id"))
+
+
+def select_frames(frames: DataFrame, timeline: str, types: list[str] | None = None, since=None, until=None, ids: list[int] | None = None, least_id: int | None = None, most_id: int | None = None, before: tuple | None = None, expires_before=None, descending: bool = False, limit: int | None = None) -> DataFrame:
+    """Frames of a timeline within inclusive bounds, in the order of (ts, graph_id).
+
+    ``before`` is a point (ts, graph_id): only the frame just before it stays. ``expires_before`` leaves frames that have expired by then.
+    """
+    out = frames.where(F.col("timeline_id") == timeline)
+    for given, test in (
+        (types, lambda: F.col("frame_type").isin(types)),
+        (since, lambda: F.col("ts") >= F.lit(since)),
+        (until, lambda: F.col("ts") <= F.lit(until)),
+        (ids, lambda: F.col("graph_id").isin(ids)),
+        (least_id, lambda: F.col("graph_id") >= least_id),
+        (most_id, lambda: F.col("graph_id") <= most_id),
+        (before, lambda: (F.col("ts") < F.lit(before[0])) | ((F.col("ts") == F.lit(before[0])) & (F.col("graph_id") < before[1]))),
+        (expires_before, lambda: F.col("expires_at") <= F.lit(expires_before)),
+    ):
+        if given is not None:
+            out = out.where(test())
+    descending, limit = descending or before is not None, 1 if before is not None else limit
+    if limit is None:
+        return out.sort(*[F.col(c).desc() if descending else F.col(c).asc() for c in ("ts", "graph_id")])
+    return out.sort(*[F.col(c).desc() if descending else F.col(c).asc() for c in ("ts", "graph_id")]).limit(limit)

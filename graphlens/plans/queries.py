@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlens.functions import formats
 from graphlens.operators import history, metrics, paths, scc, selection, traverse, twin, versions
-from graphlens.operators.fixpoint import reach_set
+from graphlens.operators.fixpoint import new_folder, reach_set
 from graphlens.operators.rules import apply_rules
 from graphlens.operators.selection import NodeSelection
+from graphlens.sources import documents, gexf
 from graphlens.sources.tables import flow, supply, table
 
 from .config import TraversalConfig
@@ -329,3 +331,38 @@ SELECT node, week, CAST(day AS VARCHAR) AS day, v / 1000 AS value FROM l WHERE w
 def flat_history_weekly(spark, sf_dir):
     daily = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node"), F.to_date("ts").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return history.weekly(daily.withColumn("metric", F.lit("events"))).select("node", "week", F.col("ts").cast("string").alias("day"), "value")
+
+
+@query("""SELECT o_orderkey, regexp_replace(regexp_replace(format('{:,.2f}', floor(o_totalprice * 100 + 0.5) / 100), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS price,
+  CASE WHEN o_totalprice * 1000 >= 1e9 THEN format('{:,.2f} GB', floor(o_totalprice * 1000 / 1e9 * 100 + 0.5) / 100) WHEN o_totalprice * 1000 >= 1e6 THEN format('{:,.2f} MB', floor(o_totalprice * 1000 / 1e6 * 100 + 0.5) / 100)
+       WHEN o_totalprice * 1000 >= 1e3 THEN format('{:,.2f} kB', floor(o_totalprice * 1000 / 1e3 * 100 + 0.5) / 100) ELSE format('{:,.0f} bytes', floor(o_totalprice * 1000 + 0.5)) END AS size FROM orders""")
+def format_values(spark, sf_dir):
+    price = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", formats.number(price).alias("price"), formats.size(price * 1000).alias("size"))
+
+
+@query("""SELECT event_id, CAST(CAST(date_trunc('day', ts) AS DATE) AS VARCHAR) AS day, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week_start,
+  CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS week FROM events""")
+def calendar(spark, sf_dir):
+    ts, day = F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd"
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(formats.day_start(ts), day).alias("day"), F.date_format(formats.week_start(ts), day).alias("week_start"), formats.iso_week(ts).alias("week"))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT DISTINCT src, dst, kind, tag, type_key, branch FROM edges")
+def document_round_trip(spark, sf_dir):
+    """The edges of the graph as written to and read back from document lines."""
+    path = new_folder(spark, "documents")
+    documents.write_lines(supply(spark, sf_dir), path)
+    return documents.read_lines(spark, path).edges.select("src", "dst", "kind", "tag", "type_key", "branch")
+
+
+@query(f"""WITH {GRAPH_SQL}, ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM nodes), e AS (SELECT DISTINCT src, dst, kind, tag, type_key, branch FROM edges)
+SELECT row_number() OVER (ORDER BY src, kind = 'tagged', kind = 'dynamic', tag, type_key, branch, dst) - 1 AS id, s.id AS source, t.id AS target,
+  CASE kind WHEN 'tagged' THEN tag WHEN 'dynamic' THEN type_key || ':line:' || branch END AS label FROM e JOIN ids s ON s.node = src JOIN ids t ON t.node = dst""")
+def gexf_edges(spark, sf_dir):
+    return gexf.elements(supply(spark, sf_dir))[2]
+
+
+@query(f"WITH {FRAMES_SQL} SELECT graph_id, frame_type FROM typed WHERE frame_type IN ('full', 'delta') AND graph_id BETWEEN 3 AND 25 ORDER BY ts DESC, graph_id DESC LIMIT 7")
+def select_frames(spark, sf_dir):
+    return versions.select_frames(_frames(spark, sf_dir), "events", ["full", "delta"], least_id=3, most_id=25, descending=True, limit=7).select("graph_id", "frame_type")
