@@ -80,6 +80,7 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("size")  # rows come in any order, and ties in the fit go by place
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     whole = min(2, int(target // size)) if size else 0
     extra = fit_budget(pdf["size"].astype(int).tolist(), pdf["n"].astype(int).tolist(), round(target - whole * size) if whole < 2 else 0)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from graphlens.llm import bpe, exact_dedup, language_id, mixing, near_dup, sharding, substring_dedup, token_files, vector_search, warc
@@ -94,6 +95,13 @@ def test_budget_is_met_exactly_when_it_can_be():
     assert sum(a * b for a, b in zip([3, 5, 7], take, strict=True)) == 31 and all(t <= 4 for t in take)
 
 
+def test_plan_does_not_depend_on_the_order_of_its_rows():
+    n = np.arange(1, 301)
+    pdf = pd.DataFrame({"source": "a", "size": n, "n": 1 + n % 3, "source_size": int((n * (1 + n % 3)).sum()), "target": 41234.0})
+    plans = [mixing._plan(p).sort_values("size").to_numpy().tolist() for p in (pdf, pdf[::-1], pdf.sample(frac=1, random_state=3))]
+    assert plans[0] == plans[1] == plans[2]
+
+
 def test_encoding(docs, rows):
     lib = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
     want = sorted((d, lib.encode(t or "", add_special_tokens=False).ids) for d, t, _ in rows)
