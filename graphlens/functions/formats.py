@@ -73,3 +73,42 @@ def week_start(ts: Column) -> Column:
 
 def iso_week(ts: Column) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
+
+
+def day_end(ts: Column) -> Column:
+    """The last microsecond of the day."""
+    return day_start(ts) + F.make_dt_interval(days=F.lit(1)) - F.make_dt_interval(secs=F.lit(0.000001))
+
+
+def shifted(ts: Column, days: int = 0, hours: int = 0, minutes: int = 0) -> Column:
+    """Later by so much; earlier by negative numbers."""
+    return ts + F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(minutes))
+
+
+def difference(a: Column, b: Column, unit: str = "SECOND") -> Column:
+    """a - b in whole units, towards zero."""
+    return F.timestamp_diff(unit, b, a)
+
+
+def weekday(ts: Column) -> Column:
+    """0 is Monday."""
+    return F.weekday(ts)
+
+
+def comparable(ts: Column) -> Column:
+    """RFC 3339 with three decimals and Z: these strings sort as their times do."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def from_rfc3339(text: Column) -> Column:
+    """The time (UTC, as the session's) of a text with an offset."""
+    return F.to_timestamp(text)
+
+
+def plain_datetime(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def unix_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970, rounded down."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.date_trunc("second", ts).cast("timestamp_ntz"))

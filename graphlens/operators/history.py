@@ -25,7 +25,7 @@ def frame_flags(frames: DataFrame) -> DataFrame:
 
 
 def judge(frames: DataFrame, values: DataFrame, threshold: float) -> DataFrame:
-    """(node, graph_id, reasons, metrics) of the rows that are kept.
+    """(node, graph_id, reasons, metrics, position, segment, flags) of the rows that are kept; a node that vanished has no metrics.
 
     A node is new (FIRST) in a frame with data if it is absent from the one just before; it is OVER_THRESHOLD if any
     metric moved by the threshold or more since then, absent values being 0, and then the row before is its ANCHOR. Frames
@@ -52,14 +52,13 @@ def judge(frames: DataFrame, values: DataFrame, threshold: float) -> DataFrame:
     rows = rows.withColumn("_over", judged & F.col("_was").isNotNull() & moved).withColumn("_first", judged & F.col("_real") & F.col("_was").isNull())
     follows = (F.lead("position").over(w) == F.col("position") + 1) & (F.lead("segment").over(w) == F.col("segment"))
     anchor = F.col("_real") & F.coalesce(follows & F.lead("_over").over(w), F.lit(False))
-    newest = F.col("position") == F.max("position").over(Window.partitionBy())
     last = flags.agg(F.max("position").alias("_last"))  # one row
     rows = rows.withColumn("_anchor", anchor).join(F.broadcast(last), F.lit(True))
     newest = F.col("_real") & (F.col("position") == F.col("_last"))
     bits = [(F.col("_first"), FIRST), (F.col("_over"), OVER_THRESHOLD), (F.col("_anchor"), ANCHOR), (newest, LATEST)]
     reasons = sum((F.when(c, v).otherwise(0) for c, v in bits[1:]), F.when(bits[0][0], bits[0][1]).otherwise(0))
     kept = (F.col("reasons") > 0) | (F.col("_real") & (F.col("flags") > 0))
-    return rows.withColumn("reasons", reasons).where(kept).select("node", "graph_id", "reasons", "metrics", "position", "segment")
+    return rows.withColumn("reasons", reasons).where(kept).select("node", "graph_id", "reasons", "metrics", "position", "segment", "flags")
 
 
 def series(kept: DataFrame) -> DataFrame:
@@ -82,7 +81,8 @@ def compact(kept: DataFrame, threshold: float) -> DataFrame:
     anchor = (F.col("reasons").bitwiseAND(ANCHOR) != 0) & F.coalesce(~follows | F.lead("_over").over(w), F.lit(True))
     base = F.col("reasons").bitwiseAND(FIRST + LATEST)
     out = rows.withColumn("_r", base + F.when(over, OVER_THRESHOLD).otherwise(0) + F.when(anchor, ANCHOR).otherwise(0))
-    return out.where("_r > 0 OR reasons = 0").select("node", "graph_id", F.col("_r").alias("reasons"), "metrics", "position", "segment")
+    stay = (F.col("_r") > 0) | ((F.size("metrics") > 0) & (F.col("flags") > 0))  # next to a gap all rows stay
+    return out.where(stay).select("node", "graph_id", F.col("_r").alias("reasons"), "metrics", "position", "segment", "flags")
 
 
 def weekly(values: DataFrame, ts: str = "ts") -> DataFrame:
@@ -92,3 +92,30 @@ def weekly(values: DataFrame, ts: str = "ts") -> DataFrame:
     rows = values.select("node", ts, "metric", F.round(F.col("value") * 1000).cast("long").alias("value")).withColumn("week", week)
     was = F.lag("value").over(w)
     return rows.withColumn("_was", was).where(F.col("_was").isNull() | (F.col("_was") != F.col("value"))).select("node", "week", ts, "metric", (F.col("value") / 1000).alias("value"))
+
+
+def dense(values: DataFrame, frames: DataFrame) -> DataFrame:
+    """(node, week, graph_id, metric, value): each metric of a node in every frame of the weeks in which it has one; null where it is absent.
+
+    ``values`` and ``frames`` have graph_id and week. The frames of a week are few and travel as one array.
+    """
+    weeks = frames.groupBy("week").agg(F.sort_array(F.collect_set("graph_id")).alias("_ids"))
+    grid = values.select("node", "week", "metric").distinct().join(weeks, "week").select("node", "week", "metric", F.explode("_ids").alias("graph_id"))
+    return grid.join(values.select("node", "week", "metric", "graph_id", "value"), ["node", "week", "metric", "graph_id"], "left").select("node", "week", "graph_id", "metric", "value")
+
+
+def encode_series(rows: DataFrame) -> DataFrame:
+    """(node, metric, seq, frame_step, value_step) of rows (node, metric, graph_id, value): steps from the row before; a null keeps the baseline and stays null."""
+    w = Window.partitionBy("node", "metric").orderBy("graph_id")
+    base = F.last("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select(
+        "node", "metric", (F.row_number().over(w) - 1).alias("seq"),
+        (F.col("graph_id") - F.coalesce(F.lag("graph_id").over(w), F.lit(0))).alias("frame_step"),
+        (F.col("value") - F.coalesce(base, F.lit(0.0))).alias("value_step"),
+    )
+
+
+def decode_series(steps: DataFrame) -> DataFrame:
+    """The rows again: running sums of the steps."""
+    w = Window.partitionBy("node", "metric").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select("node", "metric", F.sum("frame_step").over(w).alias("graph_id"), F.when(F.col("value_step").isNotNull(), F.sum("value_step").over(w)).alias("value"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fixpoint import numbered
+
 
 def derive(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     a = old.select(*keys, F.col(value).alias("_old"), F.lit(True).alias("_a"))
@@ -33,24 +35,6 @@ def apply(base: DataFrame, deltas: DataFrame, keys: list[str], value: str, order
     return out.where("_d IS NULL OR _d.op <> 'remove'").select(*keys, F.when(F.col("_d").isNull(), F.col(value)).otherwise(F.col("_d.v")).alias(value))
 
 
-def select_frames(frames: DataFrame, types: list[str] | None = None, since: str | None = None, until: str | None = None, ids: list[int] | None = None, before: int | None = None, descending: bool = False, limit: int | None = None) -> DataFrame:
-    out = frames
-    if types is not None:
-        out = out.where(F.col("frame_type").isin(types))
-    if since is not None:
-        out = out.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    if until is not None:
-        out = out.where(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
-    if ids is not None:
-        out = out.where(F.col("graph_id").isin(ids))
-    if before is not None:
-        out = out.where(F.col("graph_id") < before)
-    if limit is None:
-        return out
-    order = [F.col(c).desc() if descending else F.col(c) for c in ("ts", "graph_id")]
-    return out.orderBy(*order).limit(limit)
-
-
 def nearest_full(frames: DataFrame) -> DataFrame:
     """Each frame with the last full one at or before it in its timeline, and how many changes lie between; a gap cuts the chain."""
     w = Window.partitionBy("timeline_id").orderBy("graph_id")
@@ -94,9 +78,9 @@ def expired(rows: DataFrame, now: str) -> DataFrame:
 
 def add_external_ids(known: DataFrame, new: DataFrame) -> DataFrame:
     """Number ids (external_id, ord) that are not known yet after the greatest number; what is known is passed over."""
-    from_ = known.agg(F.coalesce(F.max("graph_id"), F.lit(0)).alias("_max"))
-    fresh = new.join(known.select("external_id"), "external_id", "left_anti")
-    return fresh.join(F.broadcast(from_), F.lit(True)).select("external_id", (F.col("_max") + F.row_number().over(Window.orderBy("ord"))).alias("graph_id"))
+    last = known.agg(F.coalesce(F.max("graph_id"), F.lit(0)).alias("_max"))  # one row
+    fresh = numbered(new.join(known.select("external_id"), "external_id", "left_anti"), ["ord", "external_id"], "_place")
+    return fresh.join(F.broadcast(last), F.lit(True)).select("external_id", (F.col("_max") + 1 + F.col("_place")).alias("graph_id"))
 
 
 def select_frames(frames: DataFrame, timeline: str, types: list[str] | None = None, since=None, until=None, ids: list[int] | None = None, least_id: int | None = None, most_id: int | None = None, before: tuple | None = None, expires_before=None, descending: bool = False, limit: int | None = None) -> DataFrame:

@@ -185,8 +185,8 @@ def shortest_path_depths(spark, sf_dir):
 
 
 FLOW_SQL = """
-fe AS (SELECT DISTINCT src, dst FROM (SELECT 'u' || user_id AS src, lead('u' || user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst FROM events WHERE event_id % 7 = 0) WHERE dst IS NOT NULL AND src <> dst),
-fn AS (SELECT 'u' || user_id AS node, CAST(count(*) AS DOUBLE) AS events FROM events WHERE event_id % 7 = 0 GROUP BY 1),
+fe AS (SELECT DISTINCT src, dst FROM (SELECT 'u' || user_id AS src, lead('u' || user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst),
+fn AS (SELECT 'u' || user_id AS node, CAST(count(*) AS DOUBLE) AS events FROM events GROUP BY 1),
 pairs AS (SELECT node AS a, node AS b FROM fn UNION SELECT p.a, fe.dst FROM pairs p JOIN fe ON fe.src = p.b),
 scc AS (SELECT p.a AS node, min(p.b) AS scc FROM pairs p JOIN pairs q ON p.a = q.b AND p.b = q.a GROUP BY p.a)
 """
@@ -194,20 +194,20 @@ scc AS (SELECT p.a AS node, min(p.b) AS scc FROM pairs p JOIN pairs q ON p.a = q
 
 @query(f"WITH RECURSIVE {FLOW_SQL} SELECT node, scc FROM scc")
 def scc_membership(spark, sf_dir):
-    g = flow(spark, sf_dir, 7)
+    g = flow(spark, sf_dir)
     return scc.components(g.nodes, g.edges)
 
 
 @query(f"WITH RECURSIVE {FLOW_SQL} SELECT scc, count(*) AS size, sum(events) AS events FROM scc JOIN fn USING (node) GROUP BY scc")
 def scc_condense(spark, sf_dir):
-    g = flow(spark, sf_dir, 7)
+    g = flow(spark, sf_dir)
     made, _ = scc.condense(scc.components(g.nodes, g.edges), g.node_metrics, g.edges)
     return made.select("scc", "size", F.element_at("metrics", "events").alias("events"))
 
 
 @query(f"WITH RECURSIVE {FLOW_SQL} SELECT DISTINCT scc AS node FROM scc WHERE scc NOT IN (SELECT b.scc FROM fe JOIN scc a ON fe.src = a.node JOIN scc b ON fe.dst = b.node WHERE a.scc <> b.scc)")
 def entry_points(spark, sf_dir):
-    g = flow(spark, sf_dir, 7)
+    g = flow(spark, sf_dir)
     return scc.source_entry_points(g.nodes, g.edges)
 
 

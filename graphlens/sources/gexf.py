@@ -8,23 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphlens.functions.formats import xml
-from graphlens.operators.fixpoint import saved
+from graphlens.operators.fixpoint import numbered
 
 from .tables import Graph
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Add the place of each row in a total order, from 0: ranges are counted first, then each is numbered by itself."""
-    ranged = saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + place).drop("_range", "_start")
-
-
 def _decimal(value: Column) -> Column:
     whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
     return F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))

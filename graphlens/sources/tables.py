@@ -79,9 +79,9 @@ def supply(spark: SparkSession, sf_dir: str, before: str | None = None, ordered:
     return Graph(union(all_nodes), union(metrics), with_order(every) if ordered else every.withColumn("edge_ord", F.lit(None).cast("long")))
 
 
-def flow(spark: SparkSession, sf_dir: str, thin: int = 1) -> Graph:
+def flow(spark: SparkSession, sf_dir: str) -> Graph:
     """Users as nodes, an edge from each to the next one seen on the same day; cyclic. Metric: events."""
-    events = table(spark, sf_dir, "events").where(F.col("event_id") % thin == 0)
+    events = table(spark, sf_dir, "events")
     w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
     pairs = events.select(_name("u", "user_id").alias("src"), F.lead(_name("u", "user_id")).over(w).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
     edges = pairs.select(*_edge(F.col("src"), F.col("dst"))).withColumn("edge_ord", F.lit(None).cast("long"))
