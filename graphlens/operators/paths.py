@@ -76,6 +76,10 @@ def min_cut(edges: DataFrame, sources: DataFrame, sinks: DataFrame, protected: D
         caps = caps.join(protected.select("src", "dst", F.lit(True).alias("_p")).distinct(), ["src", "dst"], "left")
         caps = caps.select("src", "dst", F.when(F.col("_p"), F.lit(1 << 40)).otherwise(F.col("cap")).alias("cap"))
     caps = saved(caps)
+    if protected is not None:  # there is no cut just when protected edges alone lead to a sink
+        walls = caps.where(F.col("cap") >= 1 << 40)
+        if reach_set(walls, sources).join(sinks, "node", "left_semi").limit(1).count():
+            return caps.limit(0).select("src", "dst"), True
     bound = caps.where(F.col("cap") < 1 << 40).agg(F.coalesce(F.sum("cap"), F.lit(0))).first()[0]
     residual = caps
     for _ in range(bound + 1):
@@ -88,7 +92,7 @@ def min_cut(edges: DataFrame, sources: DataFrame, sinks: DataFrame, protected: D
         change = used.select("src", "dst", F.lit(-1).alias("d")).unionByName(used.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("d")))
         residual = saved(residual.select("src", "dst", "cap").unionByName(change.select("src", "dst", F.col("d").cast("long").alias("cap"))).groupBy("src", "dst").agg(F.sum("cap").alias("cap")))
     else:
-        return caps.limit(0).select("src", "dst"), True
+        raise RuntimeError("a flow went beyond its bound")
     back = residual.where("cap > 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     near = saved(reach_set(back, sinks).select("node"))
     cut = caps.join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").join(near.withColumnRenamed("node", "src"), "src", "left_anti")

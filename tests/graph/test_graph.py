@@ -1,5 +1,6 @@
 """Loops on small random graphs against brute force, and histories that arrive out of order."""
 
+import itertools
 import random
 
 import pytest
@@ -106,3 +107,34 @@ def test_stream_in_any_order_and_again(spark, tmp_path):
     for part in ([12, 3, 4], [1, 7], [2, 5, 6], [8, 9, 10, 11], [5, 6]):
         ingest.fold(spark.createDataFrame([record(k) for k in part], ingest.RECORD), store, 3.0)
     assert {(r.graph_id, r.reasons) for r in ingest.read(spark, store).collect()} == WANT
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_min_cut(spark, seed):
+    rng = random.Random(seed)
+    nodes = list("abcdefgh")
+    links = sorted({(a, b) for a, b in ((rng.choice(nodes), rng.choice(nodes)) for _ in range(22)) if a != b} - {("a", "h")} | {("a", "b"), ("b", "h")})
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    cut, blocked = paths.min_cut(spark.createDataFrame(links, "src string, dst string"), one("a"), one("h"))
+    got = {(r[0], r[1]) for r in cut.select("src", "dst").collect()}
+    assert not blocked and got <= set(links) and "h" not in closure(nodes, set(links) - got)["a"]
+    for less in itertools.combinations(links, len(got) - 1):
+        assert "h" in closure(nodes, set(links) - set(less))["a"]
+
+
+def test_find_path(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "d", 1), ("c", "d", 1), ("d", "e", 1)], "src string, dst string, edge_ord long")
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    path = lambda a, b, avoid=None: [r.node for r in sorted(paths.find_path(edges, one(a), one(b), avoid and one(avoid)).collect())]
+    assert path("a", "e") == ["a", "b", "d", "e"]
+    assert path("a", "e", "b") == ["a", "c", "d", "e"]
+    assert path("a", "a") == ["a"] and path("e", "a") == []
+
+
+def test_min_cut_of_protected_edges(spark):
+    table = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    edges = table([("a", "b"), ("b", "h"), ("b", "c"), ("c", "h")])
+    assert paths.min_cut(edges, one("a"), one("h"), table([("a", "b"), ("b", "h")]))[1]
+    cut, blocked = paths.min_cut(edges, one("a"), one("h"), table([("a", "b")]))
+    assert not blocked and {tuple(r) for r in cut.collect()} == {("b", "h"), ("c", "h")}
