@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm.bpe import bpe_encode
-from graphlens.llm.common import new_folder, reliable, table, without
+from graphlens.llm.common import new_folder, reliable, row_key, table, without
 from graphlens.llm.exact_dedup import drop_copies
 from graphlens.llm.language_id import identify_documents, train
 from graphlens.llm.mixing import mix_sources
@@ -14,9 +14,10 @@ from graphlens.llm.near_dup import drop_near_copies
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification rejects go (rows that share an id go together)."""
-    found = reliable(identify_documents(docs, train(docs)))
-    return without(docs, found.where("NOT accepted").select("doc_id").distinct(), ["doc_id"])
+    """Documents that language identification rejects go, each row judged by itself (ids may repeat or be null)."""
+    marked = docs.withColumn("_key", row_key(docs))
+    found = reliable(identify_documents(marked, train(docs), "_key"))
+    return without(marked, found.where("NOT accepted").select("_key").distinct(), ["_key"]).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +32,18 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands as often as the mix takes it: not at all, once or twice."""
-    times = reliable(mix_sources(docs).groupBy("doc_id").agg(F.max("times").alias("_times")))
-    gone, twice = times.where("_times = 0").select("doc_id"), times.where("_times = 2").select("doc_id")
-    once = without(docs, gone, ["doc_id"])
-    return once.unionByName(docs.join(twice.withColumnRenamed("doc_id", "_twice"), docs["doc_id"].eqNullSafe(F.col("_twice")), "left_semi"))
+    marked = docs.withColumn("_key", row_key(docs))
+    times = mix_sources(marked, "_key").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_n"))
+    times = reliable(times)
+    alone = times.where("_n = 1")
+    other = times.where("_times = 0 OR _n > 1").select("_key")
+    twice, same = alone.where("_times = 2").select("_key"), times.where("_n > 1 AND _times > 0")
+    out = without(marked, other, ["_key"]).unionByName(marked.join(twice, "_key", "left_semi"))
+    if same.limit(1).count():  # rows that are the same in all columns stand as often as the mix takes all of them
+        one = marked.join(same.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+        one = one.join(same.select("_key", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_k")), "_key")
+        out = out.unionByName(one.select(*out.columns))
+    return out.select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,8 @@ def without(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
         one = df[c].eqNullSafe(gone[f"_gone_{k}"])
         match = one if match is None else match & one
     return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, match, "left_anti")
+
+
+def row_key(df: DataFrame):
+    """A digest of all columns of a row: rows that share it are the same in all they hold, whatever their ids."""
+    return F.sha2(F.concat_ws(",", *[F.coalesce(F.sha2(df[c].cast("string"), 256), F.lit("-")) for c in df.columns]), 256)

@@ -180,14 +180,14 @@ def page_columns(pages: DataFrame) -> DataFrame:
     )
 
 
-def document_columns(docs: DataFrame) -> DataFrame:
+def document_columns(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The same of a table (doc_id, text, lang, source): the label is what is declared, the source is the host."""
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", "text", F.lower("lang").alias("declared"), none.alias("suffix"), F.concat(F.lit("source:"), F.col("source")).alias("host"), none.alias("domain"))
+    return docs.select(id_col, "text", F.lower("lang").alias("declared"), none.alias("suffix"), F.concat(F.lit("source:"), F.col("source")).alias("host"), none.alias("domain"))
 
 
-def identify_documents(docs: DataFrame, model: Model) -> DataFrame:
-    return fuse(evidence(document_columns(docs), model, ["doc_id"]), model.languages, ["doc_id"])
+def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    return fuse(evidence(document_columns(docs, id_col), model, [id_col]), model.languages, [id_col])
 
 
 def identify_pages(pages: DataFrame, model: Model) -> DataFrame:

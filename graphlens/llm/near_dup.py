@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, reliable, without
+from .common import BROADCAST_ROWS, reliable, row_key, without
 from .components import components
 from .substring_dedup import _mix, window_hashes, word_hashes
 
@@ -226,7 +226,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but those of a class that is led by a smaller id."""
-    verdicts = reliable(jaccard_join(docs, id_col, text_col))
-    gone = verdicts.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, gone, [id_col]).select(*docs.columns)
+    """One row of each class of ``docs``: the one with the smallest id (null last, ties by a digest of the row); rows without words all stay.
+
+    Each row is judged by itself, so ids may repeat or be null.
+    """
+    marked = docs.withColumn("_key", row_key(docs))
+    named = marked.withColumn("_id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_key").alias("key")))
+    verdicts = reliable(jaccard_join(named, "_id", text_col))
+    leads = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = verdicts.where(~leads).select(F.col("doc_id.key").alias("_key")).distinct()
+    again = verdicts.where(leads & (F.col("class_size") > 1)).groupBy(F.col("doc_id.key").alias("_key")).count().where("count > 1").select("_key")
+    again = reliable(again)  # leaders that stand several times, the same in all columns
+    kept = without(marked, gone, ["_key"])
+    if again.limit(1).count():
+        kept = without(kept, again, ["_key"]).unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
