@@ -25,7 +25,7 @@ from .common import WORD, reliable
 
 SEED = 42
 SLICES = 64
-#: Most bytes of reachability kept for tracing a plan back.
+#: Bytes of reachability kept at once (for each level) while a plan is traced back; what is not kept is computed again.
 TRACE_BYTES = 64_000_000
 
 
@@ -52,33 +52,58 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             take[i] += max(0, more)
             left -= max(0, more) * lengths[i]
     # bounded knapsack: bit b of ``reach`` says that b more words can be made; counts are cut into powers of two
-    mask, reach, steps, kept = (1 << (left + 1)) - 1, 1, [], 0
+    spare = [c - t if n else 0 for n, c, t in zip(lengths, counts, take, strict=True)]
+    limit = left + min(left, max((n for n, c in zip(lengths, spare, strict=True) if c > 0), default=0))  # what lies above may be nearer
+    mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
     for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
-        spare, part = counts[i] - take[i], 1
-        while lengths[i] and spare > 0 and lengths[i] * part <= left:
-            part = min(part, spare)
+        part = 1
+        while spare[i] > 0 and lengths[i] * part <= limit:
+            part = min(part, spare[i])
             grown = (reach | reach << lengths[i] * part) & mask
             if grown != reach:
-                steps.append((i, part, reach))
-                kept += reach.bit_length() // 8
+                steps.append((i, part))
                 reach = grown
-            spare -= part
+            spare[i] -= part
             part *= 2
-        if reach >> left & 1 or kept > TRACE_BYTES:
+        if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= lengths[i] * part
-    # one document more, if that comes nearer from above than this does from below
-    gap = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    over = min((n, i) for i, n in enumerate(lengths) if take[i] < counts[i] and n) if gap else (2 * gap, 0)
-    if 0 < over[0] < 2 * gap:
-        take[over[1]] += 1
+    at = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> left
+    over = (above & -above).bit_length() - 1  # -1 if nothing above is reached
+    if 0 <= over < left - at:
+        at = left + over
+    for i, part in _trace([(i, part, lengths[i] * part) for i, part in steps], 1, at, mask):
+        take[i] += part
     return take
 
 
+def _trace(steps: list[tuple[int, int, int]], start: int, at: int, mask: int) -> list[tuple[int, int]]:
+    """The steps (length's number, count, words) that make ``at``; ``start`` is what was reachable before them.
+
+    At most TRACE_BYTES of bitsets are kept for each level; longer lists are cut into runs that are computed again.
+    """
+    keep = max(2, TRACE_BYTES // (mask.bit_length() // 8 + 1))
+    run = -(-len(steps) // keep)
+    if run == 0:
+        return []
+    marks, reach = [], start
+    for k, (_, _, words) in enumerate(steps):
+        if k % run == 0:
+            marks.append((k, reach))
+        reach = (reach | reach << words) & mask
+    used = []
+    for k, before in reversed(marks):
+        if run == 1:
+            i, part, words = steps[k]
+            took = [] if before >> at & 1 else [(i, part)]
+        else:
+            took = _trace(steps[k : k + run], before, at, mask)
+        used += took
+        of = {(i, part): words for i, part, words in steps[k : k + run]}
+        at = at - sum(of[t] for t in took)
+    return used
+
+
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("size")  # rows come in any order, and ties in the fit go by place
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
