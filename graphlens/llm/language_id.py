@@ -174,7 +174,8 @@ def page_columns(pages: DataFrame) -> DataFrame:
     """page_id, text (the HTML), declared, suffix, host, domain of a table (page_id, url, html)."""
     some = lambda c: F.when(c != "", c)
     host = some(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)))
-    declared = some(F.lower(F.regexp_extract(F.substring("html", 1, 4096), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)))
+    first = F.regexp_extract(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), r"(?i)<html\b[^>]*", 0)  # wherever it stands
+    declared = some(F.lower(F.regexp_extract(first, r"(?i)^<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)))
     return pages.select(
         F.col("page_id"), F.col("html").alias("text"), declared.alias("declared"), host.alias("host"), some(F.regexp_extract(host, r"\.([a-z]{2,24})$", 1)).alias("suffix"), some(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain")
     )

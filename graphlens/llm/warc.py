@@ -32,7 +32,9 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of addresses
 _TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
-_LANG = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z-]+)")
+_COMMENT = re.compile(r"(?s)<!--.*?-->")
+_HTML = re.compile(r"(?i)<html\b[^>]*")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z-]+)")
 RECORD = "page_id {id}, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, headers string, block binary"
 
 
@@ -100,7 +102,8 @@ def derivatives(records: DataFrame) -> DataFrame:
                 status, headers, body = split_http(raw or b"")
                 page_html = body.decode("utf-8", "replace")
                 text = html_text(page_html)
-                title, lang = _TITLE.search(page_html), _LANG.search(page_html[:4096])
+                title, first = _TITLE.search(page_html), _HTML.search(_COMMENT.sub("", page_html))  # wherever it stands
+                lang = _LANG.search(first[0]) if first else None
                 meta, conv = _named(name, "metadata"), _named(name, "conversion")
                 payload = payload or digest(body)
                 fields = [("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in headers), ("source-payload-digest", payload), ("source-block-digest", digest(raw or b""))]
