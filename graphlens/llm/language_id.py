@@ -2,16 +2,20 @@
 
 The evidence of a page is its text, the language its markup declares, the suffix of
 its address, and its host. Text likelihoods come from byte trigrams (a table per
-language, fitted on a bounded sample of labelled documents: SAMPLE_DOCS for each language,
+label, fitted on a bounded sample of labelled documents: SAMPLE_DOCS for each language,
 SAMPLE_CHARS of each; whole texts are scored). The likelihood of a declared language
 or suffix given the true language is estimated from all rows, by grouped sums of what the
 texts say; so is the prior of a host, smoothed towards its domain and that towards all
 rows, with a row's own share taken out. Sums are combined before each shuffle, so a host
 with a third of all rows is a few partial rows.
 
-The posterior is the normalised product. A row is accepted if its text holds evidence (one
-trigram of letters at least) and the best posterior reaches ACCEPT; null and empty texts are
-rejected with language ``und``. Missing markup, suffix or host is evidence of
+Before that, the text alone is held against a background that makes all trigrams alike: what no
+language explains better (an unknown language, noise, few letters that stand alone, null) is rejected
+with language ``und``, whatever its label says, and adds nothing to the sums. So do sampled documents that the
+rest of their label's sample does not explain; they are left out of the models.
+
+The posterior is the normalised product. A row is accepted if its text is known and the best
+posterior reaches ACCEPT. Missing markup, suffix or host is evidence of
 nothing. Ids may repeat or be null.
 """
 
@@ -25,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import reliable
 
@@ -34,6 +39,9 @@ BUCKETS = 1 << 16
 #: A text weighs as this many independent trigrams at most.
 EVIDENCE = 40.0
 SMOOTH = 0.5
+#: Log likelihood of a trigram under the background.
+BACKGROUND = -float(np.log(BUCKETS))
+UNSEEN = 0.01
 HOST_WEIGHT = 5.0
 ACCEPT = 0.5
 
@@ -70,33 +78,65 @@ def trigrams(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(16))[ok[1:-1]]
 
 
+_WORD = re.compile(r"[^\W\d_]{2}")
+
+
+def worded(text: str) -> bool:
+    """Whether two letters stand together, or letters that stand alone are half of what is not blank."""
+    return bool(_WORD.search(text)) or 2 * sum(c.isalpha() for c in text) >= sum(not c.isspace() for c in text)
+
+
 class Model:
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
 
-    def score(self, text: str) -> tuple[list[float], int]:
-        """Tempered log likelihoods of a whole text, and its trigrams."""
+    def score(self, text: str) -> tuple[list[float], int, bool]:
+        """Tempered log likelihoods of a whole text, its trigrams, and whether a language explains it better than the background."""
         t = trigrams(text)
         if not len(t):
-            return [0.0] * len(self.languages), 0
+            return [0.0] * len(self.languages), 0, False
         total = np.zeros(len(self.languages))
         for k in range(0, len(t), 1 << 16):
             total += self.table[t[k : k + (1 << 16)]].sum(0, dtype=np.float64)
+        known = bool(total.max() > BACKGROUND * len(t)) and worded(text)
         total *= min(1.0, EVIDENCE / len(t))
-        return (total - total.max()).tolist(), len(t)
+        return (total - total.max()).tolist(), len(t), known
+
+
+def fit(texts: list[str]) -> np.ndarray:
+    """Counts of the trigrams of texts, without those texts that the others explain worse than the background does."""
+    found = [t for t in map(trigrams, texts) if len(t)]
+    counts = np.zeros(BUCKETS)
+    for t in found:
+        np.add.at(counts, t, 1)
+    whole, out = counts + UNSEEN, counts.copy()
+    total = whole.sum()
+    for t in found:
+        of, n = np.unique(t, return_counts=True)
+        if len(found) > 1 and (n * np.log((whole[of] - n) / (total - len(t)))).sum() <= BACKGROUND * len(t):
+            out[of] -= n
+    return out if out.any() else counts
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS) -> Model:
-    """Fit on a seeded sample of at most ``per_language`` labelled rows for each of the commonest 32 languages."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    names = sorted(r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(32).collect())
-    counts = np.full((BUCKETS, max(1, len(names))), 0.01)
-    for k, name in enumerate(names):
-        text = F.substring(text_col, 1, SAMPLE_CHARS)
-        sample = rows.where(F.col(lang_col) == name).select(F.xxhash64(text).alias("h"), text.alias("t")).orderBy("h", "t").limit(per_language)
-        for r in sample.collect():  # bounded by the parameters above
-            np.add.at(counts[:, k], trigrams(r["t"]), 1)
-    return Model(names or ["und"], np.log(counts / counts.sum(0)).astype(np.float32))
+    """Fit on a seeded sample of at most ``per_language`` different texts for each label."""
+    text = F.substring(text_col, 1, SAMPLE_CHARS)
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), text.alias("t"))
+    hashed = rows.select("lang", F.xxhash64("t").alias("h"))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))  # cut in each partition before the shuffle
+    chosen = reliable(hashed.withColumn("_k", rank).where(F.col("_k") <= per_language).select("lang", "h").distinct())
+    sample = rows.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
+
+    def counted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        return pa.table({"lang": table["lang"][:1], "counts": pa.array([fit(table["t"].to_pylist()).astype(np.float32).tobytes()], pa.binary())})
+
+    found = sample.groupBy("lang").applyInArrow(counted, "lang string, counts binary").collect()  # one table of BUCKETS numbers for each label
+    found = sorted(found, key=lambda r: r["lang"])
+    if not found:
+        return Model(["und"], np.full((BUCKETS, 1), BACKGROUND, np.float32))
+    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in found], 1).astype(float) + UNSEEN
+    return Model([r["lang"] for r in found], np.log(counts / counts.sum(0)).astype(np.float32))
 
 
 def evidence(rows: DataFrame, model: Model, ids: list[str], markup: bool = False) -> DataFrame:
@@ -108,11 +148,11 @@ def evidence(rows: DataFrame, model: Model, ids: list[str], markup: bool = False
         for batch in batches:
             got = [m.score(html_text(t.as_py() or "") if markup else t.as_py() or "") for t in batch.column("text")]
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.int64())], [*kept, "loglik", "n_trigrams"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.bool_())], [*kept, "loglik", "n_trigrams", "known"])
 
     rows = rows.select(*ids, "declared", "suffix", "host", "domain", "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{schema}, loglik array<double>, n_trigrams long")
+    return rows.mapInArrow(run, f"{schema}, loglik array<double>, n_trigrams long, known boolean")
 
 
 def _normal(logs):
@@ -124,49 +164,47 @@ def _normal(logs):
 def fuse(scored: DataFrame, languages: list[str], ids: list[str]) -> DataFrame:
     """ids, lang, confidence, text_lang, declared, suffix, host, accepted of scored rows."""
     n = len(languages)
-    says = F.when(F.col("n_trigrams") > 0, _normal(F.col("loglik"))).otherwise(F.array(*[F.lit(1.0 / n)] * n))
+    says = F.when(F.col("known"), _normal(F.col("loglik"))).otherwise(F.array_repeat(F.lit(1.0 / n), n))
     scored = reliable(scored.withColumn("says", says))
 
     def sums(key: str) -> DataFrame:
-        per = scored.where(F.col("n_trigrams") > 0).where(F.col(key).isNotNull()).groupBy(key)
+        per = scored.where("known").where(F.col(key).isNotNull()).groupBy(key)
         return per.agg(F.array(*[F.sum(F.col("says")[k]) for k in range(n)]).alias(f"_{key}"))
 
-    total = scored.where("n_trigrams > 0").agg(F.array(*[F.coalesce(F.sum(F.col("says")[k]), F.lit(0.0)) for k in range(n)]).alias("_all"))
+    total = scored.where("known").agg(F.array(*[F.coalesce(F.sum(F.col("says")[k]), F.lit(0.0)) for k in range(n)]).alias("_all"))
     out = scored.crossJoin(F.broadcast(total))  # one row
     for key in ("declared", "suffix", "domain", "host"):
         out = out.join(sums(key), key, "left")
-    own = F.when(F.col("n_trigrams") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-
-    def less(name: str, k: int):
-        """A sum without what the row itself gave."""
-        return F.greatest(F.coalesce(F.col(name)[k], F.lit(0.0)) - own * F.when(F.col(name).isNotNull(), F.col("says")[k]).otherwise(0.0), F.lit(0.0))
-
-    def count(name: str):
-        return sum((less(name, k) for k in range(1, n)), less(name, 0))
-
-    rows = []
-    for k in range(n):
-        everywhere = (less("_all", k) + 1.0) / (count("_all") + n)
-        domain = (less("_domain", k) + HOST_WEIGHT * everywhere) / (count("_domain") + HOST_WEIGHT)
-        host = (less("_host", k) + HOST_WEIGHT * domain) / (count("_host") + HOST_WEIGHT)
-        log = F.log(host) + F.col("loglik")[k]
-        for key in ("declared", "suffix"):
-            given = (less(f"_{key}", k) + SMOOTH) / (less("_all", k) + SMOOTH * 20)
-            log = log + F.when(F.col(f"_{key}").isNotNull(), F.log(given)).otherwise(0.0)
-        rows.append(log)
+    own = F.when(F.col("known"), F.lit(1.0)).otherwise(F.lit(0.0))
+    zeros = F.array_repeat(F.lit(0.0), n)
+    for name in ("_all", "_declared", "_suffix", "_domain", "_host"):  # sums without what the row itself gave
+        less = F.zip_with(F.col(name), F.transform("says", lambda p: p * own), lambda s, p: F.greatest(s - p, F.lit(0.0)))
+        out = out.withColumn(f"{name}_l", F.coalesce(less, zeros)).withColumn(f"{name}_n", F.aggregate(f"{name}_l", F.lit(0.0), lambda a, b: a + b))
+
+    def log(k):
+        of = lambda name: F.get(F.col(f"{name}_l"), k)
+        everywhere = (of("_all") + 1.0) / (F.col("_all_n") + n)
+        domain = (of("_domain") + HOST_WEIGHT * everywhere) / (F.col("_domain_n") + HOST_WEIGHT)
+        host = (of("_host") + HOST_WEIGHT * domain) / (F.col("_host_n") + HOST_WEIGHT)
+        sum_ = F.log(host) + F.get("loglik", k)
+        for key in ("_declared", "_suffix"):
+            given = (of(key) + SMOOTH) / (of("_all") + SMOOTH * 20)
+            sum_ = sum_ + F.when(F.col(key).isNotNull(), F.log(given)).otherwise(0.0)
+        return sum_
+
+    out = out.withColumn("_log", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), log))
     names = F.array(*[F.lit(x) for x in languages])
-    out = out.withColumn("_p", _normal(F.array(*rows)))
+    out = out.withColumn("_p", _normal(F.col("_log")))
     best = F.array_max("_p")
-    has_text = F.col("n_trigrams") > 0
     return out.select(
         *ids,
-        F.when(has_text, F.element_at(names, F.array_position("_p", best).cast("int"))).otherwise("und").alias("lang"),
-        F.when(has_text, best).otherwise(0.0).alias("confidence"),
-        F.when(has_text, F.element_at(names, F.array_position("says", F.array_max("says")).cast("int"))).otherwise("und").alias("text_lang"),
+        F.when(F.col("known"), F.element_at(names, F.array_position("_p", best).cast("int"))).otherwise("und").alias("lang"),
+        F.when(F.col("known"), best).otherwise(0.0).alias("confidence"),
+        F.when(F.col("known"), F.element_at(names, F.array_position("says", F.array_max("says")).cast("int"))).otherwise("und").alias("text_lang"),
         "declared",
         "suffix",
         "host",
-        (has_text & (best >= ACCEPT)).alias("accepted"),
+        (F.col("known") & (best >= ACCEPT)).alias("accepted"),
     )
 
 
