@@ -9,7 +9,10 @@ back-pointers from the end emits the ids.
 
 Texts are cut where the tokenizer's own pre-tokenizer cuts them, and around its special
 tokens, which become their ids. A worker remembers the encodings of pieces it
-has met, a bounded number of them. Null counts as the empty text, which has no ids.
+has met, a bounded number of them. Null counts as the empty text, which has no ids. Each row is
+handled by itself, so copies, ties and repeated or null ids make no difference. Texts are taken some
+megabytes at a time; a longer one is taken whole, whose task needs some 20 times its bytes. Other columns
+are not read, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words of each of two generations that a worker remembers.
-REMEMBERED = 200_000
+#: Words that a worker remembers.
+REMEMBERED = 1_000_000
 #: Bytes of text whose parts are looked at together.
 TOGETHER = 16 << 20
 _NEVER = 1 << 60
@@ -60,10 +63,14 @@ class Parts:
     without white space after a space is its first part and parts with a space before
     them. A part of letters and final punctuation is two pre-tokens, so only its word is
     encoded, and words met lately are remembered. Texts of other forms are encoded whole.
+    All but the encoding of new words is done by columns: pieces (words, marks, first parts, whole texts)
+    stand in one array of ids, and the ids of the texts are gathered from it.
     """
 
     #: Marks that may follow a word; all are neither letters, digits nor white space.
     MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Words longer than this are not remembered.
+    LONGEST = 64
 
     def __init__(self, whole, many, tail, special: list[str], together: int = TOGETHER, remembered: int = REMEMBERED):
         """whole(text); many(parts) of parts that follow a space; tail(marks) of marks after a word."""
@@ -71,69 +78,114 @@ class Parts:
         self.whole, self.many = whole, many
         self.tail, self.first = Recent(tail, 20_000), Recent(whole, 20_000)
         self.odd = "|".join([r" [ \t\n\r\v\f]", " $", *map(re.escape, special)])
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.counts = np.empty(0, "<u4"), np.empty(0, np.int64)
 
     def word(self, part: str) -> str | None:
         word = part.rstrip(self.MARKS)
         return word if word.isalpha() and (word.isascii() or max(word) < "\u0250") else None
 
-    def resolve(self, parts: list[str], again: list[bool]) -> list[bytes | None]:
-        """The encodings of different parts; None for those that begin with white space or are empty. Words of parts that come again are remembered."""
-        new, old = self.new, self.old
-        marks = self.MARKS
-        words = [w if w.isascii() and w.isalpha() else self.word(p) or p for p, w in zip(parts, [p.rstrip(marks) for p in parts], strict=True)]
-        ask = {w: None for w in words if w not in new and w not in old and w and not w[0].isspace()}
-        made = dict(zip(ask, self.many([*ask]), strict=True)) if ask else {}
-        out: list[bytes | None] = []
-        for part, word in zip(parts, words, strict=True):
-            got = made.get(word)
-            if got is None:
-                got = new.get(word)
-                if got is None:
-                    got = old.get(word)
-                    if got is None:
-                        out.append(None)
-                        continue
-                    new[word] = got
-            out.append(got if word is part or len(word) == len(part) else got + self.tail[part[len(word) :]])
-        new.update((w, made[w]) for w, more in zip(words, again, strict=True) if more and w in made)
-        if len(new) > self.remembered:
-            self.old, self.new = new, {}
-        return out
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
+    def cut(self, parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """What is encoded of each part, its word or all of it, and the marks that follow."""
+        words = pc.utf8_rtrim(parts, self.MARKS)
+        plain = pc.and_(pc.utf8_is_alpha(words), pc.match_substring_regex(words, "^[\\x00-\\x{24F}]+$"))
+        words = pc.if_else(plain, words, parts)
+        more = pc.less(pc.binary_length(words), pc.binary_length(parts))
+        marks = pc.replace_substring_regex(parts.filter(more), r"^[^!-/:-@\[-`{-~]+", "")
+        return words, pc.replace_with_mask(pa.array([""], pa.large_string()).take(pa.array(np.zeros(len(parts), np.int64))), more, marks)
+
+    def resolve(self, words: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words one after the other, and how many of each; what is new is remembered."""
+        at = pc.index_in(words, self.words).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(np.isnan(at)) if at.dtype.kind == "f" else np.empty(0, np.int64)
+        known = np.flatnonzero(~np.isnan(at)) if len(new) else np.arange(len(words))
+        made = self.many(words.take(pa.array(new)).to_pylist())
+        counts = np.empty(len(words), np.int64)
+        counts[new] = [len(x) // 4 for x in made]
+        old = at[known].astype(np.int64)
+        counts[known] = self.counts[old]
+        starts = np.empty(len(words), np.int64)
+        held = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        starts[known] = (np.cumsum(self.counts) - self.counts)[old]
+        starts[new] = len(self.ids) + np.cumsum(counts[new]) - counts[new]
+        ids = gather(held, starts, counts)
+        keep = new[(pc.binary_length(words.take(pa.array(new))).to_numpy(zero_copy_only=False) <= self.LONGEST)]
+        if len(self.words) + len(keep) > self.remembered:  # what this batch has not met twice is forgotten
+            keep = np.concatenate([keep, known])
+            keep = np.sort(keep[times[keep] > 1])[: self.remembered]
+            self.words, self.ids, self.counts = words.take(pa.array(keep)), gather(held, starts[keep], counts[keep]), counts[keep]
+        elif len(keep):
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(keep))])
+            self.ids, self.counts = np.concatenate([self.ids, gather(held, starts[keep], counts[keep])]), np.concatenate([self.counts, counts[keep]])
+        return ids, counts
+
+    def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, end, ids, counts) of runs of texts with a bounded number of bytes (or one text): their ids one after the other, and how many each has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // self.together
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
-        out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
-                out += self.encode_some(texts.slice(a, b - a))
+                yield a, b, *self.encode_some(texts.slice(a, b - a))
                 pa.default_memory_pool().release_unused()
-        return out
 
-    def encode_some(self, texts: pa.Array) -> list[bytes]:
-        odd = pc.match_substring_regex(texts, self.odd).to_pylist()
+    def encode_some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(texts, " ")
         coded = split.values.dictionary_encode()
-        codes, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
-        known = self.resolve(coded.dictionary.to_pylist(), (np.bincount(codes, minlength=len(coded.dictionary)) > 1).tolist())
-        heads = coded.dictionary
+        codes, ends, parts = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64), coded.dictionary
         del coded, split
-        if None in known:
-            lost = np.isin(codes, [k for k, v in enumerate(known) if v is None])
-            lost[ends[:-1][ends[:-1] < ends[1:]]] = False  # a first part may be empty
-            odd = [o or bool(lost[a:b].any()) for o, a, b in zip(odd, ends, ends[1:], strict=False)]
-        out = []
-        for k, whole in enumerate(odd):
-            text_codes = codes[ends[k] : ends[k + 1]].tolist()
-            if whole or not text_codes:
-                out.append(self.whole(texts[k].as_py()))
-            else:
-                head = heads[text_codes[0]].as_py()
-                out.append(b"".join([self.first[head], *[known[c] for c in text_codes[1:]]]))
-        return out
+        blank = pc.or_(pc.equal(pc.binary_length(parts), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(parts, 0, 1))).to_numpy(zero_copy_only=False)
+        starts, stops = ends[:-1], ends[1:]
+        lost = blank[codes]
+        lost[starts[starts < stops]] = False  # a first part may be anything
+        lost = np.concatenate([[0], np.cumsum(lost)])
+        odd = odd | (lost[stops] > lost[starts]) | (starts == stops)
+        # pieces: the words, the marks after them, the first parts, whole texts
+        parts = pc.if_else(pa.array(blank), "", parts)
+        times = np.bincount(codes, minlength=len(parts))
+        words, marks = (x.dictionary_encode() for x in self.cut(parts))
+        of, marked = words.indices.to_numpy(), marks.indices.to_numpy()
+        some = words.dictionary
+        empty = pc.equal(pc.binary_length(some), 0).to_numpy(zero_copy_only=False)
+        order = np.cumsum(~empty) - 1
+        ids, counts = self.resolve(some.filter(pa.array(~empty)), np.bincount(of, times, len(some))[~empty].astype(np.int64))
+        rest = [self.tail[m] for m in marks.dictionary.to_pylist()]
+        heads = [self.whole(texts[k].as_py()) if whole else self.first[texts[k].as_py().partition(" ")[0]] for k, whole in enumerate(odd.tolist())]
+        held = np.concatenate([ids, np.frombuffer(b"".join(rest), "<u4")])
+        counts = np.concatenate([counts, [0], [len(x) // 4 for x in rest]]).astype(np.int64)  # the piece after the words is empty
+        begin = np.cumsum(counts) - counts
+        void = int((~empty).sum())
+        pair = np.stack([np.where(empty[of], void, order[of]), void + 1 + marked], 1)
+        part_ids, part_counts = gather(held, begin[pair].ravel(), counts[pair].ravel()), counts[pair].sum(1)
+        # the texts: a first part or a whole text, then the other parts of those that are not odd
+        held = np.concatenate([part_ids, np.frombuffer(b"".join(heads), "<u4")])
+        counts = np.concatenate([part_counts, [len(x) // 4 for x in heads]]).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        inner = np.repeat(~odd, stops - starts)
+        inner[starts[starts < stops]] = False
+        many = np.where(odd, 0, stops - starts - 1)
+        first = np.cumsum(many + 1) - many - 1
+        piece = np.empty(int((many + 1).sum()), np.int64)
+        at_first = np.zeros(len(piece), bool)
+        at_first[first] = True
+        piece[at_first], piece[~at_first] = len(part_counts) + np.arange(len(texts)), codes[inner]
+        sizes = counts[piece]
+        return gather(held, begin[piece], sizes), np.add.reduceat(sizes, first) if len(first) else sizes
+
+
+def gather(held: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``held`` that begin at ``starts`` and have ``counts`` values, one after the other."""
+    shift = starts - (np.cumsum(counts) - counts)
+    at = np.repeat(shift, counts)
+    at += np.arange(len(at))
+    return held[at]
+
+
+def binary_column(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A column of binary values of the ids of each text."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * ids.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
 
 
 def byte_characters() -> dict[int, str]:
@@ -167,7 +219,7 @@ class Encoder:
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.apart = Recent(self._apart, 100_000)
         self.written = {b: c for b, c in byte_characters().items() if chr(b) != c}
-        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special], TOGETHER // 3, REMEMBERED // 2)
+        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special], TOGETHER // 3)
 
     def _apart(self, both: int) -> bool:
         """Whether two neighbours stay two tokens: undo their merges from the last to the first and look for a merge across the seam that would have come before the one undone."""
@@ -221,9 +273,9 @@ class Encoder:
                 todo = cut
         return b"".join(self._encode_part(t) if isinstance(t, str) else t.to_bytes(4, "little") for t in todo)
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of texts as little-endian unsigned 32-bit integers."""
-        return self.parts.encode(texts)
+    def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, end, ids, counts) of runs of texts."""
+        return self.parts.chunks(texts)
 
 
 class Decoder:
@@ -267,9 +319,8 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for whole in batches:
-            for batch in slices(whole):
-                ids = e.encode(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for a, b, ids, counts in e.chunks(whole.column(1)):
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a), pa.array(counts, pa.int64()), binary_column(ids, counts)], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")

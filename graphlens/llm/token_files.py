@@ -15,8 +15,9 @@ gives the four lengths of each control byte, sums of lengths give each code's pl
 the codes are gathered by numpy.
 
 Null texts are empty; every document ends with the end id, so none is without tokens. Rows
-with equal ids stand in any order beside each other; null ids come first and read back
-as null. An empty table gives no files and no rows.
+with equal ids stand in any order beside each other, and may go on in the next file; null ids come
+first and read back as null. A text of any length is one row of one file. Other columns are not
+read, so their names cannot clash. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import TOKENIZER, Parts, byte_characters, slices
+from .bpe import TOKENIZER, Parts, byte_characters
 from .common import BROADCAST_ROWS, new_folder, split_uri
 
 END_ID = 2
@@ -78,8 +79,8 @@ class LibraryEncoder:
             out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
         return out
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        return self.parts.encode(texts)
+    def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        return self.parts.chunks(texts)
 
 
 @functools.cache
@@ -154,16 +155,18 @@ def encode_once(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
 
         lib, press = library(path), zstandard.ZstdCompressor(1)
         counts = np.zeros(max(lib.size, END_ID + 1), np.int64)
-        end = END_ID.to_bytes(4, "little")
         names = ["doc_id", "ids", "counts"]
-        for batch in (b for whole in batches for b in slices(whole, 5000)):
-            packed, raw = [], lib.encode(batch.column(1))
-            for k in range(0, len(raw), 512):
-                counts += np.bincount(np.frombuffer(end.join([*raw[k : k + 512], b""]), "<u4"), minlength=len(counts))
-            for x in raw:
-                ids = np.frombuffer(x + end, "<u4")
-                packed.append(press.compress((ids if lib.size > 1 << 16 else ids.astype("<u2")).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names)
+        kind = "<u4" if lib.size > 1 << 16 else "<u2"
+        for batch in batches:
+            for a, b, ids, sizes in lib.chunks(batch.column(1)):
+                counts += np.bincount(ids, minlength=len(counts))
+                counts[END_ID] += len(sizes)
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids.astype(kind), ends, END_ID)
+                ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+                raw = memoryview(ids).cast("B")
+                packed = [press.compress(raw[x * ids.itemsize : y * ids.itemsize]) for x, y in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names)
         at = np.flatnonzero(counts)
         seen = np.stack([at, counts[at]], 1).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], pa.binary())], names)
@@ -233,7 +236,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         if ids:
             yield out()
 
-    ordered = encoded.where("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows with equal or null ids are parted by where they stand, so they need not fit one range
+    placed = encoded.where("ids IS NOT NULL").select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
+    ordered = placed.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
     written = ordered.mapInArrow(run, "file string, first long, docs long, tokens long")
     written = written.withColumn("part", F.spark_partition_id()).withColumn("turn", F.monotonically_increasing_id())
     written.write.parquet(f"{folder}/manifest")
