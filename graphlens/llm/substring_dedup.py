@@ -13,8 +13,12 @@ anchor whose 15 words (35 - 21 + 1) lie inside both. The steps:
 4. the words covered by them are removed.
 
 A hot passage costs one row for each block that holds it, however often it occurs, and no pairs are
-formed. Null texts have no words; texts of under 35 words are kept whole; copies of a
-text remove each other whole; rows with equal or null ids are different documents.
+formed. Words are compared by 64-bit hashes: of up to 8 bytes the bytes themselves, of up to 32 bytes mixed
+step by step, of more a BLAKE2 digest. Null and empty texts have no words; texts of under 35 words are kept
+whole; copies of a text remove each other whole, so of a clean document go just the words that lie in a run
+of 35 which stands elsewhere too; rows with equal or null ids are different documents, and each gives a row. A long
+text is one row of one block, whose task needs some 20 times its bytes. Other columns are not read, so
+their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,26 +36,20 @@ PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_BYTES = 16 << 20
+#: Small tables are dealt into so many blocks, if they are of so many bytes at least.
+LEAST_BLOCKS, LEAST_BLOCK_BYTES = 64, 1 << 20
+#: Blocks beyond so many share partitions, which take one after the other.
+MOST_PARTITIONS = 20_000
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
-# three odd multipliers and a table of values for bytes, drawn once from a fixed seed
+# odd multipliers, drawn once from a fixed seed
 _RANDOM = np.random.default_rng(20_240_601)
-_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
-_BASES = [int(x) | 1 for x in _RANDOM.integers(2**62, 2**64, 4, dtype=np.uint64)]
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _power(k: int, n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of base k (or of its inverse) modulo 2**64."""
-    have = _powers.get((k, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASES[k], -1, 1 << 64) if inverse else _BASES[k]
-        steps = np.full(max(1024, 2 * n), base, np.uint64)
-        steps[0] = 1
-        have = _powers[k, inverse] = np.multiply.accumulate(steps)
-    return have[:n]
+_BASES = [int(x) | 1 for x in _RANDOM.integers(2**62, 2**64, 5, dtype=np.uint64)]
+#: Longer words are hashed by a digest.
+MIXED_BYTES = 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,30 +58,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sums(values: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power(k, len(values)), out=out[1:])
-    return out
-
-
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text."""
-    raw = np.frombuffer(text, np.uint8)
-    gap = np.ones(len(raw) + 2, bool)
-    gap[1:-1] = _SPACES[raw]
+    """A 64-bit hash of each word of a text; words of up to 8 bytes of equal length never share one."""
+    n = len(text)
+    padded = text + bytes(8)
+    gap = np.ones(n + 2, bool)
+    gap[1:-1] = _SPACES[np.frombuffer(text, np.uint8)]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
+    del gap
     starts, ends = edges[::2], edges[1::2]
-    sums = _sums(_BYTE[raw], 0)
-    return _mix((sums[ends] - sums[starts]) * _power(0, len(raw) + 1, True)[starts] + (ends - starts).astype(np.uint64))
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    lengths = ends - starts
+    out = _mix((eight[starts] & _MASKS[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * np.uint64(_BASES[0]))
+    for k in range(8, MIXED_BYTES, 8):
+        at = np.flatnonzero(lengths > k)
+        if not len(at):
+            break
+        out[at] = _mix(out[at] * np.uint64(_BASES[4]) ^ (eight[starts[at] + k] & _MASKS[np.minimum(lengths[at] - k, 8)]))
+    for i in np.flatnonzero(lengths > MIXED_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int, k: int = 1) -> np.ndarray:
-    """A hash of each run of ``width`` words, by its first word."""
+    """A hash of each run of ``width`` words, by its first word: runs of a power of two are made from halves, and put together."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    sums = _sums(words, k)
-    return _mix((sums[width:] - sums[:n]) * _power(k, n, True))
+    base, run, size, done = _BASES[k], words, 1, 0
+    out = np.zeros(n, np.uint64)
+    while True:
+        power = np.uint64(pow(base, size, 1 << 64))
+        if width & size:
+            out *= power
+            out += run[done : done + n]
+            done += size
+        if 2 * size > width:
+            return _mix(out)
+        run = run[:-size] * power + run[size:]
+        size *= 2
 
 
 def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +238,12 @@ def _repeated(keys: list[str]):
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (binary, UTF-8) of each row."""
     size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    spread = F.pmod(F.xxhash64(docs[id_col], F.crc32(docs[text_col].cast("binary"))), F.lit(blocks)).cast("int")
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), spread.alias("block")).repartition(blocks, "block")
+    small = min(LEAST_BLOCKS, -(-size // LEAST_BLOCK_BYTES))
+    blocks = max(1, small, -(-size // BLOCK_BYTES))
+    # rows that are the same, ids and all, are parted by where they are read
+    spread = F.pmod(F.xxhash64(docs[id_col], F.crc32(docs[text_col].cast("binary")), F.spark_partition_id()), F.lit(blocks)).cast("int")
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), spread.alias("block")).repartition(min(blocks, MOST_PARTITIONS), "block")
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def shared(found: DataFrame, keys: dict[str, str]) -> DataFrame:
         schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", block int"
@@ -236,4 +252,4 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = shared(rows.mapInArrow(_anchor_rows, "h long, block int, many boolean"), {"h": "long"})
     windows = rows.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_window_rows, "h long, h2 int, block int, many boolean")
     again = shared(windows, {"h": "long", "h2": "int"})
-    return rows.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_text binary")
+    return rows.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_kept_rows, f"doc_id {kind}, n_words long, n_removed long, kept_text binary")
