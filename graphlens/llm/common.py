@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +44,15 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def by_bytes(batch, column: int | str, most: int = 8 << 20):
+    """Slices of an Arrow batch whose texts in a column have some bytes together, or one row each where a text has more."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def split_uri(uri: str):
     """(filesystem, path) of a folder named by URI, for tasks that write files of their own format."""
     from pyarrow import fs

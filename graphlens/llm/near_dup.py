@@ -6,17 +6,20 @@ similarity of their sets is at least 0.8. The steps:
 
 1. each text gives a 128-bit digest of its set and 128 MinHash values in 32 bands of four;
    rows with equal sets are one node from here on, with their number as its weight;
-2. nodes that share a band are candidates. A bucket is tied together by a star (each node
-   to the least), never by all pairs; connected stars are a cluster (a pair at 0.8
-   shares no band with probability 5e-8);
-3. a cluster is cut into chunks; each pair of chunks is compared in one task. MinHash
-   values are compared eight at a time, and a pair is dropped when the posterior
-   probability that its similarity reaches the threshold falls below 1e-9; the similarity
+2. nodes that share a band meet in its bucket (a pair at 0.8 shares no band with
+   probability 5e-8). There MinHash values, cut to a byte each, are compared 32 at a time, and a pair is dropped when
+   the posterior probability that its similarity reaches the threshold falls below 1e-9. A
+   bucket is walked like a graph: who stays with a node that was met need not be compared
+   with what was met before, so copies cost one comparison each. It gives a forest, never pairs;
+3. what the forests connect is a cluster. It is cut into chunks; each pair of chunks is compared in one
+   task, eight whole MinHash values at a time with the same pruning, and the similarity
    of the rest is computed from their whole sets;
 4. a task returns counts and a spanning forest of the links, one row for each node, never pairs;
    forests of clusters with several chunks are joined by connected components.
 
-Rows with a null id take part like others; ids may repeat; null texts have no words.
+Rows with a null id take part like others; ids may repeat; null and blank texts have no words and
+no links. Ties in the least id are one class id. A text of any length is one set of 8 bytes a word in two or more tasks.
+Other columns are not read, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, reliable, row_key, without
+from .common import BROADCAST_ROWS, by_bytes, join_hot, reliable, row_key, unused, without
 from .components import components
 from .substring_dedup import _mix, window_hashes, word_hashes
 
@@ -40,6 +43,8 @@ VALUES, BAND = 128, 4
 STEP = 8
 TOLERANCE = 1e-9
 CHUNK = 256
+#: Nodes of a bucket that are compared in one task; larger buckets are cut into chunks, each pair of which is a task.
+BUCKET = 4096
 _RANDOM = np.random.default_rng(7)
 _TIMES = _RANDOM.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _RANDOM.integers(0, 2**32, VALUES, dtype=np.uint32)
@@ -89,17 +94,91 @@ def _text(cell) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, bands = [], []
-        for cell in batch.column(1):
+    for batch in (b for whole in batches for b in by_bytes(whole, 2)):
+        nodes, bands, marks = [], [], []
+        for cell in batch.column(2):
             s = shingles(_text(cell))
+            values = _minhash(s) if len(s) else None
             nodes.append(_digest(s) if len(s) else None)
-            bands.append(_bands(_minhash(s)) if len(s) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            bands.append(_bands(values) if len(s) else [])
+            marks.append((values & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "text_hash", "node", "bands", "marks"])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of rows whose marks (bytes of MinHash values) do not rule out a link.
+
+    A byte is equal if its value is, so that no pair is dropped which whole values would keep.
+    """
+    least = least_matches()
+    cuts = [(k, least[(k + 32) // STEP - 1]) for k in range(0, VALUES, 32)]
+    rest, a, b = np.arange(len(marks)), [], []
+    while len(rest) > 1:
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            at = todo.pop()
+            near, match = np.arange(len(rest)), np.zeros(len(rest), np.int64)
+            for k, need in cuts:
+                match = match + (marks[rest[near], k : k + 32] == marks[at, k : k + 32]).sum(1)
+                stay = match >= need
+                near, match = near[stay], match[stay]
+            if len(near):
+                hit = rest[near]
+                a += [at] * len(hit)
+                b += hit.tolist()
+                todo += hit.tolist()
+                rest = np.delete(rest, near)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _pairs_of_two(marks: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of buckets with two rows (first, first + 1): those that may be linked."""
+    least = least_matches()
+    match = (marks[first] == marks[first + 1]).sum(1) if len(first) else np.empty(0, np.int64)
+    return first[match >= least[-1]]
+
+
+def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests (a, b) of the buckets (band, i, j) of rows sorted by them; a bucket may go on in the next batch."""
+    held: list[pa.Table] = []
+
+    def tie(table: pa.Table) -> pa.RecordBatch:
+        band, i, j = (table[c].to_numpy() for c in ("band", "i", "j"))
+        node = table["node"].combine_chunks()
+        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, VALUES)
+        new = np.ones(len(band), bool)
+        new[1:] = (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(band)))
+        two = _pairs_of_two(marks, starts[sizes == 2])
+        a, b = [two], [two + 1]
+        for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            x, y = forest(marks[at : at + n])
+            a.append(x + at)
+            b.append(y + at)
+        return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = lambda t, k: tuple(t[c][k].as_py() for c in ("band", "i", "j"))
+        table = pa.Table.from_batches([batch])
+        if held and key(held[-1], 0) == key(table, len(table) - 1):
+            held.append(table)
+            continue
+        n, last = len(table), key(table, len(table) - 1)
+        same = np.logical_and.reduce([table[c].to_numpy() == v for c, v in zip(("band", "i", "j"), last, strict=True)])
+        cut = n - int(same.sum())  # rows are sorted, so the last bucket is a tail
+        done = pa.concat_tables([*held, table.slice(0, cut)])
+        if len(done):
+            yield tie(done)
+        held = [table.slice(cut)]
+    if held:
+        yield tie(pa.concat_tables(held))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b for whole in batches for b in by_bytes(whole, "text")):
         out: dict[str, list] = {"set": [], "values": []}
         for cell, node in zip(batch.column("text"), batch.column("node"), strict=True):
             s = shingles(_text(cell))
@@ -178,32 +257,48 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"chunks": table["chunks"], "node": table["node"], "links": count, "root": pa.array([nodes[r] for r in root], pa.binary())})
 
 
+def candidates(signed: DataFrame) -> DataFrame:
+    """(a, b): a forest of nodes that share a band and that their MinHash values do not rule out as linked."""
+    held = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
+    shared = held.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band")
+    company = reliable(held.join(shared, "band", "left_semi").select("band", "node").distinct())
+    marks = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("marks").alias("marks"))
+    rows = company.join(marks, "node")
+    large = reliable(company.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BUCKET).select("band", F.ceil(F.col("size") / BUCKET).cast("int").alias("chunks")))
+    rows = rows.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "band", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("band", F.least("chunk", "_to").alias("i"), F.greatest("chunk", "_to").alias("j"), "node", "marks")
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    return dealt.mapInArrow(_tie, "a binary, b binary")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, class_size.
 
     ``n_links`` is the number of other rows whose similarity is 0.8 or more, copies
     counted one by one; ``class_id`` is the least id of the rows that links connect.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("text_hash"), docs[f"`{text_col}`"].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = reliable(rows.mapInArrow(_sign, f"doc_id {kind}, node binary, bands array<bigint>"))
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    signed = reliable(rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, node binary, bands array<bigint>, marks binary"))
+    per = signed.where("node IS NOT NULL").groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("again"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "again"))  # the row that stands for a node
+    nodes = per.groupBy("node").agg(first.alias("first"), F.sum("again").alias("weight"))
 
-    held = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
-    buckets = held.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
-    stars = held.join(buckets, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = reliable(components(stars)).withColumnRenamed("root", "cluster")
+    clusters = reliable(components(candidates(signed)).withColumnRenamed("root", "cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    count = clusters.count()
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    chosen = (
-        clusters.join(sizes, "cluster")
-        .join(nodes, "node")
-        .select("node", "cluster", F.col("first").alias("_first"), "weight", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
-    )
-    chosen = reliable(chosen)
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    found = rows.join(few, rows["doc_id"].eqNullSafe(few["_first"])).select("text", "node", "cluster", "weight", "chunks", "chunk")
-    found = found.mapInArrow(_members, "node binary, cluster binary, weight long, chunks int, chunk int, set binary, values binary").where("set IS NOT NULL")
+    chosen = join_hot(clusters, sizes, ["cluster"], "size", count).join(nodes, "node")
+    chosen = reliable(chosen.select("node", "cluster", "first", "weight", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")))
+    few = chosen.select("node", "cluster", "weight", "chunks", "chunk", F.col("first.again").alias("again"), F.col("first.doc_id").alias("_first"), F.col("first.text_hash").alias("_hash"))
+    few = F.broadcast(few) if count <= BROADCAST_ROWS else few
+    # the row is met by its id and the hash of its text; of rows that share both, one is taken
+    found = rows.join(few, rows["doc_id"].eqNullSafe(few["_first"]) & (rows["text_hash"] == few["_hash"]))
+    found = found.select("text", "node", "cluster", "weight", "chunks", "chunk", "again")
+    if chosen.where("first.again > 1").limit(1).count():
+        found = found.where("again = 1").unionByName(found.where("again > 1").dropDuplicates(["node"]))
+    found = found.drop("again").mapInArrow(_members, "node binary, cluster binary, weight long, chunks int, chunk int, set binary, values binary").where("set IS NOT NULL")
     dealt = found.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("node", "cluster", "weight", "chunks", "chunk", "set", "values", F.least("chunk", "_to").alias("i"), F.greatest("chunk", "_to").alias("j"))
     compared = reliable(dealt.groupBy("cluster", "i", "j").applyInArrow(_compare, "chunks int, node binary, links long, root binary"))
@@ -213,13 +308,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = compared.where("chunks > 1 AND node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     if parts.limit(1).count():
         whole = whole.unionByName(components(parts))
-    known = nodes.join(linked, "node", "left").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("node", F.col("first.doc_id").alias("first"), "weight").join(linked, "node", "left").join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = reliable(known.select("node", "first", "weight", F.coalesce("links", F.lit(0)).alias("links"), "root"))
-    classes = known.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("weight").alias("class_size"))
-    known = known.join(classes, "root").select("node", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), "class_size")
-    return signed.select("doc_id", "node").join(known, "node", "left").select(
+    classes = known.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("weight").alias("class_size"), F.count(F.lit(1)).alias("_n"))
+    total = signed.count()
+    known = join_hot(known, classes, ["root"], "_n", total)
+    known = known.select("node", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), "class_size", F.col("weight").alias("_n"))
+    return join_hot(signed.select("doc_id", "node"), reliable(known), ["node"], "_n", total, "left").select(
         "doc_id",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
     )
@@ -228,16 +325,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class of ``docs``: the one with the smallest id (null last, ties by a digest of the row); rows without words all stay.
 
-    Each row is judged by itself, so ids may repeat or be null.
+    Each row is judged by itself, so ids may repeat or be null; columns of any name may stand beside.
     """
-    marked = docs.withColumn("_key", row_key(docs))
-    named = marked.withColumn("_id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_key").alias("key")))
-    verdicts = reliable(jaccard_join(named, "_id", text_col))
+    key, name = unused(docs, "_key"), unused(docs, "_id")
+    marked = docs.withColumn(key, row_key(docs))
+    named = marked.withColumn(name, F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(key).alias("key")))
+    verdicts = reliable(jaccard_join(named, name, text_col))
     leads = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = verdicts.where(~leads).select(F.col("doc_id.key").alias("_key")).distinct()
-    again = verdicts.where(leads & (F.col("class_size") > 1)).groupBy(F.col("doc_id.key").alias("_key")).count().where("count > 1").select("_key")
+    gone = verdicts.where(~leads).select(F.col("doc_id.key").alias(key)).distinct()
+    again = verdicts.where(leads & (F.col("class_size") > 1)).groupBy(F.col("doc_id.key").alias(key)).count().where("count > 1").select(key)
     again = reliable(again)  # leaders that stand several times, the same in all columns
-    kept = without(marked, gone, ["_key"])
+    kept = without(marked, gone, [key])
     if again.limit(1).count():
-        kept = without(kept, again, ["_key"]).unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
-    return kept.select(*docs.columns)
+        kept = without(kept, again, [key]).unionByName(without(kept, again, [key], "left_semi").dropDuplicates([key]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
