@@ -9,9 +9,11 @@ programming for what is then left. Which documents of a length are taken is sett
 a seeded hash of the id, so reruns agree.
 
 The plan of a source works on its histogram of lengths, never on its documents.
-The documents of one (source, length) are ranked in slices of the hash, whose offsets come
-from counts, so that no group is ranked in one task. Null texts have no words; documents
-without words are never taken. Rows with equal ids are told apart by row.
+The documents of one (source, length) are ranked in slices of the hash, the more the larger the group, whose offsets
+come from counts, so that no group is ranked in one task. Sources are ordered in ranges, so there may be many.
+Null and blank texts have no words; documents without words are never taken. Rows with equal or null ids are
+told apart by row. A text of any length is one count; the plan of a source needs memory for four times its longest.
+Other columns are not read, so their names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, reliable
+from .common import WORD, join_hot, reliable, with_running
 
 SEED = 42
-SLICES = 64
+#: Documents of a group are ranked in up to 2 ** MOST_SLICES slices of some SLICE_ROWS rows.
+SLICE_ROWS, MOST_SLICES = 1024, 16
 #: Bytes of reachability kept at once (for each level) while a plan is traced back; what is not kept is computed again.
 TRACE_BYTES = 64_000_000
 
@@ -109,55 +112,45 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     whole = min(2, int(target // size)) if size else 0
     extra = fit_budget(pdf["size"].astype(int).tolist(), pdf["n"].astype(int).tolist(), round(target - whole * size) if whole < 2 else 0)
-    return pdf[["source", "size"]].assign(whole=whole, extra=extra)
+    return pdf[["source", "size", "n", "source_size", "target"]].assign(whole=whole, extra=extra)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple = (3, 1, 2), most: int = 2) -> DataFrame:
-    """source, source_size, target of a table (source, size). One row for each source passes the ordering."""
+    """source, source_size, target of a table (source, size)."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    at = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), at + 1)
-    per = per.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * most)
+    per = with_running(per, [F.col("source").asc_nulls_last()], {"source_size": "_sizes"}, "_at")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_at") % len(weights) + 1).cast("int"))
+    per = per.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * most).withColumn("_ratio", F.col("_cap") / F.col("_w"))
     # a source is cut to its cap if, once all with a lower cap for their weight are cut, its part of the rest is above its own
-    full = F.coalesce(F.sum("source_size").over(Window.partitionBy()) * F.lit(share), F.lit(0.0))
-    before = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rest = full - F.coalesce(F.sum("_cap").over(before), F.lit(0))
-    of = F.sum("_w").over(Window.partitionBy()) - F.coalesce(F.sum("_w").over(before), F.lit(0))
-    per = per.withColumn("_rest", rest).withColumn("_of", of).withColumn("_above", F.col("_w") * F.col("_rest") / F.col("_of") > F.col("_cap"))
-    level = F.first(F.when(~F.col("_above"), F.col("_rest") / F.col("_of")), ignorenulls=True).over(
-        Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    return per.withColumn("_level", level).select(
+    per = with_running(per, [F.col("_ratio"), F.col("source").asc_nulls_last()], {"_cap": "_caps", "_w": "_ws"}, "_turn")
+    per = per.withColumn("_level", (F.col("_sizes_total") * F.lit(share) - F.col("_caps")) / (F.col("_ws_total") - F.col("_ws")))
+    per = reliable(per.withColumn("_above", F.col("_w") * F.col("_level") > F.col("_cap")))
+    level = per.where(~F.col("_above")).agg(F.min_by("_level", "_turn").alias("_level"))  # one row
+    return per.drop("_level").crossJoin(F.broadcast(level)).select(
         "source", "source_size", F.when(F.col("_above"), F.col("_cap").cast("double")).otherwise(F.col("_w") * F.col("_level")).alias("target")
     )
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, times: the words and the times that the mix takes of each row."""
-    words = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long")
-    order = F.xxhash64(F.lit(seed), docs[id_col])
-    rows = reliable(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), words.alias("size"), order.alias("_h"), F.monotonically_increasing_id().alias("_row")))
+    words = F.regexp_count(F.coalesce(docs[f"`{text_col}`"], F.lit("")), F.lit(WORD)).cast("long")
+    order = F.xxhash64(F.lit(seed), docs[f"`{id_col}`"])
+    rows = reliable(docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{source_col}`"].alias("source"), words.alias("size"), order.alias("_h"), F.monotonically_increasing_id().alias("_row")))
     targets = reliable(source_targets(rows.select("source", "size")))
     lengths = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-
-    def with_source(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-        other = other.withColumnsRenamed({c: f"_{c}_" for c in on})
-        match = None
-        for c in on:
-            one = df[c].eqNullSafe(other[f"_{c}_"])
-            match = one if match is None else match & one
-        return df.join(other, match).drop(*[f"_{c}_" for c in on])
-
-    plan = with_source(lengths, targets, ["source"]).groupBy("source").applyInPandas(_plan, "source string, size long, whole int, extra long")
-    plan = reliable(plan)
-    sliced = with_source(rows, plan, ["source", "size"]).withColumn("_slice", F.shiftright(F.col("_h"), 58))
-    open_rows = sliced.where("extra > 0")
+    same = lengths["source"].eqNullSafe(targets["source"])
+    plan = lengths.join(targets, same).select(lengths["source"], "size", "n", "source_size", "target")
+    plan = reliable(plan.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, whole int, extra long"))
+
+    planned = join_hot(rows, plan, ["source", "size"], "n", rows.count())
+    level = F.least(F.lit(MOST_SLICES), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SLICE_ROWS)).cast("int")))
+    open_rows = planned.where("extra > 0").withColumn("_level", level)
+    open_rows = reliable(open_rows.withColumn("_slice", F.when(F.col("_level") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(_h, 64 - _level)"))))
     counts = open_rows.groupBy("source", "size", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("source", "size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
-    offsets = counts.select("source", "size", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = with_source(open_rows, offsets, ["source", "size", "_slice"])
+    before = Window.partitionBy("source", "size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # 2 ** MOST_SLICES rows at most
+    offsets = counts.select("source", "size", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.col("_n").alias("_of_slice"))
+    ranked = join_hot(open_rows, offsets, ["source", "size", "_slice"], "_of_slice", open_rows.count())
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("source", "size", "_slice").orderBy("_h", "doc_id", "_row"))
     ranked = ranked.withColumn("times", F.col("whole") + F.when(rank <= F.col("extra"), 1).otherwise(0))
-    shared = ["doc_id", "size", "source", "times"]
-    taken = ranked.select(*shared).unionByName(sliced.where("extra <= 0").withColumn("times", F.col("whole")).select(*shared))
-    return with_source(taken, targets, ["source"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    shared = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"]
+    return ranked.select(*shared).unionByName(planned.where("extra <= 0").withColumn("times", F.col("whole")).select(*shared))
