@@ -15,23 +15,27 @@ with language ``und``, whatever its label says, and adds nothing to the sums. So
 rest of their label's sample does not explain; they are left out of the models.
 
 The posterior is the normalised product. A row is accepted if its text is known and the best
-posterior reaches ACCEPT. Missing markup, suffix or host is evidence of
-nothing. Ids may repeat or be null.
+posterior reaches ACCEPT; of equal posteriors the language first by name is said. Missing markup, suffix or
+host is evidence of nothing. Ids may repeat or be null: each row gives a row. Texts of any length are scored
+whole, in time linear in their length. Other columns are not read, so their names cannot clash. An empty table
+gives no rows; without labels all is rejected.
 """
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import reliable
+from .common import BROADCAST_ROWS, by_bytes, join_hot, reliable
+from .markup import declared as declared_language
+from .markup import html_text
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -45,19 +49,6 @@ UNSEEN = 0.01
 HOST_WEIGHT = 5.0
 ACCEPT = 0.5
 
-_SKIP = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
-_BREAK = re.compile(r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|blockquote|pre|title)\b[^>]*|br\b[^>]*)>")
-_TAG = re.compile(r"<[^>]*>")
-_BLANK = re.compile(r"[ \t\r\f\v ]+")
-_LINES = re.compile(r" ?\n[ \n]*")
-
-
-def html_text(page: str) -> str:
-    """The text of a page: scripts, styles and comments go, blocks become lines, entities become characters."""
-    text = _TAG.sub("", _BREAK.sub("\n", _SKIP.sub(" ", page)))
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
-
-
 def _letters() -> np.ndarray:
     ok = np.zeros(256, bool)
     ok[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
@@ -145,75 +136,98 @@ def evidence(rows: DataFrame, model: Model, ids: list[str], markup: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_bytes(whole, "text")):
             got = [m.score(html_text(t.as_py() or "") if markup else t.as_py() or "") for t in batch.column("text")]
+            logs = np.array([g[0] for g in got], float).reshape(len(got), -1)
+            sure = np.array([g[2] for g in got], bool)
+            says = np.where(sure[:, None], _normal(logs), 1.0 / logs.shape[1])
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.bool_())], [*kept, "loglik", "n_trigrams", "known"])
+            new = [_lists(logs), _lists(says), pa.array([g[1] for g in got], pa.int64()), pa.array(sure)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], [*kept, "loglik", "says", "n_trigrams", "known"])
 
     rows = rows.select(*ids, "declared", "suffix", "host", "domain", "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{schema}, loglik array<double>, n_trigrams long, known boolean")
+    return rows.mapInArrow(run, f"{schema}, loglik array<double>, says array<double>, n_trigrams long, known boolean")
+
+
+def _normal(logs: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of logarithms."""
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
 
+def _rows_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a column of lists of n numbers, zeros for null, and which are there."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), n))
+    out[there] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out, there
 
-def _normal(logs):
-    """Probabilities of an array of logarithms."""
-    shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+
+def posteriors(loglik: np.ndarray, says: np.ndarray, known: np.ndarray, sums: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The posterior of each language (column) for each row.
+
+    ``sums`` has, for all, declared, suffix, domain and host, what the texts of all rows with the same value say, and whether the
+    row has a value for which any text says something. A row's own share is taken out of each.
+    """
+    n = loglik.shape[1]
+    own = says * known[:, None]
+    of = {k: np.maximum(s - own * there[:, None], 0.0) for k, (s, there) in sums.items()}
+    total = {k: s.sum(1, keepdims=True) for k, s in of.items()}
+    prior = (of["all"] + 1.0) / (total["all"] + n)
+    for key in ("domain", "host"):
+        prior = (of[key] + HOST_WEIGHT * prior) / (total[key] + HOST_WEIGHT)
+    logs = np.log(prior) + loglik
+    for key in ("declared", "suffix"):
+        logs += np.where(sums[key][1][:, None], np.log((of[key] + SMOOTH) / (of["all"] + SMOOTH * 20)), 0.0)
+    return _normal(logs)
 
 
 def fuse(scored: DataFrame, languages: list[str], ids: list[str]) -> DataFrame:
     """ids, lang, confidence, text_lang, declared, suffix, host, accepted of scored rows."""
     n = len(languages)
-    says = F.when(F.col("known"), _normal(F.col("loglik"))).otherwise(F.array_repeat(F.lit(1.0 / n), n))
-    scored = reliable(scored.withColumn("says", says))
+    scored = reliable(scored)
+    total = scored.count()
+    vote = [F.sum(F.when(F.col("known"), F.get("says", F.lit(k))).otherwise(0.0)) for k in range(n)]
+    out = scored.crossJoin(F.broadcast(scored.agg(F.array(*[F.coalesce(v, F.lit(0.0)) for v in vote]).alias("_all"))))  # one row
+    for key in ("declared", "suffix", "domain", "host"):
+        sums = scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.when(F.bool_or("known"), F.array(*vote)).alias(f"_{key}"), F.count(F.lit(1)).alias("_times"))
+        sums = reliable(sums)
+        if sums.count() <= BROADCAST_ROWS:
+            out = out.join(F.broadcast(sums.drop("_times")), key, "left")
+        else:
+            out = join_hot(reliable(out), sums, [key], "_times", total, "left").drop("_times")
 
-    def sums(key: str) -> DataFrame:
-        per = scored.where("known").where(F.col(key).isNotNull()).groupBy(key)
-        return per.agg(F.array(*[F.sum(F.col("says")[k]) for k in range(n)]).alias(f"_{key}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(languages, object)
+        for batch in batches:
+            known = batch.column("known").to_numpy(zero_copy_only=False)
+            loglik, says = (_rows_of(batch.column(c), n)[0] for c in ("loglik", "says"))
+            p = posteriors(loglik, says, known, {k: _rows_of(batch.column(f"_{k}"), n) for k in ("all", "declared", "suffix", "domain", "host")})
+            best = p.max(1)
+            said = lambda x: pa.array(np.where(known, names[x.argmax(1)], "und").tolist(), pa.string())
+            cols = [*[batch.column(c) for c in ids], said(p), pa.array(np.where(known, best, 0.0)), said(says), *[batch.column(c) for c in ("declared", "suffix", "host")], pa.array(known & (best >= ACCEPT))]
+            yield pa.RecordBatch.from_arrays(cols, [*ids, "lang", "confidence", "text_lang", "declared", "suffix", "host", "accepted"])
 
-    total = scored.where("known").agg(F.array(*[F.coalesce(F.sum(F.col("says")[k]), F.lit(0.0)) for k in range(n)]).alias("_all"))
-    out = scored.crossJoin(F.broadcast(total))  # one row
-    for key in ("declared", "suffix", "domain", "host"):
-        out = out.join(sums(key), key, "left")
-    own = F.when(F.col("known"), F.lit(1.0)).otherwise(F.lit(0.0))
-    zeros = F.array_repeat(F.lit(0.0), n)
-    for name in ("_all", "_declared", "_suffix", "_domain", "_host"):  # sums without what the row itself gave
-        less = F.zip_with(F.col(name), F.transform("says", lambda p: p * own), lambda s, p: F.greatest(s - p, F.lit(0.0)))
-        out = out.withColumn(f"{name}_l", F.coalesce(less, zeros)).withColumn(f"{name}_n", F.aggregate(f"{name}_l", F.lit(0.0), lambda a, b: a + b))
-
-    def log(k):
-        of = lambda name: F.get(F.col(f"{name}_l"), k)
-        everywhere = (of("_all") + 1.0) / (F.col("_all_n") + n)
-        domain = (of("_domain") + HOST_WEIGHT * everywhere) / (F.col("_domain_n") + HOST_WEIGHT)
-        host = (of("_host") + HOST_WEIGHT * domain) / (F.col("_host_n") + HOST_WEIGHT)
-        sum_ = F.log(host) + F.get("loglik", k)
-        for key in ("_declared", "_suffix"):
-            given = (of(key) + SMOOTH) / (of("_all") + SMOOTH * 20)
-            sum_ = sum_ + F.when(F.col(key).isNotNull(), F.log(given)).otherwise(0.0)
-        return sum_
-
-    out = out.withColumn("_log", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), log))
-    names = F.array(*[F.lit(x) for x in languages])
-    out = out.withColumn("_p", _normal(F.col("_log")))
-    best = F.array_max("_p")
-    return out.select(
-        *ids,
-        F.when(F.col("known"), F.element_at(names, F.array_position("_p", best).cast("int"))).otherwise("und").alias("lang"),
-        F.when(F.col("known"), best).otherwise(0.0).alias("confidence"),
-        F.when(F.col("known"), F.element_at(names, F.array_position("says", F.array_max("says")).cast("int"))).otherwise("und").alias("text_lang"),
-        "declared",
-        "suffix",
-        "host",
-        (F.col("known") & (best >= ACCEPT)).alias("accepted"),
-    )
+    schema = ", ".join(f"`{c}` {scored.schema[c].dataType.simpleString()}" for c in ids)
+    out = out.select(*ids, "declared", "suffix", "host", "loglik", "says", "known", "_all", "_declared", "_suffix", "_domain", "_host")
+    return out.mapInArrow(run, f"{schema}, lang string, confidence double, text_lang string, declared string, suffix string, host string, accepted boolean")
 
 
 def page_columns(pages: DataFrame) -> DataFrame:
     """page_id, text (the HTML), declared, suffix, host, domain of a table (page_id, url, html)."""
     some = lambda c: F.when(c != "", c)
     host = some(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)))
-    first = F.regexp_extract(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), r"(?i)<html\b[^>]*", 0)  # wherever it stands
-    declared = some(F.lower(F.regexp_extract(first, r"(?i)^<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)))
+
+    @F.pandas_udf("string")
+    def found(page: pd.Series) -> pd.Series:  # by a scanner: a pattern takes quadratic time over comments that are not closed
+        return page.map(lambda x: declared_language(x or "")[:3].partition("-")[0])
+
+    declared = some(F.when(F.length(found("html")) >= 2, found("html")))
     return pages.select(
         F.col("page_id"), F.col("html").alias("text"), declared.alias("declared"), host.alias("host"), some(F.regexp_extract(host, r"\.([a-z]{2,24})$", 1)).alias("suffix"), some(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain")
     )

@@ -7,8 +7,10 @@ record is also linked with the conversion by WARC-Concurrent-To. Record ids are
 the response's id, so reruns agree. Digests are SHA-1 in base 32, as is the custom of the format.
 
 Null addresses give records without WARC-Target-URI; null pages an empty payload, whose
-conversion is empty; ids may repeat (their records then share ids only if
-address and page are the same). Each row is handled by itself: nothing is shuffled.
+conversion is empty; ids may be null or repeat (their records then share ids only if
+address and page are the same). Each row is handled by itself: nothing is shuffled, and copies or ties make no
+difference. A page of any length is handled whole, in linear time whatever it leaves unclosed; batches are
+cut by bytes. Other columns are not read, so their names cannot clash. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -24,17 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_uri
-from .language_id import html_text
+from .common import by_bytes, split_uri
+from .markup import declared, html_text, title
 
 #: Pages come without a date of capture; records of them bear this one unless a column is named.
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of addresses
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
-_COMMENT = re.compile(r"(?s)<!--.*?-->")
-_HTML = re.compile(r"(?i)<html\b[^>]*")
-_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z-]+)")
 RECORD = "page_id {id}, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, headers string, block binary"
 
 
@@ -69,7 +67,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     date = F.col(date_col).cast("string") if date_col else F.lit(DATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_bytes(whole, "html")):
             rows = []
             for page, uri, body, when in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (body or "").encode()
@@ -96,18 +94,16 @@ def derivatives(records: DataFrame) -> DataFrame:
     kind = records.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in by_bytes(whole, "block")):
             rows = []
             for page, name, uri, date, payload, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 status, headers, body = split_http(raw or b"")
                 page_html = body.decode("utf-8", "replace")
                 text = html_text(page_html)
-                title, first = _TITLE.search(page_html), _HTML.search(_COMMENT.sub("", page_html))  # wherever it stands
-                lang = _LANG.search(first[0]) if first else None
                 meta, conv = _named(name, "metadata"), _named(name, "conversion")
                 payload = payload or digest(body)
                 fields = [("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in headers), ("source-payload-digest", payload), ("source-block-digest", digest(raw or b""))]
-                fields += [("title", html_text(title[1])) if title else ("title", ""), ("language-declared", lang[1].lower() if lang else ""), ("conversion-record", conv), ("conversion-characters", str(len(text)))]
+                fields += [("title", title(page_html)), ("language-declared", declared(page_html)), ("conversion-record", conv), ("conversion-characters", str(len(text)))]
                 block = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields).encode()
                 links = [("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
                 rows.append(_record(page, "metadata", meta, uri, date, "application/warc-fields", block, payload, [("WARC-Concurrent-To", conv), *links], name))
