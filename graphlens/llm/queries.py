@@ -127,5 +127,40 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+#: CRC-32 goes byte by byte through the table of its polynomial; a document lies in the shard into whose share its middle falls.
+OP2_SQL = r"""
+WITH t AS (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n))
+), s AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, [CAST('0x' || b AS BIGINT) FOR b IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS b FROM documents
+), c AS (
+  SELECT doc_id, size, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(t.t[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) AS text_crc32 FROM s, t
+), r AS (
+  SELECT *, CAST((2 * (sum(size) OVER (ORDER BY doc_id) - size) + size) * 8 // (2 * sum(size) OVER ()) AS INTEGER) AS shard FROM c
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM r
+"""
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, 1 + greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN link l ON l.a = r.b
+)
+SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM link l WHERE l.a = reached.a) AS n_links, count(*) AS class_size FROM reached GROUP BY a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_top_k": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_top_k": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op10_exact_dedup": OP10_SQL}
