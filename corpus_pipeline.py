@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Every stage judges each row by itself: ids and texts may be null or repeat, rows may be the same in all columns, tables may be
+empty, texts of any length are taken whole, and columns of any name may stand beside those of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,44 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.llm.bpe import bpe_encode
-from graphlens.llm.common import new_folder, reliable, row_key, table, without
+from graphlens.llm.common import new_folder, reliable, row_key, table, unused, without
 from graphlens.llm.exact_dedup import drop_copies
 from graphlens.llm.language_id import identify_documents, train
 from graphlens.llm.mixing import mix_sources
 from graphlens.llm.near_dup import drop_near_copies
 
+#: Copies of a row that the mix takes are made so many to a task.
+COPIES = 1024
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification rejects go, each row judged by itself (ids may repeat or be null)."""
-    marked = docs.withColumn("_key", row_key(docs))
-    found = reliable(identify_documents(marked, train(docs), "_key"))
-    return without(marked, found.where("NOT accepted").select("_key").distinct(), ["_key"]).select(*docs.columns)
+    """Documents that language identification rejects go (texts that are null, empty or of no language of the labels); rows that are the same share a verdict."""
+    key = unused(docs, "_key")
+    marked = docs.withColumn(key, row_key(docs))
+    found = reliable(identify_documents(marked, train(docs), key))
+    return without(marked, found.where("NOT accepted").select(key).distinct(), [key]).select(*_columns(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
+    """Of equal texts (null and empty are equal) the row with the smallest id stays, a null id before others; of ties one."""
     return drop_copies(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect the one with the smallest id stays."""
+    """Of rows that links connect the one with the smallest id stays, a null id after others, ties by a digest of the row; rows without words stay."""
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands as often as the mix takes it: not at all, once or twice."""
-    marked = docs.withColumn("_key", row_key(docs))
-    times = mix_sources(marked, "_key").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_n"))
+    """A row stands as often as the mix takes it: not at all, once or twice; rows without words go. Rows that are the same stand as often as all of them are taken."""
+    key, copy = unused(docs, "_key"), unused(docs, "_copy")
+    marked = docs.withColumn(key, row_key(docs))
+    times = mix_sources(marked, key).groupBy(F.col("doc_id").alias(key)).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n"))
     times = reliable(times)
-    alone = times.where("_n = 1")
-    other = times.where("_times = 0 OR _n > 1").select("_key")
-    twice, same = alone.where("_times = 2").select("_key"), times.where("_n > 1 AND _times > 0")
-    out = without(marked, other, ["_key"]).unionByName(marked.join(twice, "_key", "left_semi"))
-    if same.limit(1).count():  # rows that are the same in all columns stand as often as the mix takes all of them
-        one = marked.join(same.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
-        one = one.join(same.select("_key", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_k")), "_key")
-        out = out.unionByName(one.select(*out.columns))
-    return out.select(*docs.columns)
+    other, twice = times.where("times = 0 OR n > 1").select(key), times.where("n = 1 AND times = 2").select(key)
+    out = without(marked, other, [key]).unionByName(without(marked, twice, [key], "left_semi"))
+    same = times.where("n > 1 AND times > 0").select(F.col(key).alias(copy), F.col("times").cast("int").alias("times"))
+    if same.limit(1).count():
+        one = without(marked, same.select(F.col(copy).alias(key)), [key], "left_semi").dropDuplicates([key])
+        runs = same.select(copy, F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(COPIES))).alias("from"), "times")
+        one = one.join(runs, one[key] == runs[copy]).select(*[one[c] for c in _columns(docs)], F.least(F.lit(COPIES), F.col("times") - F.col("from")).alias(copy))
+        one = one.repartition(spark.sparkContext.defaultParallelism).select(*_columns(docs), F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy))
+        out = out.select(*_columns(docs)).unionByName(one.select(*_columns(docs)))
+    return out.select(*_columns(docs))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +67,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language_id), ("exact dedup", exact_dedup), ("n-gram Jaccard join", jaccard_join), ("mixing", mixing), ("BPE", bpe)]
 
-#: The stages learn a model, compare sets and encode; SQL cannot say them. tests/llm holds brute-force versions.
+#: The stages learn a model, fit budgets and encode; SQL cannot say them. tests/llm/test_pipeline.py holds brute-force versions.
 ORACLE_SQL = None
 
 
