@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Bytes of text whose parts are looked at together.
 TOGETHER = 16 << 20
 _NEVER = 1 << 60
@@ -217,9 +217,9 @@ class Encoder:
         self.match.make_automaton()
         self.special = sorted(((t["content"], t["id"]) for t in spec["added_tokens"]), key=lambda t: -len(t[0]))
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.apart = Recent(self._apart, 100_000)
+        self.apart = Recent(self._apart, 50_000)
         self.written = {b: c for b, c in byte_characters().items() if chr(b) != c}
-        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special], TOGETHER // 3)
+        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special], TOGETHER // 4, REMEMBERED // 4)
 
     def _apart(self, both: int) -> bool:
         """Whether two neighbours stay two tokens: undo their merges from the last to the first and look for a merge across the seam that would have come before the one undone."""
