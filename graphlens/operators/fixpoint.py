@@ -1,7 +1,9 @@
-"""Loops over frontiers, with lineage cut by reliable checkpoints."""
+"""Loops over frontiers, with lineage cut by tables written to the shared folder."""
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 
@@ -9,15 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_ROUNDS = 10_000
+#: Rounds of loops whose end is certain but whose number is not worth a limit count up to this; more are an error.
+MOST_ROUNDS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir (a new one where it names none)."""
+    """The folder that spark.checkpoint.dir names. Only a session within one process (as in tests) may do without and gets a new one."""
     sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-graph-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-graph-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -25,9 +33,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows as a table in the shared folder, which outlives executors. Its size is known, so that small ones are broadcast by the planner and large ones are not."""
+    path = new_folder(df.sparkSession, "saved")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -39,24 +48,29 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + place).drop("_range", "_start")
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def steps_of(edges: DataFrame) -> DataFrame:
+    """(src, dst), each pair once: what a loop joins in every round, written once."""
+    return saved(edges.select("src", "dst").distinct())
+
+
+def reach(edges: DataFrame, seeds: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): what each root reaches, itself at depth 0, by edges (src, dst).
 
     ``seeds`` has (root, node), each pair once. Only the last frontier is joined in a round, and a
-    pair enters once, at its least depth; the rows are those of the answer.
+    pair enters once, at its least depth; the rows are those of the answer. There are as many rounds as the longest of
+    all shortest paths has edges. ``steps`` may be given where several loops walk the same edges.
     """
-    steps = edges.select("src", "dst").distinct()
-    seen = saved(seeds.select("root", "node", F.lit(0).alias("depth")))
-    frontier = seen
-    for depth in range(1, MOST_ROUNDS):
+    steps = steps_of(edges) if steps is None else steps
+    frontier = saved(seeds.select("root", "node", F.lit(0).alias("depth")))
+    seen = frontier
+    for depth in itertools.count(1):
         step = frontier.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         frontier = saved(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             return seen
         seen = saved(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)
-    raise RuntimeError("a traversal did not end")
 
 
-def reach_set(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def reach_set(edges: DataFrame, roots: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """(node, depth): what any of the roots (node) reaches."""
-    return reach(edges, roots.select(F.lit(0).alias("root"), "node").distinct()).drop("root")
+    return reach(edges, roots.select(F.lit(0).alias("root"), "node").distinct(), steps).drop("root")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .fixpoint import MOST_ROUNDS, reach, saved
+from .fixpoint import MOST_ROUNDS, reach, saved, steps_of
 from .rules import overlay
 from .traverse import Prepared, tiers_of
 
@@ -14,7 +14,7 @@ from .traverse import Prepared, tiers_of
 def closure(p: Prepared, roots: DataFrame) -> DataFrame:
     """(root, node) of reachable roots over followed edges."""
     known = roots.select("node").distinct().join(p.state.where("reachable").select("node"), "node", "left_semi")
-    return reach(p.followed, known.select(F.col("node").alias("root"), "node")).select("root", "node")
+    return reach(p.followed, known.select(F.col("node").alias("root"), "node"), p.steps).select("root", "node")
 
 
 def _sums(pairs: DataFrame, node_metrics: DataFrame, metric: str, name: str) -> DataFrame:
@@ -41,21 +41,23 @@ def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
 
     A node's chain is the longest common beginning of its parents' chains and itself; of
     any number of chains that is the common beginning of the least and the greatest, so parents
-    are combined before the shuffle. Rounds repeat until no chain changes.
+    are combined before the shuffle. A round makes anew only the chains of nodes below one that has changed.
     """
     steps = saved(edges.select("src", "dst").where("src <> dst").distinct())
-    chains = saved(root.select("node", F.array("node").alias("chain")))
-    first = chains
+    first = saved(root.select("node"))
+    inner = steps.join(first.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    chains = moved = saved(root.select("node", F.array("node").alias("chain")))
     for _ in range(MOST_ROUNDS):
-        ends = steps.join(chains.select(F.col("node").alias("src"), "chain"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("chain").alias("a"), F.max("chain").alias("b"))
+        below = inner.join(moved.select(F.col("node").alias("src")), "src", "left_semi").select("dst").distinct()
+        into = inner.join(below, "dst", "left_semi")
+        ends = into.join(chains.select(F.col("node").alias("src"), "chain"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("chain").alias("a"), F.max("chain").alias("b"))
         differ = F.filter(F.sequence(F.lit(0), F.least(F.size("a"), F.size("b")) - 1), lambda i: F.get("a", i) != F.get("b", i))
         same = F.coalesce(F.array_min(differ), F.least(F.size("a"), F.size("b")))
         after = ends.select("node", F.concat(F.slice("a", F.lit(1), same), F.array("node")).alias("chain"))
-        after = saved(after.join(first, "node", "left_anti").unionByName(first))
-        moved = after.join(chains.withColumnRenamed("chain", "_old"), "node", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("chain"))).limit(1).count()
-        chains = after
-        if not moved:
+        moved = saved(after.join(chains.withColumnRenamed("chain", "_old"), "node", "left").where("_old IS NULL OR _old <> chain").select("node", "chain"))
+        if moved.isEmpty():
             return chains
+        chains = saved(chains.join(moved.select("node"), "node", "left_anti").unionByName(moved))
     raise RuntimeError("dominators did not settle")
 
 
@@ -79,9 +81,22 @@ def parents_count(p: Prepared) -> DataFrame:
     return p.state.select("node").join(n, "node", "left").fillna(0, ["parents"])
 
 
-def metric_range(node_metrics: DataFrame, metric: str, ignore_zero: bool = False) -> DataFrame:
-    one = node_metrics.where(F.col("metric") == metric)
-    return (one.where("value <> 0") if ignore_zero else one).agg(F.min("value").alias("least"), F.max("value").alias("greatest"))
+def values_of(nodes: DataFrame, node_metrics: DataFrame, metric: str) -> DataFrame:
+    """(node, value) of a metric for all nodes; missing values are 0."""
+    one = node_metrics.where(F.col("metric") == metric).select("node", "value")
+    return nodes.select("node").join(one, "node", "left").fillna(0.0, ["value"])
+
+
+def metric_range(nodes: DataFrame, node_metrics: DataFrame, metric: str, ignore_zero: bool = False) -> DataFrame:
+    """(least, greatest) over all nodes, where missing values are 0; both null if no node has the metric, or if zeros are ignored and there are no others."""
+    own = node_metrics.where(F.col("metric") == metric)
+    own = own.where("value <> 0") if ignore_zero else own
+    known = own.agg(F.min("value").alias("_a"), F.max("value").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    if ignore_zero:
+        return known.select(F.col("_a").alias("least"), F.col("_b").alias("greatest"))
+    wide = known.join(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("_all"))), F.lit(True))  # one row each
+    missing = F.when((F.col("_n") > 0) & (F.col("_n") < F.col("_all")), F.lit(0.0))
+    return wide.select(F.least("_a", missing).alias("least"), F.greatest("_b", missing).alias("greatest"))
 
 
 def node_set_sums(p: Prepared, chosen: DataFrame, metric: str) -> DataFrame:
@@ -101,11 +116,10 @@ def what_if(p: Prepared, roots: DataFrame, overrides: DataFrame, metric: str) ->
     return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("count"), F.sum("v").alias("sum"))
 
 
-def normalised_sizes(node_metrics: DataFrame, metric: str) -> DataFrame:
-    """(node, size): values laid between 1 and 100; zero is 1."""
-    one = node_metrics.where(F.col("metric") == metric)
-    ends = metric_range(one, metric)
-    wide = one.join(F.broadcast(ends), F.lit(True))  # one row
+def normalised_sizes(nodes: DataFrame, node_metrics: DataFrame, metric: str) -> DataFrame:
+    """(node, size) of all nodes: values laid between 1 and 100; zero and missing are 1."""
+    ends = metric_range(nodes, node_metrics, metric)
+    wide = values_of(nodes, node_metrics, metric).join(F.broadcast(ends), F.lit(True))  # one row
     share = (F.col("value") - F.col("least")) / (F.col("greatest") - F.col("least"))
     return wide.select("node", F.when((F.col("value") == 0) | (F.col("greatest") == F.col("least")), 1.0).otherwise(1 + 99 * share).alias("size"))
 

@@ -16,6 +16,8 @@ from graphlens.plans.config import TraversalConfig
 
 #: Decisions for names are literal conditions up to this many, and joins beyond.
 LITERALS = 200
+#: Nodes that labels decide are broadcast up to this many.
+FEW = 200_000
 
 
 def _tiers(config: TraversalConfig) -> tuple[dict[str, int], dict[str, int]]:
@@ -68,10 +70,11 @@ def apply_rules(edges: DataFrame, nodes: DataFrame, config: TraversalConfig) ->
     ]
     out = edges
     if config.label_predicates:
-        out = out.join(nodes.select(F.col("node").alias("dst"), F.col("labels").alias("_labels")), "dst", "left")
-        for name, value, contains, decision in config.label_predicates:
-            held = F.element_at("_labels", name)
-            rules.append(("label", F.when(held.isNotNull() & (F.array_contains(held, value) == F.lit(contains)), F.lit(decision))))
+        held = lambda name: F.element_at("labels", name)
+        of = [F.when(held(name).isNotNull() & (F.array_contains(held(name), value) == F.lit(contains)), F.lit(decision)) for name, value, contains, decision in config.label_predicates]
+        said = nodes.select(F.col("node").alias("dst"), F.coalesce(*reversed(of)).alias("_label")).where("_label IS NOT NULL")  # only what a predicate decides
+        out = out.join(F.broadcast(said) if said.count() <= FEW else said, "dst", "left")
+        rules.append(("label", F.col("_label")))
     if len(config.force_edges) > LITERALS or len(config.force_nodes) > LITERALS:
         spark = edges.sparkSession
         pairs = spark.createDataFrame([(a, b, d) for (a, b), d in config.force_edges.items()], "src string, dst string, _edge boolean")
@@ -83,7 +86,7 @@ def apply_rules(edges: DataFrame, nodes: DataFrame, config: TraversalConfig) ->
         rules += [("force_edge", one), ("force_node", _lookup(F.col("dst"), config.force_nodes).cast("boolean"))]
     verdict = F.coalesce(*[c for _, c in reversed(rules)], F.lit(True))
     spoke = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in reversed(rules)])
-    extra = [c for c in ("_labels", "_edge", "_node") if c in out.columns]
+    extra = [c for c in ("_label", "_edge", "_node") if c in out.columns]
     return out.select("*", (~verdict).alias("excluded"), F.when(~above, tier).alias("to_tier"), spoke.alias("rule")).drop(*extra)
 
 

@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.plans.config import TraversalConfig  # noqa: F401  (part of a selection's surroundings)
-
 
 @dataclass(frozen=True)
 class NodeSelection:
@@ -46,12 +44,15 @@ def select_nodes(nodes: DataFrame, s: NodeSelection, node_metrics: DataFrame | N
     if s.reachable_only:
         out = out.join(state.where("reachable").select("node"), "node", "left_semi")
     for metric, value in s.metrics.items():
-        equal = node_metrics.where((F.col("metric") == metric) & (F.round("value").cast("long") == value))
-        out = out.join(equal.select("node"), "node", "left_semi")
+        of = node_metrics.where(F.col("metric") == metric)
+        if value == 0:  # a missing value is 0, but a metric that no node has selects nothing
+            out = out.where(F.lit(not of.isEmpty())).join(of.where(F.round("value").cast("long") != 0).select("node"), "node", "left_anti")
+        else:
+            out = out.join(of.where(F.round("value").cast("long") == value).select("node"), "node", "left_semi")
     live = edges.where("NOT excluded") if edges is not None and "excluded" in edges.columns else edges
     for column, end, wanted in (("tag", "dst", s.incoming_tags), ("tag", "src", s.outgoing_tags), ("type_key", "dst", s.incoming_keys), ("type_key", "src", s.outgoing_keys)):
         for value in wanted:
-            out = out.join(live.where(F.col(column) == value).select(F.col(end).alias("node")).distinct(), "node", "left_semi")
+            out = out.join(live.where(F.col(column) == value).select(F.col(end).alias("node")), "node", "left_semi")
     return out.orderBy(F.octet_length("node"), "node").limit(s.limit) if s.fuzzy else out
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.plans.config import TraversalConfig
 
-from .fixpoint import reach_set, saved
+from .fixpoint import reach_set, saved, steps_of
 from .rules import apply_rules
 from .scc import source_entry_points
 
@@ -26,10 +28,15 @@ class Prepared:
     state: DataFrame
     tiers: list[str]
 
-    @property
+    @cached_property
     def followed(self) -> DataFrame:
         """Edges that are followed from reachable nodes."""
-        return self.edges.where("NOT excluded").join(self.state.where("reachable").select(F.col("node").alias("src")), "src", "left_semi")
+        return saved(self.edges.where("NOT excluded").join(self.state.where("reachable").select(F.col("node").alias("src")), "src", "left_semi"))
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        """(src, dst) of them, each pair once."""
+        return steps_of(self.followed)
 
 
 def all_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,16 +58,23 @@ def with_super_root(edges: DataFrame, entry: DataFrame, forced: bool = False) ->
 
 
 def tiers_of(edges: DataFrame, entry: DataFrame, count: int) -> DataFrame:
-    """(node, tier): the least tier in which a node is reached, where a tier rises along a path to the greatest stamp."""
-    found = None
-    for tier in range(max(1, count)):
-        open_edges = edges.where(~F.col("excluded") & (F.coalesce("to_tier", F.lit(0)) <= tier))
-        seeds = entry.select("node") if found is None else found.select("node")
-        got = reach_set(open_edges, seeds).select("node")
-        new = got if found is None else got.join(found, "node", "left_anti")
-        new = new.withColumn("tier", F.lit(tier))
-        found = saved(new if found is None else found.unionByName(new))
-    return found
+    """(node, tier): the least tier in which a node is reached, where a tier rises along a path to the greatest stamp.
+
+    One loop: a round carries on only the nodes that it reached first or at a lower tier than before.
+    """
+    open_edges = edges.where(~F.col("excluded") & (F.coalesce("to_tier", F.lit(0)) < max(1, count)))
+    steps = saved(open_edges.groupBy("src", "dst").agg(F.min(F.coalesce("to_tier", F.lit(0))).alias("stamp")))
+    frontier = saved(entry.select("node", F.lit(0).alias("tier")).distinct())
+    best = frontier
+    for turn in itertools.count(1):
+        reached = frontier.join(steps, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.greatest("tier", "stamp")).alias("tier"))
+        known = best.groupBy("node").agg(F.min("tier").alias("_known"))
+        frontier = saved(reached.join(known, "node", "left").where("_known IS NULL OR tier < _known").select("node", "tier"))
+        if frontier.isEmpty():
+            return best.groupBy("node").agg(F.min("tier").alias("tier"))
+        best = best.unionByName(frontier)
+        if turn % 8 == 0:
+            best = saved(best.groupBy("node").agg(F.min("tier").alias("tier")))
 
 
 def prepare(nodes: DataFrame, node_metrics: DataFrame, edges: DataFrame, config: TraversalConfig | None = None, entry: DataFrame | None = None, super_root: bool = False) -> Prepared:

@@ -48,12 +48,16 @@ class TraversalConfig:
         )
 
 
+#: How the kinds of views are written after, or in place of, the name of a metric.
+VIEWS = {"transitive": "~transitive", "dominated": "~dominated", "parents": "parents-count", "count_transitive": "node-count~transitive", "count_dominated": "node-count~dominated", "tier": "tier"}
+
+
 @dataclass(frozen=True)
 class MetricView:
-    """A metric as it is shown: itself, summed over what a node reaches or dominates, or up to a tier.
+    """A metric as it is shown: itself, summed over what a node reaches or dominates, or up to a tier; or a count.
 
-    Written as metric, metric~transitive, metric~dominated, metric#tier, metric#tier~dominated; a side or the
-    difference of a comparison follows an at sign (@left, @right, @delta).
+    Written as metric, metric~transitive, metric~dominated, metric#tier, metric#tier~dominated, or in the older forms metric~tier and
+    metric~dominated~tier; counts as VIEWS says. A side of a comparison, or its difference, follows an at sign (@left, @delta; @right is the same as none).
     """
 
     metric: str
@@ -62,18 +66,32 @@ class MetricView:
     side: str | None = None
 
     def __str__(self) -> str:
-        tail = {"self": "", "transitive": "~transitive", "dominated": "~dominated", "tiered": f"#{self.tier}", "tiered_dominated": f"#{self.tier}~dominated"}[self.kind]
-        return f"{self.metric}{tail}" + (f"@{self.side}" if self.side else "")
+        tail = {"self": "", "tiered": f"#{self.tier}", "tiered_dominated": f"#{self.tier}~dominated"} | VIEWS
+        return f"{self.metric}{tail[self.kind]}" + (f"@{self.side}" if self.side else "")
 
     @staticmethod
     def parse(text: str) -> MetricView:
-        body, _, side = text.partition("@")
-        if side not in ("", "left", "right", "delta"):
+        body, at, side = text.partition("@")
+        if at and side not in ("left", "right", "delta"):
             raise ValueError(f"unknown side: {side}")
-        head, _, kind = body.partition("~")
-        metric, _, tier = head.partition("#")
-        if not metric or kind not in ("", "transitive", "dominated") or (tier and kind == "transitive"):
+        side = side if side in ("left", "delta") else None
+        whole = {written: kind for kind, written in VIEWS.items() if not written.startswith("~")}
+        if body in whole:
+            return MetricView("", whole[body], None, side)
+        metric, tiered, rest = body.partition("#")
+        tier, *parts = rest.split("~") if tiered else (None, *body.split("~")[1:])
+        metric = metric if tiered else body.split("~")[0]
+        if metric == "node-count" or not metric or "" in parts or tier == "":
             raise ValueError(f"not a metric view: {text}")
-        if tier:
-            return MetricView(metric, "tiered_dominated" if kind else "tiered", tier, side or None)
-        return MetricView(metric, kind or "self", None, side or None)
+        match parts:
+            case []:
+                return MetricView(metric, "tiered" if tiered else "self", tier, side)
+            case ["dominated"]:
+                return MetricView(metric, "tiered_dominated" if tiered else "dominated", tier, side)
+            case ["transitive"] if not tiered:
+                return MetricView(metric, "transitive", None, side)
+            case ["dominated", older] if not tiered:
+                return MetricView(metric, "tiered_dominated", older, side)
+            case [older] if not tiered:
+                return MetricView(metric, "tiered", older, side)
+        raise ValueError(f"not a metric view: {text}")

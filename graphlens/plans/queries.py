@@ -112,7 +112,9 @@ price AS (SELECT 'o' || o_orderkey AS node, o_totalprice AS v FROM orders UNION
 
 def _children(p: traverse.Prepared, spark: SparkSession) -> DataFrame:
     """Children and grandchildren of r0."""
-    return reach_set(p.followed, _named(spark, "r0")).where("depth BETWEEN 1 AND 2").select("node")
+    level = lambda of: p.steps.join(of.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+    first = level(_named(spark, "r0"))
+    return first.unionByName(level(first)).distinct()
 
 
 @query(f"{CLOSURE_SQL} SELECT root AS node, count(*) AS count, round(coalesce(sum(v), 0), 2) AS sum FROM c LEFT JOIN price USING (node) GROUP BY root")
@@ -137,9 +139,28 @@ def tiered_sum(spark, sf_dir):
     return metrics.tiered(p, metrics.closure(p, _children(p, spark)), "price").withColumn("sum", F.round("sum", 2))
 
 
-@query("SELECT min(CAST(p_size AS DOUBLE)) AS least, max(CAST(p_size AS DOUBLE)) AS greatest FROM part")
+@query(f"""WITH {GRAPH_SQL}, v AS (SELECT coalesce(CAST(p_size AS DOUBLE), 0) AS x, coalesce(c_acctbal, 0) AS y FROM nodes LEFT JOIN part ON node = 'p' || p_partkey LEFT JOIN customer ON node = 'c' || c_custkey)
+SELECT 'size' AS metric, min(x) AS least, max(x) AS greatest FROM v UNION ALL SELECT 'balance', min(y), max(y) FROM v
+UNION ALL SELECT 'size without zeros', min(x), max(x) FROM v WHERE x <> 0""")
 def metric_min_max(spark, sf_dir):
-    return metrics.metric_range(supply(spark, sf_dir).node_metrics, "size")
+    """Over all nodes: those without the metric count as 0, unless zeros are ignored."""
+    g = supply(spark, sf_dir)
+    of = lambda name, metric, ignore=False: metrics.metric_range(g.nodes, g.node_metrics, metric, ignore).select(F.lit(name).alias("metric"), "least", "greatest")
+    return of("size", "size").unionByName(of("balance", "balance")).unionByName(of("size without zeros", "size", True))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT node FROM nodes LEFT JOIN customer ON node = 'c' || c_custkey WHERE floor(abs(coalesce(c_acctbal, 0)) + 0.5) = 0""")
+def select_metric_zero(spark, sf_dir):
+    """Nodes whose balance is 0 once rounded: also all that have none."""
+    g = supply(spark, sf_dir)
+    return selection.select_nodes(g.nodes, NodeSelection(metrics={"balance": 0}), g.node_metrics)
+
+
+@query(f"""WITH {GRAPH_SQL}, v AS (SELECT node, coalesce(CAST(p_size AS DOUBLE), 0) AS x FROM nodes LEFT JOIN part ON node = 'p' || p_partkey), e AS (SELECT min(x) AS a, max(x) AS b FROM v)
+SELECT node, round(CASE WHEN x = 0 OR a = b THEN 1 ELSE 1 + 99 * (x - a) / (b - a) END, 6) AS size FROM v, e""")
+def sizes_for_display(spark, sf_dir):
+    g = supply(spark, sf_dir)
+    return metrics.normalised_sizes(g.nodes, g.node_metrics, "size").select("node", F.round("size", 6).alias("size"))
 
 
 @query("SELECT 'p' || p_partkey AS node FROM part WHERE p_brand = 'Brand#12' AND p_size = 7")
@@ -348,12 +369,12 @@ def calendar(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(formats.day_start(ts), day).alias("day"), F.date_format(formats.week_start(ts), day).alias("week_start"), formats.iso_week(ts).alias("week"))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT DISTINCT src, dst, kind, tag, type_key, branch FROM edges")
+@query(f"""WITH {GRAPH_SQL} SELECT DISTINCT src, dst, kind, tag, type_key, branch, CASE WHEN kind = 'dynamic' THEN '{{"lot":"' || CAST(substr(src, 2) AS BIGINT) % 7 || '"}}' END AS metadata FROM edges""")
 def document_round_trip(spark, sf_dir):
     """The edges of the graph as written to and read back from document lines."""
     path = new_folder(spark, "documents")
     documents.write_lines(supply(spark, sf_dir), path)
-    return documents.read_lines(spark, path).edges.select("src", "dst", "kind", "tag", "type_key", "branch")
+    return documents.read_lines(spark, path).edges.select("src", "dst", "kind", "tag", "type_key", "branch", "metadata")
 
 
 @query(f"""WITH {GRAPH_SQL}, ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM nodes), e AS (SELECT DISTINCT src, dst, kind, tag, type_key, branch FROM edges)

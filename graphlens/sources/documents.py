@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import Graph, with_order
@@ -23,16 +23,25 @@ SPEC = (
 SPEC_TYPE = "struct<" + SPEC.replace(" map", ":map").replace(" array", ":array") + ">"
 
 
+def metadata_text(column: Column) -> Column:
+    """The metadata of an edge as text, its keys in order; null if there is none. Text can be compared and grouped, maps cannot."""
+    return F.when(F.size(column) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column)))))
+
+
 def from_specs(specs: DataFrame) -> Graph:
     """The tables of (node, spec)."""
-    held = specs.groupBy("node").agg(F.first("spec").alias("spec"))
+    again = specs.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"node {again[0]['node']} is given twice")
+    held = specs.select("node", "spec")
     none = F.lit(None).cast("string")
-    columns = lambda kind, tag=none, key=none, name=none, branch=none: [F.col("node").alias("src"), F.col("dst"), F.lit(kind).alias("kind"), tag.alias("tag"), key.alias("type_key"), name.alias("edge_name"), branch.alias("branch")]
+    columns = lambda kind, tag=none, key=none, name=none, branch=none, metadata=none: [F.col("node").alias("src"), F.col("dst"), F.lit(kind).alias("kind"), tag.alias("tag"), key.alias("type_key"), name.alias("edge_name"), branch.alias("branch"), metadata.alias("metadata")]
     directed = held.select("node", F.explode("spec.edges_directed").alias("dst")).select(*columns("directed"))
     tagged = held.select("node", F.explode("spec.edges_tagged").alias("tag", "to")).select("node", "tag", F.explode("to").alias("dst")).select(*columns("tagged", F.col("tag")))
     dynamic = held.select("node", F.explode("spec.edges_dynamic").alias("type_key", "named")).select("node", "type_key", F.explode("named").alias("edge_name", "edge"))
-    dynamic = dynamic.select("node", "type_key", "edge_name", F.explode("edge.branches").alias("branch", "to")).select("node", "type_key", "edge_name", "branch", F.explode("to").alias("dst"))
-    edges = directed.unionByName(tagged).unionByName(dynamic.select(*columns("dynamic", none, F.col("type_key"), F.col("edge_name"), F.col("branch")))).distinct()
+    dynamic = dynamic.select("node", "type_key", "edge_name", metadata_text(F.col("edge.metadata")).alias("metadata"), F.explode("edge.branches").alias("branch", "to"))
+    dynamic = dynamic.select("node", "type_key", "edge_name", "branch", "metadata", F.explode("to").alias("dst"))
+    edges = directed.unionByName(tagged).unionByName(dynamic.select(*columns("dynamic", none, F.col("type_key"), F.col("edge_name"), F.col("branch"), F.col("metadata")))).distinct()
     props, labels = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,array<string>>")
     nodes = held.select("node", F.coalesce("spec.properties", props).alias("props"), F.coalesce("spec.labels", labels).alias("labels"))
     targets = edges.select(F.col("dst").alias("node")).distinct().join(held, "node", "left_anti")
@@ -49,8 +58,10 @@ def to_specs(g: Graph) -> DataFrame:
     tagged = sets(g.edges.where("kind = 'tagged'"), ["tag"]).groupBy(F.col("src").alias("node")).agg(entries("tag", "to").alias("edges_tagged"))
     # maps cannot be sorted by: branches stay entries until their edge is made
     branches = sets(g.edges.where("kind = 'dynamic'"), ["type_key", "edge_name", "branch"]).groupBy("src", "type_key", "edge_name").agg(F.sort_array(F.collect_list(F.struct("branch", "to"))).alias("of"))
-    named = branches.groupBy("src", "type_key").agg(F.sort_array(F.collect_list(F.struct("edge_name", "of"))).alias("edges"))
-    edge = lambda e: F.struct(e["edge_name"], F.struct(F.map_from_entries(e["of"]).alias("branches"), F.lit(None).cast("map<string,string>").alias("metadata")))
+    # one metadata for each named edge: of several the greatest text
+    said = g.edges.where("kind = 'dynamic'").groupBy("src", "type_key", "edge_name").agg(F.max("metadata").alias("metadata"))
+    named = branches.join(said, ["src", "type_key", "edge_name"]).groupBy("src", "type_key").agg(F.sort_array(F.collect_list(F.struct("edge_name", "of", "metadata"))).alias("edges"))
+    edge = lambda e: F.struct(e["edge_name"], F.struct(F.map_from_entries(e["of"]).alias("branches"), F.from_json(e["metadata"], "map<string,string>").alias("metadata")))
     dynamic = named.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("type_key", "edges"))).alias("all"))
     dynamic = dynamic.select("node", F.map_from_entries(F.transform("all", lambda t: F.struct(t["type_key"], F.map_from_entries(F.transform(t["edges"], edge))))).alias("edges_dynamic"))
     metrics = g.node_metrics.groupBy("node").agg(entries("metric", "value").alias("metrics"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,25 @@ class Graph:
     edges: DataFrame
 
 
+class LazyGraph:
+    """A graph whose tables are opened when they are asked for."""
+
+    def __init__(self, nodes: Callable[[], DataFrame], node_metrics: Callable[[], DataFrame], edges: Callable[[], DataFrame]):
+        self._makers = nodes, node_metrics, edges
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._makers[0]()
+
+    @cached_property
+    def node_metrics(self) -> DataFrame:
+        return self._makers[1]()
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._makers[2]()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,9 +45,9 @@ def _name(letter: str, key: str) -> Column:
     return F.concat(F.lit(letter), F.col(key).cast("string"))
 
 
-def _edge(src: Column, dst: Column, kind: str = "directed", tag: Column | None = None, key: str | None = None, name: str | None = None, branch: Column | None = None) -> list[Column]:
+def _edge(src: Column, dst: Column, kind: str = "directed", tag: Column | None = None, key: str | None = None, name: str | None = None, branch: Column | None = None, metadata: Column | None = None) -> list[Column]:
     none = F.lit(None).cast("string")
-    return [src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), (none if tag is None else tag).alias("tag"), F.lit(key).cast("string").alias("type_key"), F.lit(name).cast("string").alias("edge_name"), (none if branch is None else branch).alias("branch")]
+    return [src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), (none if tag is None else tag).alias("tag"), F.lit(key).cast("string").alias("type_key"), F.lit(name).cast("string").alias("edge_name"), (none if branch is None else branch).alias("branch"), (none if metadata is None else metadata).alias("metadata")]
 
 
 def with_order(edges: DataFrame) -> DataFrame:
@@ -36,47 +57,54 @@ def with_order(edges: DataFrame) -> DataFrame:
     return edges.withColumn("edge_ord", F.row_number().over(w).cast("long"))
 
 
-def supply(spark: SparkSession, sf_dir: str, before: str | None = None, ordered: bool = False) -> Graph:
+def supply(spark: SparkSession, sf_dir: str, before: str | None = None, ordered: bool = False) -> LazyGraph:
     """region, nation, customer, order, part, supplier as one graph; lines shipped before a day only, if one is given.
 
     Orders are tagged by priority, parts of an order by return flag; the suppliers of a part are dynamic edges
-    of type stock, name line, with the line status as branch.
+    of type stock, name line, with the line status as branch and the part's lot (its number modulo 7) as metadata.
     """
-    t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders", "part", "supplier", "lineitem")}
-    lines = t["lineitem"] if before is None else t["lineitem"].where(F.col("l_shipdate") < F.lit(before).cast("timestamp_ntz"))
-    lines = lines.join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi") if before is None else lines
-    empty, labels = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,array<string>>")
-
-    def nodes(name: str, letter: str, key: str, props: Column = empty, of: Column = labels) -> DataFrame:
-        return t[name].select(_name(letter, key).alias("node"), props.alias("props"), of.alias("labels"))
-
-    part_props = F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))
-    all_nodes = [
-        nodes("region", "r", "r_regionkey"),
-        nodes("nation", "n", "n_nationkey"),
-        nodes("customer", "c", "c_custkey", F.create_map(F.lit("segment"), F.col("c_mktsegment"))),
-        nodes("orders", "o", "o_orderkey"),
-        nodes("part", "p", "p_partkey", part_props, F.create_map(F.lit("brand"), F.array("p_brand"))),
-        nodes("supplier", "s", "s_suppkey"),
-    ]
-    metric = lambda n, letter, key, name, value: t[n].select(_name(letter, key).alias("node"), F.lit(name).alias("metric"), F.col(value).cast("double").alias("value"))
-    metrics = [metric("orders", "o", "o_orderkey", "price", "o_totalprice"), metric("part", "p", "p_partkey", "price", "p_retailprice"), metric("part", "p", "p_partkey", "size", "p_size"), metric("customer", "c", "c_custkey", "balance", "c_acctbal")]
-    edges = [
-        t["nation"].select(*_edge(_name("r", "n_regionkey"), _name("n", "n_nationkey"))),
-        t["customer"].select(*_edge(_name("n", "c_nationkey"), _name("c", "c_custkey"))),
-        t["orders"].select(*_edge(_name("c", "o_custkey"), _name("o", "o_orderkey"), "tagged", F.col("o_orderpriority"))),
-        lines.select(*_edge(_name("o", "l_orderkey"), _name("p", "l_partkey"), "tagged", F.col("l_returnflag"))).distinct(),
-        lines.select(*_edge(_name("p", "l_partkey"), _name("s", "l_suppkey"), "dynamic", None, "stock", "line", F.col("l_linestatus"))).distinct(),
-    ]
-
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    every = union(edges)
-    return Graph(union(all_nodes), union(metrics), with_order(every) if ordered else every.withColumn("edge_ord", F.lit(None).cast("long")))
+    of = cache(lambda name: table(spark, sf_dir, name))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+
+    def all_nodes() -> DataFrame:
+        empty, labels = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,array<string>>")
+        nodes = lambda name, letter, key, props=empty, held=labels: of(name).select(_name(letter, key).alias("node"), props.alias("props"), held.alias("labels"))
+        part_props = F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))
+        return union(
+            [
+                nodes("region", "r", "r_regionkey"),
+                nodes("nation", "n", "n_nationkey"),
+                nodes("customer", "c", "c_custkey", F.create_map(F.lit("segment"), F.col("c_mktsegment"))),
+                nodes("orders", "o", "o_orderkey"),
+                nodes("part", "p", "p_partkey", part_props, F.create_map(F.lit("brand"), F.array("p_brand"))),
+                nodes("supplier", "s", "s_suppkey"),
+            ]
+        )
+
+    def metrics() -> DataFrame:
+        metric = lambda n, letter, key, name, value: of(n).select(_name(letter, key).alias("node"), F.lit(name).alias("metric"), F.col(value).cast("double").alias("value"))
+        return union([metric("orders", "o", "o_orderkey", "price", "o_totalprice"), metric("part", "p", "p_partkey", "price", "p_retailprice"), metric("part", "p", "p_partkey", "size", "p_size"), metric("customer", "c", "c_custkey", "balance", "c_acctbal")])
+
+    def edges() -> DataFrame:
+        lines = of("lineitem")
+        if before is None:
+            lines = lines.join(of("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+        else:
+            lines = lines.where(F.col("l_shipdate") < F.lit(before).cast("timestamp_ntz"))
+        lot = F.concat(F.lit('{"lot":"'), (F.col("l_partkey") % 7).cast("string"), F.lit('"}'))
+        every = union(
+            [
+                of("nation").select(*_edge(_name("r", "n_regionkey"), _name("n", "n_nationkey"))),
+                of("customer").select(*_edge(_name("n", "c_nationkey"), _name("c", "c_custkey"))),
+                of("orders").select(*_edge(_name("c", "o_custkey"), _name("o", "o_orderkey"), "tagged", F.col("o_orderpriority"))),
+                # pairs are made different while they are numbers
+                lines.select("l_orderkey", "l_partkey", "l_returnflag").distinct().select(*_edge(_name("o", "l_orderkey"), _name("p", "l_partkey"), "tagged", F.col("l_returnflag"))),
+                lines.select("l_partkey", "l_suppkey", "l_linestatus").distinct().select(*_edge(_name("p", "l_partkey"), _name("s", "l_suppkey"), "dynamic", None, "stock", "line", F.col("l_linestatus"), lot)),
+            ]
+        )
+        return with_order(every) if ordered else every.withColumn("edge_ord", F.lit(None).cast("long"))
+
+    return LazyGraph(all_nodes, metrics, edges)
 
 
 def flow(spark: SparkSession, sf_dir: str) -> Graph:
