@@ -145,10 +145,11 @@ def graph_delta_apply(spark, sf_dir):
     return back.nodes.join(one, "node").select("node", F.element_at("props", "type").alias("type"), F.element_at("props", "brand").alias("brand"), "price")
 
 
-def _store(spark, sf_dir) -> FrameStore:
-    """Days of events as frames of counts by user and type: every tenth in full, others as changes, three empty."""
+def _store(spark, sf_dir, fulls: tuple[int, ...] = ()) -> FrameStore:
+    """Days of events as frames of counts by user and type: every tenth (and ``fulls``) in full, others as changes, three empty."""
     store = FrameStore(spark, new_folder(spark, "store"), ["user_id", "event_type"], "n", "user_id long, event_type string, n long")
-    frames = saved(_frames(spark, sf_dir))
+    frames = _frames(spark, sf_dir)
+    frames = saved(frames.withColumn("frame_type", F.when(F.col("graph_id").isin(list(fulls)), "full").otherwise(F.col("frame_type"))))
     live = frames.where("frame_type <> 'empty'").select("graph_id", "frame_type")
     counts = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("long").alias("graph_id"), F.col("user_id").cast("long").alias("user_id"), "event_type").agg(F.count(F.lit(1)).alias("n")).join(live, "graph_id")
     counts = saved(counts)
@@ -183,12 +184,13 @@ def store_frame_range(spark, sf_dir):
     return store.load_range("events", 8, 11).where("graph_id <> 10")
 
 
-@query(f"{COUNTS_SQL} SELECT user_id, event_type, n FROM n WHERE graph_id = 23")
+@query(f"{COUNTS_SQL} SELECT user_id, event_type, n FROM n WHERE graph_id = 26")
 def fetch_compacted_frame(spark, sf_dir):
     """A version once full frames that follow another were rewritten as changes."""
-    store = _store(spark, sf_dir)
-    store.compact("events")
-    return store.fetch("events", 23)
+    store = _store(spark, sf_dir, (14, 24))
+    if store.compact("events") != 2:
+        raise ValueError("two full frames follow another version")
+    return store.fetch("events", 26)
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, open AS (SELECT DISTINCT src, dst FROM judged WHERE NOT excluded), b AS (SELECT 'r1' AS node, 0 AS depth UNION SELECT o.dst, b.depth + 1 FROM b JOIN open o ON o.src = b.node WHERE b.depth < 12)

@@ -178,8 +178,10 @@ class FrameStore:
     def compact(self, timeline: str) -> int:
         """Rewrite full frames that follow another version as changes against it; returns how many."""
         mine = self.frames.where(F.col("timeline_id") == timeline)
-        turns = versions.compaction(mine.select("timeline_id", "graph_id", "frame_type"))
-        todo = saved(turns.where("frame_type <> becomes").select("graph_id"))
+        turns = versions.compaction(mine.select("timeline_id", "graph_id", "frame_type")).where("frame_type <> becomes")
+        held = versions.nearest_full(mine.select("timeline_id", "graph_id", "ts", "frame_type"))  # what stands before must be a version
+        held = held.select("graph_id", F.lag("full_id").over(versions.Window.orderBy("graph_id")).alias("_full")).where("_full IS NOT NULL")
+        todo = saved(turns.join(held, "graph_id", "left_semi").select("graph_id"))
         ids = [r[0] for r in todo.orderBy("graph_id").collect()]  # names of frames only
         if not ids:
             return 0
