@@ -53,9 +53,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = times.where("n > 1 AND times > 0").select(F.col(key).alias(copy), F.col("times").cast("int").alias("times"))
     if same.limit(1).count():
         one = without(marked, same.select(F.col(copy).alias(key)), [key], "left_semi").dropDuplicates([key])
-        runs = same.select(copy, F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(COPIES))).alias("from"), "times")
-        one = one.join(runs, one[key] == runs[copy]).select(*[one[c] for c in _columns(docs)], F.least(F.lit(COPIES), runs["times"] - runs["from"]).alias(copy))
-        one = one.repartition(spark.sparkContext.defaultParallelism).select(*_columns(docs), F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy))
+        one = one.select(F.col(key).alias("of"), F.struct(*_columns(docs)).alias("doc"))  # the row stands apart, so that its columns cannot clash
+        runs = same.select(F.col(copy).alias("of"), F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(COPIES))).alias("from"), "times")
+        one = one.join(runs, "of").select("doc", F.least(F.lit(COPIES), F.col("times") - F.col("from")).alias("n"))
+        one = one.repartition(spark.sparkContext.defaultParallelism).select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
         out = out.select(*_columns(docs)).unionByName(one.select(*_columns(docs)))
     return out.select(*_columns(docs))
 
