@@ -5,6 +5,7 @@ import random
 
 import pytest
 from graphlens.operators import history, metrics, paths, scc, twin
+from graphlens.plans.config import MetricView
 from graphlens.streaming import ingest
 from pyspark.sql import functions as F
 
@@ -86,27 +87,50 @@ def test_config_diff(spark):
     assert {(r.section, r.key, r.change) for r in got.collect()} == {("nodes", "a", "removed"), ("nodes", "b", "added"), ("tags", "t", "changed")}
 
 
-VALUES = [10, 10, 15, 15, 15, 20, 20, 21, 22, 23, 24, 29]
-#: A gap at frame 7, which holds all rows beside it.
-WANT = {(1, 1), (2, 4), (3, 2), (5, 4), (6, 2), (8, 0), (11, 4), (12, 10)}
+def series(seed):
+    """Values of one node over frames from 1 on, one of which is a gap; none is 0, which would mean that the node is absent."""
+    rng = random.Random(seed)
+    last, gap = 14, rng.randrange(4, 11)
+    return last, gap, {k: float(1 + rng.randrange(12)) for k in range(1, last + 1) if k != gap}
+
+
+def judged(last, gap, values, threshold):
+    """{frame: reasons} of the rows that are kept: first 1, over the threshold 2, before such a row 4, newest 8; 0 beside the gap."""
+    over = {k for k in values if k - 1 in values and abs(values[k] - values[k - 1]) >= threshold}
+    of = {k: (1 if k == 1 else 0) + 2 * (k in over) + 4 * (k + 1 in over) + 8 * (k == last) for k in values}
+    return {k: r for k, r in of.items() if r or gap in (k - 1, k + 1)}
 
 
-def test_history_of_one_node(spark):
-    frames = spark.createDataFrame([(k, k != 7) for k in range(1, 13)], "graph_id long, has_data boolean")
-    values = spark.createDataFrame([(k, "a", "m", float(v)) for k, v in enumerate(VALUES, 1) if k != 7], "graph_id long, node string, metric string, value double")
-    kept = history.judge(frames, values, 3.0)
-    assert {(r.graph_id, r.reasons) for r in kept.collect()} == WANT
-    assert {r.graph_id for r in history.series(kept).where("attributable").collect()} == {2, 3, 6, 12}
-    # at a threshold of 6 only the first row, the newest and those beside the gap are left
-    assert {(r.graph_id, r.reasons) for r in history.compact(kept, 6.0).collect()} == {(1, 1), (6, 0), (8, 0), (12, 8)}
+@pytest.mark.parametrize("seed", [3, 4])
+def test_history_of_one_node(spark, seed):
+    last, gap, values = series(seed)
+    frames = spark.createDataFrame([(k, k != gap) for k in range(1, last + 1)], "graph_id long, has_data boolean")
+    rows = spark.createDataFrame([(k, "a", "m", v) for k, v in values.items()], "graph_id long, node string, metric string, value double")
+    kept = history.judge(frames, rows, 5.0)
+    want = judged(last, gap, values, 5.0)
+    assert {r.graph_id: r.reasons for r in kept.collect()} == want
+    assert {r.graph_id for r in history.series(kept).where("attributable").collect()} == {k for k in want if k - 1 in want}
+    assert {r.graph_id: r.reasons for r in history.compact(kept, 8.0).collect()} == judged(last, gap, values, 8.0)
 
 
 def test_stream_in_any_order_and_again(spark, tmp_path):
-    record = lambda k: (k, k != 7, "a" if k != 7 else None, "m", float(VALUES[k - 1]))
+    last, gap, values = series(5)
+    record = lambda k: (k, k != gap, "a" if k != gap else None, "m", values.get(k))
     store = f"file://{tmp_path}/store"
-    for part in ([12, 3, 4], [1, 7], [2, 5, 6], [8, 9, 10, 11], [5, 6]):
-        ingest.fold(spark.createDataFrame([record(k) for k in part], ingest.RECORD), store, 3.0)
-    assert {(r.graph_id, r.reasons) for r in ingest.read(spark, store).collect()} == WANT
+    order = random.Random(6).sample(range(1, last + 1), last)
+    for part in (order[:4], order[4:6], order[6:10], order[10:], order[3:6]):
+        ingest.fold(spark.createDataFrame([record(k) for k in part], ingest.RECORD), store, 5.0)
+    assert {r.graph_id: r.reasons for r in ingest.read(spark, store).collect()} == judged(last, gap, values, 5.0)
+
+
+def test_views_are_written_and_read():
+    for text, want in (("size", ("size", "self", None)), ("size~transitive", ("size", "transitive", None)), ("size#T1", ("size", "tiered", "T1")), ("size~T1", ("size", "tiered", "T1")), ("size~dominated~T1", ("size", "tiered_dominated", "T1")), ("size#T1~dominated", ("size", "tiered_dominated", "T1")), ("node-count~transitive", ("", "count_transitive", None)), ("tier", ("", "tier", None))):
+        view = MetricView.parse(text + "@delta")
+        assert (view.metric, view.kind, view.tier, view.side) == (*want, "delta") and MetricView.parse(str(view)) == view
+    assert MetricView.parse("size@right").side is None
+    for bad in ("", "size@top", "node-count~T1", "size#T1~transitive", "size#", "a~b~c"):
+        with pytest.raises(ValueError):
+            MetricView.parse(bad)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
