@@ -219,7 +219,7 @@ class Encoder:
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.apart = Recent(self._apart, 50_000)
         self.written = {b: c for b, c in byte_characters().items() if chr(b) != c}
-        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special], TOGETHER // 8, REMEMBERED // 8)
+        self.parts = Parts(self._encode_whole, lambda parts: [self._encode_inner(p) for p in parts], lambda marks: self._encode_piece(marks) if marks else b"", [t for t, _ in self.special], TOGETHER // 8, REMEMBERED // 2)
 
     def _apart(self, both: int) -> bool:
         """Whether two neighbours stay two tokens: undo their merges from the last to the first and look for a merge across the seam that would have come before the one undone."""
