@@ -56,6 +56,41 @@ def named(value: Column, names: dict[int, str]) -> Column:
     return out
 
 
+#: Fixed text: what stands in place of the middle of a text that is too long, around its length in bytes.
+CUT = ("\n" + "^" * 59 + "\n\n...String is too long. Truncated `", "` bytes in the middle...\n\n" + "v" * 59 + "\n")
+
+
+def truncated(text: Column | str, most: int) -> Column:
+    """A text of more than ``most`` bytes without its middle; a character that a cut would part is left out."""
+    text = F.col(text) if isinstance(text, str) else text
+    data, length, half = F.to_binary(text, F.lit("utf-8")), F.octet_length(text), most // 2
+    follows = lambda at: F.conv(F.hex(F.substr(data, at, F.lit(1))), 16, 10).cast("int").between(128, 191)  # noqa: E731 - a byte within a character
+    steps = F.array(*map(F.lit, range(4)))
+    back = F.element_at(F.filter(steps, lambda k: ~follows(F.lit(half + 1) - k)), 1)
+    on = F.element_at(F.filter(steps, lambda k: ~F.coalesce(follows(length - half + 1 + k), F.lit(False))), 1)
+    start = F.decode(F.substr(data, F.lit(1), F.lit(half) - back), "utf-8")
+    end = F.decode(F.substr(data, length - half + 1 + on, length), "utf-8")
+    return F.when(length > most, F.concat(start, F.lit(CUT[0]), length.cast("string"), F.lit(CUT[1]), end)).otherwise(text)
+
+
+#: Fixed value: how the key of a saved query begins.
+QUERY_PREFIX = "gqc_"
+
+
+def handle(text: Column) -> Column:
+    """(kind, timeline_id, graph_id, query_key) of a handle: the key of a saved query, a frame (timeline~number) or a timeline, whose latest frame is meant. Empty and malformed handles raise; null stays null."""
+    saved, framed = text.startswith(QUERY_PREFIX), text.contains("~")
+    good = saved | F.when(framed, text.rlike(r"(?s)^.+~[+-]?[0-9]+$")).otherwise(text != "")
+    of = lambda test, value, kind="string": F.when(test, value).cast(kind)
+    parts = F.struct(
+        F.when(saved, "query").when(framed, "frame").otherwise("timeline").alias("kind"),
+        of(~saved, F.regexp_replace(text, r"~[^~]*$", "")).alias("timeline_id"),
+        of(~saved & framed, F.substring_index(text, "~", -1), "long").alias("graph_id"),
+        of(saved, text).alias("query_key"),
+    )
+    return F.when(text.isNull(), F.lit(None)).when(good, parts).otherwise(F.raise_error(F.concat(F.lit("not a handle: "), text)))
+
+
 def xml(text: Column) -> Column:
     for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
         text = F.replace(text, F.lit(mark), F.lit(f"&{name};"))

@@ -104,6 +104,13 @@ def dense(values: DataFrame, frames: DataFrame) -> DataFrame:
     return grid.join(values.select("node", "week", "metric", "graph_id", "value"), ["node", "week", "metric", "graph_id"], "left").select("node", "week", "graph_id", "metric", "value")
 
 
+def read_range(rows: DataFrame, nodes: DataFrame, first: int, last: int) -> DataFrame:
+    """(node, metric, graph_id, value): the rows (node, week, graph_id, metric, value) of the wanted nodes (node) from frame ``first`` to ``last``, over all weeks, each once; nodes without any value there are left out."""
+    part = rows.where(F.col("graph_id").between(first, last)).join(nodes.select("node").distinct(), "node", "left_semi")
+    once = part.groupBy("node", "metric", "graph_id").agg(F.max("value").alias("value"))  # a frame that is held twice says the same
+    return once.join(once.where("value IS NOT NULL").select("node").distinct(), "node", "left_semi")
+
+
 def encode_series(rows: DataFrame) -> DataFrame:
     """(node, metric, seq, frame_step, value_step) of rows (node, metric, graph_id, value): steps from the row before; a null keeps the baseline and stays null."""
     w = Window.partitionBy("node", "metric").orderBy("graph_id")

@@ -32,9 +32,8 @@ def history_compact(spark, sf_dir):
     return history.compact(_history(spark, sf_dir, 4.0), 6.0).select("node", "graph_id", F.col("reasons").cast("int").alias("reasons"))
 
 
-@query(f"WITH {HISTORY_SQL}, {REASONS_SQL} SELECT node, graph_id, reasons FROM kept")
-def history_stream(spark, sf_dir):
-    """Days of events as frames in files, streamed a file at a time in no order, and the history that the stream leaves."""
+def _streamed(spark, sf_dir) -> str:
+    """Days of events as frames in files, streamed a file at a time in no order: the folder of the history that the stream leaves."""
     days = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("long").alias("graph_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     full = _frames(spark, sf_dir).select("graph_id", (F.col("frame_type") != "empty").alias("has_data"))
     records = full.join(days.withColumn("metric", F.lit("events")), "graph_id").select("graph_id", "has_data", "node", "metric", "value")
@@ -42,7 +41,14 @@ def history_stream(spark, sf_dir):
     records.repartition(4, "graph_id").write.parquet(frames)
     stream = spark.readStream.schema(ingest.RECORD).option("maxFilesPerTrigger", 1).parquet(frames)
     ingest.ingest(stream, store, new_folder(spark, "offsets"), 4.0).awaitTermination()
-    return ingest.read(spark, store).select("node", "graph_id", "reasons")
+    return store
+
+
+@query(f"WITH {HISTORY_SQL}, {REASONS_SQL} SELECT node, graph_id, reasons FROM kept")
+def history_stream(spark, sf_dir):
+    """The history that a stream of frames leaves, whatever their order."""
+    return ingest.read(spark, _streamed(spark, sf_dir)).select("node", "graph_id", "reasons")
+
 
 
 DAYS_SQL = """

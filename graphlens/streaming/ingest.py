@@ -70,3 +70,20 @@ def ingest(records: DataFrame, store: str, checkpoint: str, threshold: float) ->
 def read(spark: SparkSession, store: str) -> DataFrame:
     """(node, graph_id, reasons, metrics) of all kept rows."""
     return _stored(spark, f"{store}/kept", "node string, reasons int, metrics map<string,double>").where("node IS NOT NULL").select("node", "graph_id", "reasons", "metrics")
+
+
+def delete(spark: SparkSession, store: str, first: int | None = None, last: int | None = None, node: str | None = None) -> int:
+    """Delete the kept rows of frames from ``first`` to ``last`` (None: without end), of one node or of all, and return how many; other rows are not judged again."""
+    within = F.lit(True)
+    if first is not None:
+        within = within & (F.col("graph_id") >= first)
+    if last is not None:
+        within = within & (F.col("graph_id") <= last)
+    held = _stored(spark, f"{store}/kept", "node string, reasons int, metrics map<string,double>").where(within)
+    gone = F.col("node").isNotNull() if node is None else F.col("node").eqNullSafe(node)
+    touched = held.where(gone).select("graph_id").distinct()
+    held = saved(held.join(touched, "graph_id", "left_semi"))  # a copy, as what is read is replaced; the marks of frames stay
+    count = held.where(gone).count()
+    if count:
+        _replace(held.where(~gone), f"{store}/kept")
+    return count
