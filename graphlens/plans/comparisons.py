@@ -31,52 +31,58 @@ def what_if(spark, sf_dir):
 @query(f"""WITH {TWIN_SQL}, x AS (SELECT src, dst, row_number() OVER (PARTITION BY src, dst ORDER BY branch) AS position FROM a), y AS (SELECT src, dst, row_number() OVER (PARTITION BY src, dst ORDER BY branch) AS position FROM b)
 SELECT src, dst, CAST(position AS INTEGER) AS position, x.src IS NOT NULL AS in_left, y.src IS NOT NULL AS in_right FROM x FULL JOIN y USING (src, dst, position)""")
 def twin_arrows(spark, sf_dir):
-    return twin.twin_arrows(_ordered(spark, sf_dir, "1998-07-01"), _ordered(spark, sf_dir, "2000-01-01"))
+    return twin.twin_arrows(_ordered(spark, sf_dir, "1998-07-01"), _ordered(spark, sf_dir, "2002-01-01"))
 
 
 def _ordered(spark, sf_dir, before):
     return supply(spark, sf_dir, before, ordered=True).edges.where("type_key = 'stock'")
 
 
-SPARSE_SQL = TWIN_SQL.replace("1998-07-01", "1995-02-01").replace("2000-01-01", "1995-04-01") + """,
-roots AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_brand = 'Brand#12'),
-lp AS (SELECT node AS root, node FROM roots UNION SELECT src, dst FROM a JOIN roots ON src = node), rp AS (SELECT node AS root, node FROM roots UNION SELECT src, dst FROM b JOIN roots ON src = node),
-ln AS (SELECT DISTINCT node FROM lp), rn AS (SELECT DISTINCT node FROM rp)
+#: Parts and the orders that hold them, by lines shipped before 2000 and by those shipped from 1997 on: each line is in one version at least.
+LINES_SQL = ", ".join(f"{n} AS (SELECT DISTINCT 'p' || l_partkey AS src, 'o' || l_orderkey AS dst, l_returnflag AS tag FROM lineitem WHERE l_shipdate {when})" for n, when in (("a", "< TIMESTAMP '2000-01-01'"), ("b", ">= TIMESTAMP '1997-01-01'"))) + """,
+ln AS (SELECT DISTINCT dst AS node FROM a), rn AS (SELECT DISTINCT dst AS node FROM b)
 """
 
 
 def _sides(spark, sf_dir):
-    """Roots, and for two early days the stock edges of the roots."""
-    roots = supply(spark, sf_dir).nodes.where(F.element_at("props", "brand") == "Brand#12").select("node")
-    return roots, [_ordered(spark, sf_dir, day).join(roots.withColumnRenamed("node", "src"), "src", "left_semi") for day in ("1995-02-01", "1995-04-01")]
+    """All parts, and the edges from them to orders in both versions."""
+    day = lambda text: F.lit(text).cast("timestamp_ntz")
+    shipped, name = F.col("l_shipdate"), lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    roots = table(spark, sf_dir, "part").select(name("p", "p_partkey").alias("node"))
+    sides = []
+    for held in (shipped < day("2000-01-01"), shipped >= day("1997-01-01")):
+        lines = table(spark, sf_dir, "lineitem").where(held).select("l_partkey", "l_orderkey", "l_returnflag").distinct()
+        sides.append(lines.select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst"), F.col("l_returnflag").alias("tag"), F.ascii("l_returnflag").cast("long").alias("edge_ord")))
+    return roots, sides
 
 
 def _pairs(roots, edges):
     return roots.select(F.col("node").alias("root"), "node").unionByName(edges.select(F.col("src").alias("root"), F.col("dst").alias("node"))).distinct()
 
 
-@query(f"""WITH {SPARSE_SQL}, ch AS ((SELECT node FROM ln EXCEPT SELECT node FROM rn) UNION ALL (SELECT node FROM rn EXCEPT SELECT node FROM ln))
-SELECT root, sum(v) AS delta FROM (SELECT root, CAST(-1 AS DOUBLE) AS v FROM lp JOIN ch USING (node) UNION ALL SELECT root, 1 FROM rp JOIN ch USING (node)) GROUP BY root""")
+@query(f"""WITH {LINES_SQL}, ch AS ((SELECT node FROM ln EXCEPT SELECT node FROM rn) UNION ALL (SELECT node FROM rn EXCEPT SELECT node FROM ln)),
+x AS (SELECT DISTINCT src, dst, CAST(-1 AS DOUBLE) AS v FROM a UNION ALL SELECT DISTINCT src, dst, 1 FROM b)
+SELECT src AS root, sum(v) AS delta FROM x JOIN ch ON dst = node GROUP BY src""")
 def exclusive_delta(spark, sf_dir):
-    """By root, how many suppliers became reachable from any root, less those that ceased to be."""
+    """By part, how many of its orders came to be reached from any part, less those that ceased to be."""
     roots, sides = _sides(spark, sf_dir)
     pairs = [_pairs(roots, e) for e in sides]
     states = [p.select("node", F.lit(True).alias("reachable")).distinct() for p in pairs]
     return twin.exclusive_delta(*pairs, *states)
 
 
-@query(f"""WITH {SPARSE_SQL}, x AS (SELECT src, dst, branch = 'F' AS excluded, row_number() OVER (PARTITION BY src, dst ORDER BY branch) AS position FROM a JOIN roots ON src = node),
-y AS (SELECT src, dst, branch = 'O' AS excluded, row_number() OVER (PARTITION BY src, dst ORDER BY branch) AS position FROM b JOIN roots ON src = node)
+@query(f"""WITH {LINES_SQL}, x AS (SELECT src, dst, tag = 'A' AS excluded, row_number() OVER (PARTITION BY src, dst ORDER BY tag) AS position FROM a),
+y AS (SELECT src, dst, tag = 'R' AS excluded, row_number() OVER (PARTITION BY src, dst ORDER BY tag) AS position FROM b)
 SELECT src, dst, CAST(position AS INTEGER) AS position, CASE WHEN dst NOT IN (SELECT node FROM ln) THEN CASE WHEN dst IN (SELECT node FROM rn) THEN 'node_became_reachable' ELSE 'no_change' END
   WHEN dst NOT IN (SELECT node FROM rn) THEN 'node_became_unreachable' WHEN x.src IS NULL THEN CASE WHEN y.excluded THEN 'excluded_edge_was_added' ELSE 'edge_was_added' END
   WHEN y.src IS NULL THEN CASE WHEN x.excluded THEN 'excluded_edge_was_removed' ELSE 'edge_was_removed' END
   WHEN x.excluded AND NOT y.excluded THEN 'edge_became_included' WHEN y.excluded AND NOT x.excluded THEN 'edge_became_excluded' ELSE 'no_change' END AS change
 FROM x FULL JOIN y USING (src, dst, position)""")
 def edge_classes(spark, sf_dir):
-    """Stock of the roots on two days; branch F is excluded on the first, branch O on the second."""
+    """What became of each edge from a part to an order; tag A is excluded in the first version, tag R in the second."""
     roots, sides = _sides(spark, sf_dir)
     states = [_pairs(roots, e).select("node", F.lit(True).alias("reachable")).distinct() for e in sides]
-    return twin.edge_classes(*(e.withColumn("excluded", F.col("branch") == b) for e, b in zip(sides, "FO", strict=True)), *states)
+    return twin.edge_classes(*(e.withColumn("excluded", F.col("tag") == t) for e, t in zip(sides, "AR", strict=True)), *states)
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, hot AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_brand = 'Brand#12' UNION SELECT 'r' || r_regionkey FROM region UNION SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'),
@@ -90,17 +96,19 @@ def changed_frontier(spark, sf_dir):
     return twin.changed_frontier(g.edges, hot)
 
 
-MERGE_SQL = ", ".join(f"{n} AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE year(l_shipdate) = {y})" for n, y in (("a", 1995), ("m", 1996), ("b", 1997)))
+MERGE_SQL = ", ".join(f"{n} AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE year(l_shipdate) {y})" for n, y in (("a", "< 1996"), ("m", "= 1996"), ("b", "> 1996")))
 
 
 @query(f"""WITH {MERGE_SQL}, k AS (SELECT * FROM a UNION SELECT * FROM m UNION SELECT * FROM b),
 x AS (SELECT k.*, a.l_partkey IS NOT NULL AS in_a, m.l_partkey IS NOT NULL AS in_m, b.l_partkey IS NOT NULL AS in_b FROM k LEFT JOIN a USING (l_partkey, l_suppkey) LEFT JOIN m USING (l_partkey, l_suppkey) LEFT JOIN b USING (l_partkey, l_suppkey))
 SELECT CASE WHEN in_a AND in_b THEN 'change' WHEN in_a THEN 'remove' ELSE 'add' END AS op, l_partkey, l_suppkey FROM x WHERE (in_a AND in_b AND NOT in_m) OR in_a <> in_b""")
 def delta_merge(spark, sf_dir):
-    """What parts were shipped by whom in three years: the changes of two steps as those of one."""
-    year = lambda y: table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == y).select("l_partkey", "l_suppkey", F.lit(1).alias("held")).distinct()
+    """What parts were shipped by whom before a year, in it and after it: the changes of two steps as those of one."""
+    year = F.year("l_shipdate")
+    span = lambda held: table(spark, sf_dir, "lineitem").where(held).select("l_partkey", "l_suppkey", F.lit(1).alias("held")).distinct()
     keys = ["l_partkey", "l_suppkey"]
-    steps = [versions.derive(year(y), year(y + 1), keys, "held").withColumn("graph_id", F.lit(y)) for y in (1995, 1996)]
+    spans = [span(year < 1996), span(year == 1996), span(year > 1996)]
+    steps = [versions.derive(spans[k], spans[k + 1], keys, "held").withColumn("graph_id", F.lit(k)) for k in (0, 1)]
     return versions.merge(steps[0].unionByName(steps[1]), keys, "held").select("op", *keys)
 
 

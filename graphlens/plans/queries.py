@@ -254,7 +254,7 @@ def min_cut(spark, sf_dir):
 
 TWIN_SQL = """
 a AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linestatus AS branch FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-07-01'),
-b AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linestatus AS branch FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01')
+b AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linestatus AS branch FROM lineitem WHERE l_shipdate < TIMESTAMP '2002-01-01')
 """
 
 
@@ -266,20 +266,20 @@ def _stock(spark: SparkSession, sf_dir: str, before: str) -> tuple:
 @query(f"""WITH {TWIN_SQL}, d AS (SELECT DISTINCT src FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)))
 SELECT 'p' || p_partkey AS node, CAST(CASE WHEN d.src IS NULL THEN 0 ELSE 4 END AS INTEGER) AS diff FROM part LEFT JOIN d ON d.src = 'p' || p_partkey""")
 def twin_node_diff(spark, sf_dir):
-    return twin.node_diff(_stock(spark, sf_dir, "1998-07-01"), _stock(spark, sf_dir, "2000-01-01"))
+    return twin.node_diff(_stock(spark, sf_dir, "1998-07-01"), _stock(spark, sf_dir, "2002-01-01"))
 
 
 @query(f"""WITH {TWIN_SQL}, x AS (SELECT src, count(*) AS n FROM a GROUP BY src), y AS (SELECT src, count(*) AS n FROM b GROUP BY src)
 SELECT src AS node, coalesce(x.n, 0) AS left, coalesce(y.n, 0) AS right, coalesce(y.n, 0) - coalesce(x.n, 0) AS delta FROM x FULL JOIN y USING (src)""")
 def twin_delta(spark, sf_dir):
     n = lambda day: _stock(spark, sf_dir, day)[2].groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("value"))
-    return twin.value_delta(n("1998-07-01"), n("2000-01-01"))
+    return twin.value_delta(n("1998-07-01"), n("2002-01-01"))
 
 
 @query(f"WITH {TWIN_SQL} SELECT 'add' AS op, src, dst, branch FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'remove', src, dst, branch FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
 def delta_derive(spark, sf_dir):
     e = lambda day: _stock(spark, sf_dir, day)[2].select("src", "dst", "branch", F.lit(1).alias("held"))
-    return versions.derive(e("1998-07-01"), e("2000-01-01"), ["src", "dst", "branch"], "held").select("op", "src", "dst", "branch")
+    return versions.derive(e("1998-07-01"), e("2002-01-01"), ["src", "dst", "branch"], "held").select("op", "src", "dst", "branch")
 
 
 @query(f"WITH {TWIN_SQL} SELECT src, dst, branch FROM b")
@@ -287,7 +287,7 @@ def delta_apply(spark, sf_dir):
     """The later graph again, from the earlier one and the changes between them."""
     e = lambda day: _stock(spark, sf_dir, day)[2].select("src", "dst", "branch", F.lit(1).alias("held"))
     keys = ["src", "dst", "branch"]
-    changes = versions.derive(e("1998-07-01"), e("2000-01-01"), keys, "held").withColumn("graph_id", F.lit(1))
+    changes = versions.derive(e("1998-07-01"), e("2002-01-01"), keys, "held").withColumn("graph_id", F.lit(1))
     return versions.apply(e("1998-07-01"), changes, keys, "held").select(*keys)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphlens.operators.fixpoint import numbered
+
 
 @dataclass
 class Graph:
@@ -108,10 +110,11 @@ def supply(spark: SparkSession, sf_dir: str, before: str | None = None, ordered:
 
 
 def flow(spark: SparkSession, sf_dir: str) -> Graph:
-    """Users as nodes, an edge from each to the next one seen on the same day; cyclic. Metric: events."""
+    """Users as nodes, an edge from each to the next one seen on the same day; cyclic. Metric: events. Events are numbered in ranges, so that a full day is not one task."""
     events = table(spark, sf_dir, "events")
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    pairs = events.select(_name("u", "user_id").alias("src"), F.lead(_name("u", "user_id")).over(w).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
+    placed = numbered(events.select(F.to_date("ts").alias("day"), "ts", "event_id", _name("u", "user_id").alias("src")), ["day", "ts", "event_id"], "place")
+    after = placed.select("day", (F.col("place") - 1).alias("place"), F.col("src").alias("dst"))
+    pairs = placed.join(after, ["day", "place"]).where("src <> dst").select("src", "dst").distinct()
     edges = pairs.select(*_edge(F.col("src"), F.col("dst"))).withColumn("edge_ord", F.lit(None).cast("long"))
     users = events.groupBy(_name("u", "user_id").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     nodes = users.select("node", F.create_map().cast("map<string,string>").alias("props"), F.create_map().cast("map<string,array<string>>").alias("labels"))
