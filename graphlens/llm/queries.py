@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .language_id import document_columns, evidence, fuse, page_columns, train
 from .mixing import mix_sources
 from .near_dup import jaccard_join
+from .quality import quality_rules
 from .sharding import shard_by_bytes
 from .substring_dedup import repeated_windows
 from .token_files import crc32_of, round_trip
@@ -70,6 +71,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    of = [op1_substring_dedup, op2_sharding, op3_top_k, op4_bpe, op5_jaccard_join, op6_token_files, op7_mixing, op8_language_id, op9_warc, op10_exact_dedup, pipeline]
+    of = [op1_substring_dedup, op2_sharding, op3_top_k, op4_bpe, op5_jaccard_join, op6_token_files, op7_mixing, op8_language_id, op9_warc, op10_exact_dedup, op13_quality_rules, pipeline]
     return {f.__name__: f for f in of}
 
 
@@ -161,6 +167,56 @@ WITH RECURSIVE d AS (
 SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM link l WHERE l.a = reached.a) AS n_links, count(*) AS class_size FROM reached GROUP BY a
 """
 
+#: The cutoffs are chosen as in quality.py; the binomial tail is summed by logarithms of factorials.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM p) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM again) GROUP BY doc_id
+), c AS (
+  SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered USING (doc_id)
+), f AS (
+  SELECT doc_id, lang, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, len(l) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+), s AS (
+  SELECT doc_id, lang, base_failed, unnest([
+    {'o': 1, 'rule': 'symbols', 'score': CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END},
+    {'o': 2, 'rule': 'repeats', 'score': CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END},
+    {'o': 3, 'rule': 'lines', 'score': CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END},
+    {'o': 4, 'rule': 'long', 'score': CASE WHEN n_words > 0 THEN least(1000 * word_chars // n_words, 10000) // 10 ELSE 0 END},
+    {'o': 5, 'rule': 'short', 'score': 1000 - CASE WHEN n_words > 0 THEN least(1000 * word_chars // n_words, 10000) // 10 ELSE 0 END}], recursive := true) FROM f
+), k AS (
+  SELECT s.*, good, md5(CAST(doc_id AS VARCHAR))[1] IN ('0', '1', '2', '3') AS tuning
+  FROM s JOIN (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+), h AS (
+  SELECT lang, rule, score - 1 AS cutoff, sum(count(*) FILTER (good)) OVER w AS good, sum(count(*) FILTER (NOT good)) OVER w AS bad
+  FROM k WHERE tuning GROUP BY lang, rule, score WINDOW w AS (PARTITION BY lang, rule ORDER BY score DESC)
+), v AS (
+  SELECT lang, rule, level, max({'gain': bad - price * good, 'cutoff': cutoff}) FILTER (bad > price * good) AS best
+  FROM h, (VALUES (0, 64), (1, 16), (2, 4)) AS r(level, price) GROUP BY lang, rule, level
+), n AS (
+  SELECT lang, count(DISTINCT doc_id) AS n, count(*) OVER () AS strata FROM k WHERE good AND NOT tuning GROUP BY lang
+), lost AS (
+  SELECT n.lang, level, n, strata, (SELECT count(DISTINCT k.doc_id) FROM k JOIN v ON v.lang IS NOT DISTINCT FROM k.lang AND v.rule = k.rule AND v.level = r.level
+    WHERE good AND NOT tuning AND k.lang IS NOT DISTINCT FROM n.lang AND k.score > coalesce(v.best.cutoff, 1000)) AS lost FROM n, range(3) AS r(level)
+), tail AS (
+  SELECT lang, level, strata, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95))) AS p
+  FROM (SELECT *, unnest(range(0, lost + 1)) AS i FROM lost) GROUP BY lang, level, strata
+), held AS (
+  SELECT lang, max(level) AS level FROM (SELECT lang, level, bool_and(p <= 0.05 / strata) OVER (PARTITION BY lang ORDER BY level) AS ok FROM tail) WHERE ok GROUP BY lang
+), gone AS (
+  SELECT s.doc_id, string_agg(s.rule, ',' ORDER BY s.o) AS rules FROM s JOIN held ON held.lang IS NOT DISTINCT FROM s.lang
+  JOIN v ON v.lang IS NOT DISTINCT FROM s.lang AND v.rule = s.rule AND v.level = held.level WHERE s.score > coalesce(v.best.cutoff, 1000) GROUP BY s.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS rejected_by FROM f LEFT JOIN gone USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_top_k": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_top_k": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op13_quality_rules": OP13_SQL}
