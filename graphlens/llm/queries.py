@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import table
+from .cross_tokenizer import align_tokenizers
 from .exact_dedup import exact_dedup
 from .language_id import document_columns, evidence, fuse, page_columns, train
 from .lexical_search import search
@@ -72,6 +73,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents")).documents
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -88,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    of = [op1_substring_dedup, op2_sharding, op3_top_k, op4_bpe, op5_jaccard_join, op6_token_files, op7_mixing, op8_language_id, op9_warc, op10_exact_dedup, op12_lexical_search, op13_quality_rules, pipeline]
+    of = [op1_substring_dedup, op2_sharding, op3_top_k, op4_bpe, op5_jaccard_join, op6_token_files, op7_mixing, op8_language_id, op9_warc, op10_exact_dedup, op11_cross_tokenizer, op12_lexical_search, op13_quality_rules, pipeline]
     return {f.__name__: f for f in of}
 
 
