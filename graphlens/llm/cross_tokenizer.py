@@ -41,8 +41,10 @@ PIECES = "piece_bpe_32k.model"
 TOGETHER = 2 << 20
 #: Pairs whose counts are broadcast, beside those of the identity map: some 17 bytes each.
 KNOWN = 1 << 20
+#: Words that a worker remembers for each tokenizer.
+REMEMBERED = 250_000
 #: Different irregular pairs that a task holds before it gives out their counts.
-HELD = 1 << 20
+HELD = 1 << 18
 _SPACE = "▁"
 
 
@@ -52,7 +54,7 @@ class PlainEncoder(LibraryEncoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.lib.encode_special_tokens = True
-        self.parts = Parts(self.raw, self.many, lambda marks: self.raw(marks) if marks else b"", [])
+        self.parts = Parts(self.raw, self.many, lambda marks: self.raw(marks) if marks else b"", [], remembered=REMEMBERED)
         byte_of = {c: b for b, c in byte_characters().items()}
         spec = json.load(open(path, encoding="utf-8"))
         tokens = {k: bytes(byte_of[c] for c in t) for t, k in spec["model"]["vocab"].items()}
@@ -80,7 +82,7 @@ class PieceEncoder:
         names = [self.lib.id_to_piece(k) for k in range(self.size)]
         self.bytes = [bytes([int(t[3:5], 16)]) if self.lib.is_byte(k) else t.replace(_SPACE, " ").encode() for k, t in enumerate(names)]
         self.opens = np.array([t.startswith(_SPACE) for t in names])
-        self.parts = WholeParts(self.raw, self.many, self.raw, [])
+        self.parts = WholeParts(self.raw, self.many, self.raw, [], remembered=REMEMBERED)
         self.parts.odd += "|^ "
         if any(_SPACE in t.strip(_SPACE) or t.endswith(_SPACE) and t.strip(_SPACE) for t in names):  # then parts cannot be encoded by themselves
             self.parts.odd = ""
@@ -161,12 +163,11 @@ class Both:
         plain = ((size_a == 1) & (size_b == 1))[before(cut)] & (self.same[of_a] == of_b)
         ends = np.concatenate([[0], ends_a])[np.cumsum(n_a)]
         per = lambda mark: np.diff(np.concatenate([[0], np.cumsum(mark)[ends]]))
-        out = Aligned(n_a, n_b, per(cut), per(mark_a | mark_b), of_a, of_a * self.size + of_b, plain)
-        out.written = lambda: self.written(out, a, b, last_a, last_b, group_a, group_b, size_a, size_b)
-        return out
+        written, stops = self.written(n_a + n_b, a, b, last_a, last_b, group_a, group_b, size_a, size_b)
+        return Aligned(n_a, n_b, per(cut), per(mark_a | mark_b), of_a, of_a * self.size + of_b, plain, written, stops)
 
-    def written(self, out: Aligned, a, b, last_a, last_b, group_a, group_b, size_a, size_b) -> tuple[bytes, np.ndarray]:
-        """The groups of all texts as decimal ids, each followed by its sign, and where each text's end."""
+    def written(self, n, a, b, last_a, last_b, group_a, group_b, size_a, size_b) -> tuple[bytes, np.ndarray]:
+        """The groups of all texts as decimal ids, each followed by its sign, and where each text's end; n: ids of each text."""
         at_a = np.arange(len(a)) + (np.cumsum(size_b) - size_b)[group_a]
         at_b = np.arange(len(b)) + np.cumsum(size_a)[group_b]
         ids, signs = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
@@ -175,12 +176,12 @@ class Both:
         rows, width = self.digits[ids], self.width[ids]
         rows[np.arange(len(ids)), width] = signs
         raw = rows[np.arange(rows.shape[1]) <= width[:, None]].tobytes()
-        return raw, np.concatenate([[0], np.cumsum(width + 1)])[np.cumsum(out.n_a + out.n_b)]
+        return raw, np.concatenate([[0], np.cumsum(width + 1)])[np.cumsum(n)]
 
 
 @dataclass
 class Aligned:
-    """Of a run of texts: numbers by text; by link the id of A, the pair of ids as one number, and whether it is a group that follows the identity map."""
+    """Of a run of texts: numbers by text; by link the id of A, the pair of ids as one number, and whether it is a group that follows the identity map; the groups of all texts, and where each text's end."""
 
     n_a: np.ndarray
     n_b: np.ndarray
@@ -189,7 +190,8 @@ class Aligned:
     link_a: np.ndarray
     pair: np.ndarray
     plain: np.ndarray
-    written: object = None
+    written: bytes
+    stops: np.ndarray
 
 
 @functools.cache
@@ -234,14 +236,15 @@ def _scan(path_a: str, path_b: str, groups: bool):
             text = np.repeat(np.arange(len(texts)), x.n_links)
             key, n = np.unique(text << 40 | x.pair, return_counts=True)
             per = np.bincount(key >> 40, minlength=len(texts))
-            raw, ends = x.written()
-            ends = ends.tolist()
-            parts = [raw[a : b - 1] if b > a else b"" for a, b in zip([0, *ends], ends, strict=False)]
+            ends = x.stops.tolist()
+            parts = [x.written[a : b - 1] if b > a else b"" for a, b in zip([0, *ends], ends, strict=False)]
             shas = [hashlib.sha256(p).hexdigest() if p else "" for p in parts]
             whole = pa.array(parts, pa.binary()) if groups else pa.nulls(len(texts), pa.binary())
             numbers = [pa.array(v, pa.int64()) for v in (x.n_a, x.n_b, x.n_groups, x.n_links)]
             kept = [binary_column((key & (1 << 40) - 1).astype("<u4"), per), binary_column(n.astype("<u4"), per)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(shas, pa.string()), whole, *kept, pa.nulls(len(texts), pa.binary())], names)
+            del x, text, key, n, parts, whole, kept
+            pa.default_memory_pool().release_unused()
             if sum(map(len, pairs)) > HELD:
                 pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
                 pairs, times = [pair], [np.bincount(of, np.concatenate(times)).astype(np.int64)]
