@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, by_bytes, new_folder, reliable
 
-COORDINATES = 4096
+#: A place is kept as two bytes, so that as many as these cost no more than fewer.
+COORDINATES = 65_536
 #: A count at a place is kept as a byte; this one stands for itself and all above.
 FULL = 255
 #: Queries are taken so many at a time, or fewer if they have so many terms together.
