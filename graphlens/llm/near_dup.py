@@ -2,9 +2,10 @@
 
 A text is the set of its runs of five words (a text of one to four words: the one run of
 all of them; without words: none, and no link). Two texts are linked when the Jaccard
-similarity of their sets is at least 0.8. The steps:
+similarity of their sets is at least 0.8. Runs are
+compared by hashes of 64 bits under a key that is drawn anew for each call (see substring_dedup), so that nobody can write down texts that collide. The steps:
 
-1. each text gives a 128-bit digest of its set and 128 MinHash values in 32 bands of four;
+1. each text gives a 128-bit digest (BLAKE2) of its sorted set and 128 MinHash values in 32 bands of four;
    rows with equal sets are one node from here on, with their number as its weight;
 2. nodes that share a band meet in its bucket (a pair at 0.8 shares no band with
    probability 5e-8). There MinHash values, cut to a byte each, are compared 32 at a time, and a pair is dropped when
@@ -24,6 +25,7 @@ Other columns are not read, so their names cannot clash. An empty table gives an
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, by_bytes, join_hot, reliable, row_key, unused, without
 from .components import components
-from .substring_dedup import _mix, window_hashes, word_hashes
+from .substring_dedup import _mix, hashes, new_key
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -66,14 +68,16 @@ def least_matches(threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE)
     return out
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+def shingles(text: bytes, key: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the set of runs of words."""
-    w = word_hashes(text)
-    return np.unique(window_hashes(w, min(words, len(w)))) if len(w) else np.empty(0, np.uint64)
+    by = hashes(key)
+    w = by.words(text)
+    return np.unique(by.runs(w, min(words, len(w)))) if len(w) else np.empty(0, np.uint64)
 
 
 def _digest(s: np.ndarray) -> bytes:
-    return int(_mix(s).sum(dtype=np.uint64)).to_bytes(8, "big") + int(_mix(s ^ _ODD[0]).sum(dtype=np.uint64)).to_bytes(8, "big")
+    """A digest of a sorted set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _minhash(s: np.ndarray) -> np.ndarray:
@@ -93,16 +97,19 @@ def _text(cell) -> bytes:
     return (cell.as_py() or "").encode()
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (b for whole in batches for b in by_bytes(whole, 2)):
-        nodes, bands, marks = [], [], []
-        for cell in batch.column(2):
-            s = shingles(_text(cell))
-            values = _minhash(s) if len(s) else None
-            nodes.append(_digest(s) if len(s) else None)
-            bands.append(_bands(values) if len(s) else [])
-            marks.append((values & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "text_hash", "node", "bands", "marks"])
+def _sign(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for whole in batches for b in by_bytes(whole, 2)):
+            nodes, bands, marks = [], [], []
+            for cell in batch.column(2):
+                s = shingles(_text(cell), key)
+                values = _minhash(s) if len(s) else None
+                nodes.append(_digest(s) if len(s) else None)
+                bands.append(_bands(values) if len(s) else [])
+                marks.append((values & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "text_hash", "node", "bands", "marks"])
+
+    return run
 
 
 def forest(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,16 +184,19 @@ def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield tie(pa.concat_tables(held))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (b for whole in batches for b in by_bytes(whole, "text")):
-        out: dict[str, list] = {"set": [], "values": []}
-        for cell, node in zip(batch.column("text"), batch.column("node"), strict=True):
-            s = shingles(_text(cell))
-            same = len(s) > 0 and _digest(s) == node.as_py()
-            out["set"].append(s.tobytes() if same else None)
-            out["values"].append(_minhash(s).tobytes() if same else None)
-        kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out["set"], pa.binary()), pa.array(out["values"], pa.binary())], [*kept, "set", "values"])
+def _members(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for whole in batches for b in by_bytes(whole, "text")):
+            out: dict[str, list] = {"set": [], "values": []}
+            for cell, node in zip(batch.column("text"), batch.column("node"), strict=True):
+                s = shingles(_text(cell), key)
+                same = len(s) > 0 and _digest(s) == node.as_py()
+                out["set"].append(s.tobytes() if same else None)
+                out["values"].append(_minhash(s).tobytes() if same else None)
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out["set"], pa.binary()), pa.array(out["values"], pa.binary())], [*kept, "set", "values"])
+
+    return run
 
 
 def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,11 +269,11 @@ def _compare(table: pa.Table) -> pa.Table:
 
 def candidates(signed: DataFrame) -> DataFrame:
     """(a, b): a forest of nodes that share a band and that their MinHash values do not rule out as linked."""
-    held = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
+    nodes = reliable(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("marks", "bands")).alias("_of")).select("node", "_of.marks", "_of.bands"))
+    held = nodes.select("node", F.explode("bands").alias("band"))  # once for each node, however many rows share a text
     shared = held.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band")
     company = reliable(held.join(shared, "band", "left_semi").select("band", "node").distinct())
-    marks = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("marks").alias("marks"))
-    rows = company.join(marks, "node")
+    rows = company.join(nodes.select("node", "marks"), "node")
     large = reliable(company.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BUCKET).select("band", F.ceil(F.col("size") / BUCKET).cast("int").alias("chunks")))
     rows = rows.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "band", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -280,7 +290,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("text_hash"), docs[f"`{text_col}`"].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = reliable(rows.mapInArrow(_sign, f"doc_id {kind}, text_hash long, node binary, bands array<bigint>, marks binary"))
+    key = new_key()
+    signed = reliable(rows.mapInArrow(_sign(key), f"doc_id {kind}, text_hash long, node binary, bands array<bigint>, marks binary"))
     per = signed.where("node IS NOT NULL").groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("again"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "again"))  # the row that stands for a node
     nodes = per.groupBy("node").agg(first.alias("first"), F.sum("again").alias("weight"))
@@ -298,7 +309,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.select("text", "node", "cluster", "weight", "chunks", "chunk", "again")
     if chosen.where("first.again > 1").limit(1).count():
         found = found.where("again = 1").unionByName(found.where("again > 1").dropDuplicates(["node"]))
-    found = found.drop("again").mapInArrow(_members, "node binary, cluster binary, weight long, chunks int, chunk int, set binary, values binary").where("set IS NOT NULL")
+    found = found.drop("again").mapInArrow(_members(key), "node binary, cluster binary, weight long, chunks int, chunk int, set binary, values binary").where("set IS NOT NULL")
     dealt = found.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("node", "cluster", "weight", "chunks", "chunk", "set", "values", F.least("chunk", "_to").alias("i"), F.greatest("chunk", "_to").alias("j"))
     compared = reliable(dealt.groupBy("cluster", "i", "j").applyInArrow(_compare, "chunks int, node binary, links long, root binary"))

@@ -13,8 +13,10 @@ anchor whose 15 words (35 - 21 + 1) lie inside both. The steps:
 4. the words covered by them are removed.
 
 A hot passage costs one row for each block that holds it, however often it occurs, and no pairs are
-formed. Words are compared by 64-bit hashes: of up to 8 bytes the bytes themselves, of up to 32 bytes mixed
-step by step, of more a BLAKE2 digest. Null and empty texts have no words; texts of under 35 words are kept
+formed. Words and runs of words are compared by hashes under a key that is drawn anew for each call (by the driver, so that
+tasks that are run again use the same one) and that appears in no result: nobody can write down texts that collide. Words have 64 bits (of up to
+8 bytes the bytes themselves, mixed; of up to 32 mixed step by step; of more a keyed BLAKE2 digest) and windows 96, so
+that two different windows are taken for the same with a probability of some 2^-96, whatever the texts. Null and empty texts have no words; texts of under 35 words are kept
 whole; copies of a text remove each other whole, so of a clean document go just the words that lie in a run
 of 35 which stands elsewhere too; rows with equal or null ids are different documents, and each gives a row. A long
 text is one row of one block, whose task needs some 20 times its bytes. Other columns are not read, so
@@ -23,7 +25,9 @@ their names cannot clash. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +48,6 @@ MOST_PARTITIONS = 20_000
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
-# odd multipliers, drawn once from a fixed seed
-_RANDOM = np.random.default_rng(20_240_601)
-_BASES = [int(x) | 1 for x in _RANDOM.integers(2**62, 2**64, 5, dtype=np.uint64)]
 #: Longer words are hashed by a digest.
 MIXED_BYTES = 32
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -58,53 +59,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text; words of up to 8 bytes of equal length never share one."""
-    n = len(text)
-    padded = text + bytes(8)
-    gap = np.ones(n + 2, bool)
-    gap[1:-1] = _SPACES[np.frombuffer(text, np.uint8)]
-    edges = np.flatnonzero(gap[1:] != gap[:-1])
-    del gap
-    starts, ends = edges[::2], edges[1::2]
-    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    lengths = ends - starts
-    out = _mix((eight[starts] & _MASKS[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * np.uint64(_BASES[0]))
-    for k in range(8, MIXED_BYTES, 8):
-        at = np.flatnonzero(lengths > k)
-        if not len(at):
-            break
-        out[at] = _mix(out[at] * np.uint64(_BASES[4]) ^ (eight[starts[at] + k] & _MASKS[np.minimum(lengths[at] - k, 8)]))
-    for i in np.flatnonzero(lengths > MIXED_BYTES).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]], digest_size=8).digest(), "little")
-    return out
-
-
-def window_hashes(words: np.ndarray, width: int, k: int = 1) -> np.ndarray:
-    """A hash of each run of ``width`` words, by its first word: runs of a power of two are made from halves, and put together."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    base, run, size, done = _BASES[k], words, 1, 0
-    out = np.zeros(n, np.uint64)
-    while True:
-        power = np.uint64(pow(base, size, 1 << 64))
-        if width & size:
-            out *= power
-            out += run[done : done + n]
-            done += size
-        if 2 * size > width:
-            return _mix(out)
-        run = run[:-size] * power + run[size:]
-        size *= 2
-
-
-def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Hashes:
+    """Hashes of words and of runs of words under a key."""
+
+    def __init__(self, key: bytes):
+        self.key = key
+        draw = np.random.default_rng(int.from_bytes(key, "little"))
+        self.bases = [int(x) | 1 for x in draw.integers(2**62, 2**64, 5, dtype=np.uint64)]
+        self.start = np.uint64(draw.integers(0, 2**64, dtype=np.uint64))
+
+    def words(self, text: bytes) -> np.ndarray:
+        """A 64-bit hash of each word of a text; words of up to 8 bytes of equal length never share one."""
+        n = len(text)
+        padded = text + bytes(8)
+        gap = np.ones(n + 2, bool)
+        gap[1:-1] = _SPACES[np.frombuffer(text, np.uint8)]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        del gap
+        starts, ends = edges[::2], edges[1::2]
+        eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        lengths = ends - starts
+        out = _mix(((eight[starts] & _MASKS[np.minimum(lengths, 8)]) ^ self.start) + lengths.astype(np.uint64) * np.uint64(self.bases[0]))
+        for k in range(8, MIXED_BYTES, 8):
+            at = np.flatnonzero(lengths > k)
+            if not len(at):
+                break
+            out[at] = _mix(out[at] * np.uint64(self.bases[4]) ^ (eight[starts[at] + k] & _MASKS[np.minimum(lengths[at] - k, 8)]))
+        for i in np.flatnonzero(lengths > MIXED_BYTES).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]], digest_size=8, key=self.key).digest(), "little")
+        return out
+
+    def runs(self, words: np.ndarray, width: int, k: int = 1) -> np.ndarray:
+        """A hash of each run of ``width`` words, by its first word: runs of a power of two are made from halves, and put together."""
+        n = len(words) - width + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        base, run, size, done = self.bases[k], words, 1, 0
+        out = np.zeros(n, np.uint64)
+        while True:
+            power = np.uint64(pow(base, size, 1 << 64))
+            if width & size:
+                out *= power
+                out += run[done : done + n]
+                done += size
+            if 2 * size > width:
+                return _mix(out)
+            run = run[:-size] * power + run[size:]
+            size *= 2
+
+
+@functools.cache
+def hashes(key: bytes) -> Hashes:
+    return Hashes(key)
+
+
+def new_key() -> bytes:
+    return os.urandom(32)
+
+
+def _anchors(by: Hashes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(words) < WINDOW:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashes = window_hashes(words, ANCHOR)
-    at = np.flatnonzero(np.resize(_ON_COVER, len(hashes)))
-    return at, hashes[at]
+    found = by.runs(words, ANCHOR)
+    at = np.flatnonzero(np.resize(_ON_COVER, len(found)))
+    return at, found[at]
 
 
 def _once(h: np.ndarray, h2: np.ndarray | None, block: int) -> pa.RecordBatch | pa.Table:
@@ -127,21 +145,25 @@ def _bytes(column) -> Iterator[bytes]:
         yield from (x.as_py() or b"" for x in chunk)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        blocks = table["block"].to_numpy()
-        found: dict[int, list] = {}
-        for block, text in zip(blocks, _bytes(table["text"]), strict=True):
-            found.setdefault(int(block), []).append(_anchors(word_hashes(text))[1])
-        for block, parts in found.items():
-            yield from _once(np.concatenate(parts), None, block).to_batches()
+def _anchor_rows(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = hashes(key)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            blocks = table["block"].to_numpy()
+            found: dict[int, list] = {}
+            for block, text in zip(blocks, _bytes(table["text"]), strict=True):
+                found.setdefault(int(block), []).append(_anchors(by, by.words(text))[1])
+            for block, parts in found.items():
+                yield from _once(np.concatenate(parts), None, block).to_batches()
+
+    return run
 
 
-def _candidates(words: np.ndarray, shared: np.ndarray) -> np.ndarray:
+def _candidates(by: Hashes, words: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """First words of the windows that hold a shared anchor."""
-    at, hashes = _anchors(words)
-    at = at[_within(hashes, shared)]
+    at, found = _anchors(by, words)
+    at = at[_within(found, shared)]
     if not len(at):
         return at
     n = len(words) - WINDOW + 1
@@ -157,22 +179,24 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _windows(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return window_hashes(words, WINDOW, 2)[at], (window_hashes(words, WINDOW, 3)[at] >> np.uint64(32)).astype(np.uint32)
+def _windows(by: Hashes, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return by.runs(words, WINDOW, 2)[at], (by.runs(words, WINDOW, 3)[at] >> np.uint64(32)).astype(np.uint32)
 
 
-def _window_rows(docs: pa.Table, shared: pa.Table) -> pa.Table:
+def _window_rows(key: bytes, docs: pa.Table, shared: pa.Table) -> pa.Table:
+    by = hashes(key)
     known = np.sort(shared["h"].to_numpy().view(np.uint64))
     first, second, block = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], docs["block"][0].as_py() if len(docs) else 0
     for text in _bytes(docs["text"]):
-        words = word_hashes(text)
-        a, b = _windows(words, _candidates(words, known))
+        words = by.words(text)
+        a, b = _windows(by, words, _candidates(by, words, known))
         first.append(a)
         second.append(b)
     return _once(np.concatenate(first), np.concatenate(second), block)
 
 
-def _kept_rows(docs: pa.Table, again: pa.Table) -> pa.Table:
+def _kept_rows(key: bytes, docs: pa.Table, again: pa.Table) -> pa.Table:
+    by = hashes(key)
     h, h2 = again["h"].to_numpy().view(np.uint64), again["h2"].to_numpy().view(np.uint32)
     order = np.lexsort((h2, h))
     h, h2 = h[order], h2[order]
@@ -181,7 +205,7 @@ def _kept_rows(docs: pa.Table, again: pa.Table) -> pa.Table:
         parts = text.split()
         removed = np.zeros(len(parts), bool)
         if len(parts) >= WINDOW and len(h):
-            a, b = _windows(word_hashes(text), np.arange(len(parts) - WINDOW + 1))
+            a, b = _windows(by, by.words(text), np.arange(len(parts) - WINDOW + 1))
             # where several repeated windows share the first half of the hash, each is tried
             first, last = np.searchsorted(h, a), np.searchsorted(h, a, "right")
             hit = np.zeros(len(a), bool)
@@ -244,12 +268,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spread = F.pmod(F.xxhash64(docs[id_col], F.crc32(docs[text_col].cast("binary")), F.spark_partition_id()), F.lit(blocks)).cast("int")
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), spread.alias("block")).repartition(min(blocks, MOST_PARTITIONS), "block")
     kind = docs.schema[id_col].dataType.simpleString()
+    key = new_key()
 
     def shared(found: DataFrame, keys: dict[str, str]) -> DataFrame:
         schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", block int"
         return found.repartition("h").sortWithinPartitions(*keys, "block").mapInArrow(_repeated([*keys]), schema)
 
-    anchors = shared(rows.mapInArrow(_anchor_rows, "h long, block int, many boolean"), {"h": "long"})
-    windows = rows.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_window_rows, "h long, h2 int, block int, many boolean")
+    anchors = shared(rows.mapInArrow(_anchor_rows(key), "h long, block int, many boolean"), {"h": "long"})
+    windows = rows.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(lambda docs, shared: _window_rows(key, docs, shared), "h long, h2 int, block int, many boolean")
     again = shared(windows, {"h": "long", "h2": "int"})
-    return rows.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_kept_rows, f"doc_id {kind}, n_words long, n_removed long, kept_text binary")
+    return rows.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(lambda docs, again: _kept_rows(key, docs, again), f"doc_id {kind}, n_words long, n_removed long, kept_text binary")

@@ -30,16 +30,43 @@ def test_words_that_share_polynomials_are_told_apart(spark):
     rest = " ".join(f"w{k}" for k in range(34))
     docs = spark.createDataFrame([(1, f"{t} {rest}", "en", "s"), (2, f"{c} {rest}", "en", "s")], COLUMNS)
     assert [r.n_removed for r in substring_dedup.repeated_windows(docs).collect()] == [0, 0]
-    hashes = substring_dedup.word_hashes(f"{t} {c} a ab abcdefgh abcdefghi {'x' * 32} {'x' * 33} {'x' * 34}".encode())
+    hashes = substring_dedup.Hashes(b"k" * 32).words(f"{t} {c} a ab abcdefgh abcdefghi {'x' * 32} {'x' * 33} {'x' * 34}".encode())
     assert len(set(hashes.tolist())) == 9
 
 
+def colliding_words(by: substring_dedup.Hashes) -> tuple[str, str]:
+    """Two words of 16 printable bytes that share their hash under a known key: the last eight bytes of one are solved for."""
+    rng, first = np.random.default_rng(9), b"abcdefgh!@@!!!!@"
+    start = lambda w: int(substring_dedup._mix(np.array([(int.from_bytes(w[:8], "little") ^ int(by.start)) + 16 * by.bases[0] & (1 << 64) - 1], np.uint64))[0])
+    for _ in range(200_000):
+        other = rng.integers(33, 127, 8, dtype=np.uint8).tobytes()
+        turn = (start(first) * by.bases[4] ^ start(other) * by.bases[4]) & (1 << 64) - 1
+        tail = (int.from_bytes(first[8:], "little") ^ turn).to_bytes(8, "little")
+        if all(33 <= b < 127 for b in tail):
+            return first.decode(), (other + tail).decode()
+    raise AssertionError("no pair found")
+
+
+def test_words_that_collide_under_a_known_key_are_told_apart(spark):
+    by = substring_dedup.Hashes(bytes(32))
+    pairs = [colliding_words(by), ("abcdefgh!@@!!!!@", "xdczzxhjFoty1w@q")]
+    assert len(set(by.words(" ".join(pairs[0]).encode()).tolist())) == 1
+    rest = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(2 * k + j, f"{w} {k} {rest} {k}", "en", "s") for k, pair in enumerate(pairs) for j, w in enumerate(pair)], COLUMNS)
+    one = spark.createDataFrame([(j, f"{w} {rest}", "en", "s") for j, w in enumerate(pairs[0])], COLUMNS)
+    assert [r.n_removed for r in substring_dedup.repeated_windows(one).collect()] == [0, 0]
+    short = spark.createDataFrame([(j, f"{w} b c d e", "en", "s") for pair in pairs for j, w in enumerate(pair)], COLUMNS)
+    assert {r.n_links for r in near_dup.jaccard_join(short).collect()} == {0}
+    assert {r.n_removed for r in substring_dedup.repeated_windows(docs).collect()} == {36}
+
+
 def test_windows_are_found_by_content():
     w = RNG.integers(0, 2**63, 120, dtype=np.uint64)
     for width in (1, 2, 5, 15, 35):
-        both = substring_dedup.window_hashes(np.concatenate([w, w]), width)
+        by = substring_dedup.Hashes(b"k" * 32)
+        both = by.runs(np.concatenate([w, w]), width)
         assert (both[: 120 - width + 1] == both[120 : 120 + 120 - width + 1]).all()
-        assert len(set(substring_dedup.window_hashes(w, width).tolist())) == 120 - width + 1
+        assert len(set(by.runs(w, width).tolist())) == 120 - width + 1
 
 
 def test_near_dup_over_many_clusters_and_small_buckets(spark, monkeypatch):
