@@ -55,7 +55,7 @@ def test_words_that_collide_under_a_known_key_are_told_apart(spark):
     docs = spark.createDataFrame([(2 * k + j, f"{w} {k} {rest} {k}", "en", "s") for k, pair in enumerate(pairs) for j, w in enumerate(pair)], COLUMNS)
     one = spark.createDataFrame([(j, f"{w} {rest}", "en", "s") for j, w in enumerate(pairs[0])], COLUMNS)
     assert [r.n_removed for r in substring_dedup.repeated_windows(one).collect()] == [0, 0]
-    short = spark.createDataFrame([(j, f"{w} b c d e", "en", "s") for pair in pairs for j, w in enumerate(pair)], COLUMNS)
+    short = spark.createDataFrame([(2 * k + j, f"{w} {k} c d e", "en", "s") for k, pair in enumerate(pairs) for j, w in enumerate(pair)], COLUMNS)
     assert {r.n_links for r in near_dup.jaccard_join(short).collect()} == {0}
     assert {r.n_removed for r in substring_dedup.repeated_windows(docs).collect()} == {36}
 
