@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.plans.config import MetricView
@@ -16,13 +16,6 @@ from .selection import NodeSelection, select_nodes
 from .traverse import Prepared
 
 
-def _dominators(p: Prepared) -> DataFrame:
-    """Chains of dominators from the only entry point; graphs with several need a root over them (see with_super_root)."""
-    if not hasattr(p, "_chains"):
-        p._chains = metrics.dominators(p.followed, p.state.where("entry").select("node"))
-    return p._chains
-
-
 def view_values(p: Prepared, nodes: DataFrame, view: MetricView) -> DataFrame:
     """(node, value) of a view for some nodes. Unknown metrics and tiers, and what is not reachable, read 0."""
     rows = nodes.select("node").distinct()
@@ -32,8 +25,13 @@ def view_values(p: Prepared, nodes: DataFrame, view: MetricView) -> DataFrame:
         got = p.state.select("node", F.coalesce("tier", F.lit(0)).cast("double").alias("value"))
     elif view.kind == "parents":
         got = metrics.parents_count(p).join(p.state.where("reachable").select("node"), "node", "left_semi").select("node", F.col("parents").cast("double").alias("value"))
+    elif view.kind == "tiered_dominated":
+        at = p.tiers.index(view.tier) if view.tier in p.tiers else -1
+        got = metrics.dominated_tiered(p, view.metric).where(F.col("tier") == at).select("node", F.col("sum").alias("value"))
+    elif "dominated" in view.kind:
+        got = metrics.dominated(p, view.metric).select("node", F.col("count" if view.kind.startswith("count") else "sum").cast("double").alias("value"))
     else:
-        pairs = metrics.dominated_pairs(_dominators(p)).join(rows.withColumnRenamed("node", "root"), "root", "left_semi") if "dominated" in view.kind else metrics.closure(p, rows)
+        pairs = p.reached_by(nodes)
         if view.kind.startswith("count"):
             got = pairs.groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
         elif view.kind.startswith("tiered"):
@@ -58,7 +56,7 @@ def arrows(p: Prepared, node: str, structure: str = "forward") -> DataFrame:
     columns = ["tag", "type_key", "edge_name", "branch"]
     if structure == "dominator":
         none = [F.lit(None).cast("string").alias(c) for c in (*columns, "message")]
-        of = metrics.dominator_parents(_dominators(p)).where(F.col("idom") == node)
+        of = p.tree.where(F.col("idom") == node)
         return of.select("node", F.lit(None).cast("long").alias("ord"), *none[:-1], F.lit(False).alias("excluded"), none[-1])
     near, far = ("src", "dst") if structure == "forward" else ("dst", "src")
     return p.edges.where(F.col(near) == node).select(F.col(far).alias("node"), F.col("edge_ord").alias("ord"), *columns, "excluded", rendered().alias("message"))
@@ -84,8 +82,9 @@ def targets(p: Prepared, target: str | NodeSelection = "entry_points", structure
 
 def with_views(p: Prepared, rows: DataFrame, views: list[MetricView]) -> DataFrame:
     """A column for each view, named as it is written."""
+    nodes = saved(rows.select("node").distinct()) if views else rows
     for view in views:
-        rows = rows.join(view_values(p, rows, view).withColumnRenamed("value", str(view)), "node", "left")
+        rows = rows.join(view_values(p, nodes, view).withColumnRenamed("value", str(view)), "node", "left")
     return rows
 
 
@@ -95,10 +94,16 @@ class Page:
     total: DataFrame
 
 
+def placed(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """A page of rows in an order, saved, with the position of each (from 1, rows before the page counted), which outlasts joins."""
+    page = rows.orderBy(*order).offset(offset).limit(limit)
+    return saved(page.withColumn("position", F.row_number().over(Window.orderBy(*order)) + offset))  # a page is as small as its limit
+
+
 def explore(p: Prepared, target: str | NodeSelection = "entry_points", views: list[MetricView] | None = None, sort: str | None = None, descending: bool = True, offset: int = 0, limit: int = 50, structure: str = "forward", excluded: bool = False) -> Page:
     """A page of a target's rows with columns of views, and how many rows there are in all.
 
-    ``sort`` is ``name`` or a view; ties, and rows without a sort, stand in the order of the edges, then of names. The value
+    Rows stand in order, and ``position`` says where. ``sort`` is ``name`` or a view; ties, and rows without a sort, stand in the order of the edges, then of names. The value
     that is sorted by is made for all rows, the other columns for the page only.
     """
     rows = saved(targets(p, target, structure, excluded))
@@ -112,9 +117,9 @@ def explore(p: Prepared, target: str | NodeSelection = "entry_points", views: li
         made = MetricView.parse(sort)
         rows = with_views(p, rows, [made])
         order = [F.col(f"`{made}`").desc() if descending else F.col(f"`{made}`").asc()]
-    page = rows.orderBy(*order, *natural).offset(offset).limit(limit)
+    page = placed(rows, [*order, *natural], offset, limit)
     rest = [v for v in views if made is None or str(v) != str(made)]
-    return Page(with_views(p, saved(page) if rest else page, rest), total)
+    return Page(with_views(p, page, rest).orderBy("position"), total)
 
 
 def changed(diff: DataFrame, left_state: DataFrame, right_state: DataFrame) -> DataFrame:
@@ -133,7 +138,7 @@ def delta_values(left: Prepared, right: Prepared, nodes: DataFrame, view: Metric
     if view.side != "delta":
         return view_values(left if view.side == "left" else right, nodes, base)
     if base.kind in ("tiered", "count_transitive"):
-        pairs = [metrics.closure(p, nodes) for p in (left, right)]
+        pairs = [p.reached_by(nodes) for p in (left, right)]
         if base.kind == "count_transitive":
             got = twin.exclusive_delta(*pairs, left.state, right.state)
         else:
@@ -166,7 +171,7 @@ def explore_delta(left: Prepared, right: Prepared, target: str | NodeSelection =
     else:
         found = targets(left, target).select("node").unionByName(targets(right, target).select("node")).distinct()
     diff = saved(changed(twin.node_diff((left.nodes, left.node_metrics, left.edges), (right.nodes, right.node_metrics, right.edges)), left.state, right.state))
-    rows = saved(found.join(diff, "node"))
+    rows = saved(found.join(diff, "node", "left").fillna(0, ["diff"]).fillna(False, ["changed"]))
     shown = rows.where("changed") if changed_only else rows
     total = rows.agg(F.count_if("changed").alias("_c"), F.count(F.lit(1)).alias("_n")).select(F.col("_c" if changed_only else "_n").alias("total"), (F.col("_n") - F.col("_c") if changed_only else F.lit(0).cast("long")).alias("hidden"))
     columns = default_columns([MetricView("", "parents")]) if columns is None else columns
@@ -178,7 +183,8 @@ def explore_delta(left: Prepared, right: Prepared, target: str | NodeSelection =
         shown = shown.join(delta_values(left, right, shown, by, diff).withColumnRenamed("value", "_by"), "node")
         key = F.abs("_by") if magnitude and by.side == "delta" else F.col("_by")
         order = [key.desc() if descending else key.asc()]
-    page = saved(shown.orderBy(*order, "node").offset(offset).limit(limit).drop("_by"))
+    page = placed(shown, [*order, "node"], offset, limit).drop("_by")
+    nodes = saved(page.select("node")) if columns else page
     for view in columns:
-        page = page.join(delta_values(left, right, page, view, diff).withColumnRenamed("value", str(view)), "node")
-    return Page(page, total)
+        page = page.join(delta_values(left, right, nodes, view, diff).withColumnRenamed("value", str(view)), "node")
+    return Page(page.orderBy("position"), total)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .fixpoint import MOST_ROUNDS, reach, saved, steps_of
+from .dominators import subtree_sums
+from .fixpoint import reach, saved
+from .reached import reached_sums
 from .rules import overlay
 from .traverse import Prepared, tiers_of
 
@@ -36,43 +38,27 @@ def tiered(p: Prepared, pairs: DataFrame, metric: str) -> DataFrame:
     return of.groupBy("root", "tier").agg(F.sum("v").alias("sum")).where("sum > 0")
 
 
-def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
-    """(node, chain): the dominators of each node reached from a single root, outermost first, the node last.
+def transitive_all(p: Prepared, metric: str) -> DataFrame:
+    """node, count, sum over what it reaches, itself included, of every reachable node (see reached)."""
+    live = p.state.where("reachable").select("node")
+    values = p.node_metrics.where(F.col("metric") == metric).select("node", F.col("value").alias("sum")).join(live, "node", "left_semi")
+    return reached_sums(live, p.steps, values)
 
-    A node's chain is the longest common beginning of its parents' chains and itself; of
-    any number of chains that is the common beginning of the least and the greatest, so parents
-    are combined before the shuffle. A round makes anew only the chains of nodes below one that has changed.
-    """
-    steps = saved(edges.select("src", "dst").where("src <> dst").distinct())
-    first = saved(root.select("node"))
-    inner = steps.join(first.withColumnRenamed("node", "dst"), "dst", "left_anti")
-    chains = moved = saved(root.select("node", F.array("node").alias("chain")))
-    for _ in range(MOST_ROUNDS):
-        below = inner.join(moved.select(F.col("node").alias("src")), "src", "left_semi").select("dst").distinct()
-        into = inner.join(below, "dst", "left_semi")
-        ends = into.join(chains.select(F.col("node").alias("src"), "chain"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("chain").alias("a"), F.max("chain").alias("b"))
-        differ = F.filter(F.sequence(F.lit(0), F.least(F.size("a"), F.size("b")) - 1), lambda i: F.get("a", i) != F.get("b", i))
-        same = F.coalesce(F.array_min(differ), F.least(F.size("a"), F.size("b")))
-        after = ends.select("node", F.concat(F.slice("a", F.lit(1), same), F.array("node")).alias("chain"))
-        moved = saved(after.join(chains.withColumnRenamed("chain", "_old"), "node", "left").where("_old IS NULL OR _old <> chain").select("node", "chain"))
-        if moved.isEmpty():
-            return chains
-        chains = saved(chains.join(moved.select("node"), "node", "left_anti").unionByName(moved))
-    raise RuntimeError("dominators did not settle")
 
+def dominated(p: Prepared, metric: str | None = None) -> DataFrame:
+    """node, count, sum over what each reachable node dominates, itself included; with one entry point."""
+    rows = p.jumps.select("node", F.lit(1).cast("long").alias("count"))
+    one = p.node_metrics.where(F.col("metric") == metric).select("node", F.col("value").alias("sum"))
+    return subtree_sums(p.jumps, rows.join(one, "node", "left").fillna(0.0, ["sum"]))
 
-def dominator_parents(chains: DataFrame) -> DataFrame:
-    """(node, idom); the root has none."""
-    return chains.select("node", F.when(F.size("chain") > 1, F.element_at("chain", -2)).alias("idom"))
 
-
-def dominated_pairs(chains: DataFrame) -> DataFrame:
-    """(root, node): each node under each of its dominators."""
-    return chains.select(F.explode("chain").alias("root"), "node")
-
-
-def dominated(p: Prepared, chains: DataFrame, metric: str) -> DataFrame:
-    return _sums(dominated_pairs(chains), p.node_metrics, metric, "sum").withColumnRenamed("root", "node")
+def dominated_tiered(p: Prepared, metric: str) -> DataFrame:
+    """node, tier, sum: the cumulative sums by tier of what each node dominates; sums that are not positive are left out."""
+    one = p.node_metrics.where(F.col("metric") == metric).select("node", "value")
+    own = p.jumps.select("node").join(p.state.select("node", F.coalesce("tier", F.lit(0)).alias("tier")), "node").join(one, "node")
+    sums = subtree_sums(p.jumps, own.groupBy("node", "tier").agg(F.sum("value").alias("sum")), ("tier",))
+    last = F.greatest("tier", F.lit(max(0, len(p.tiers) - 1)))
+    return sums.select("node", "sum", F.explode(F.sequence("tier", last)).alias("tier")).groupBy("node", "tier").agg(F.sum("sum").alias("sum")).where("sum > 0")
 
 
 def parents_count(p: Prepared) -> DataFrame:

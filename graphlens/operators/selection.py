@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fixpoint import saved
+
 
 @dataclass(frozen=True)
 class NodeSelection:
@@ -50,9 +52,13 @@ def select_nodes(nodes: DataFrame, s: NodeSelection, node_metrics: DataFrame | N
         else:
             out = out.join(of.where(F.round("value").cast("long") == value).select("node"), "node", "left_semi")
     live = edges.where("NOT excluded") if edges is not None and "excluded" in edges.columns else edges
+    ends = None
     for column, end, wanted in (("tag", "dst", s.incoming_tags), ("tag", "src", s.outgoing_tags), ("type_key", "dst", s.incoming_keys), ("type_key", "src", s.outgoing_keys)):
         for value in wanted:
-            out = out.join(live.where(F.col(column) == value).select(F.col(end).alias("node")), "node", "left_semi")
+            part = live.where(F.col(column) == value).select(F.col(end).alias("node"))
+            ends = part if ends is None else ends.join(part, "node", "left_semi")
+    if ends is not None:  # what edges say is settled once, before the tables of nodes are read
+        out = out.join(saved(ends.distinct()), "node", "left_semi")
     return out.orderBy(F.octet_length("node"), "node").limit(s.limit) if s.fuzzy else out
 
 

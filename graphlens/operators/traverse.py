@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from graphlens.plans.config import TraversalConfig
 
-from .fixpoint import reach_set, saved, steps_of
+from .dominators import dominator_tree, jump_table
+from .fixpoint import reach, reach_set, saved, steps_of
 from .rules import apply_rules
 from .scc import source_entry_points
 
@@ -38,6 +39,27 @@ class Prepared:
         """(src, dst) of them, each pair once."""
         return steps_of(self.followed)
 
+    def reached_by(self, nodes: DataFrame) -> DataFrame:
+        """(root, node) of some nodes and what they reach over followed edges, made once for the same frame of nodes."""
+        held = self.__dict__.setdefault("_reached", [])
+        for of, pairs in held:
+            if of is nodes:
+                return pairs
+        live = nodes.select("node").distinct().join(self.state.where("reachable").select("node"), "node", "left_semi")
+        pairs = saved(reach(self.followed, live.select(F.col("node").alias("root"), "node"), self.steps).select("root", "node"))
+        held.append((nodes, pairs))
+        return pairs
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        """(node, idom): the dominators from the only entry point; graphs with several need a root over them (see with_super_root)."""
+        return saved(dominator_tree(self.steps, self.state.where("entry").select("node")))
+
+    @cached_property
+    def jumps(self) -> DataFrame:
+        """The jump table of the dominators."""
+        return jump_table(self.tree)
+
 
 def all_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Declared nodes and targets that are not declared."""

@@ -179,7 +179,8 @@ def select_fuzzy_top(spark, sf_dir):
     return selection.select_nodes(supply(spark, sf_dir).nodes, NodeSelection(fuzzy="123", limit=20))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT node FROM nodes WHERE node IN (SELECT dst FROM judged WHERE NOT excluded AND tag = 'R') AND node IN (SELECT src FROM judged WHERE NOT excluded AND type_key = 'stock')")
+@query(f"""WITH {GRAPH_SQL.replace("judged AS (", "judged AS MATERIALIZED (")} SELECT node FROM nodes SEMI JOIN (SELECT DISTINCT dst AS node FROM judged WHERE NOT excluded AND tag = 'R') USING (node)
+SEMI JOIN (SELECT DISTINCT src AS node FROM judged WHERE NOT excluded AND type_key = 'stock') USING (node)""")
 def select_edge_tags(spark, sf_dir):
     g = supply(spark, sf_dir)
     return selection.select_nodes(g.nodes, NodeSelection(incoming_tags=("R",), outgoing_keys=("stock",)), edges=apply_rules(g.edges, g.nodes, CONFIG))
@@ -238,9 +239,27 @@ SELECT x AS node, (SELECT count(*) FROM reached) - count(*) AS count FROM w GROU
 def dominated_count(spark, sf_dir):
     """How many nodes each nation and customer dominates that leads on: what is lost without it."""
     p = _prepared(spark, sf_dir)
-    chains = metrics.dominators(p.followed, _named(spark, "r0"))
     leads = p.followed.select(F.col("src").alias("node")).where("node LIKE 'n%' OR node LIKE 'c%'").distinct()
-    return metrics.dominated(p, chains, "price").join(leads, "node", "left_semi").select("node", "count")
+    return metrics.dominated(p).join(leads, "node", "left_semi").select("node", "count")
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {REACHED_SQL}, f AS (SELECT DISTINCT l.src, l.dst FROM live l JOIN reached r ON r.node = l.src),
+c AS (SELECT src AS n, dst AS c FROM f WHERE src LIKE 'n%'), o AS (SELECT n, c, dst AS o FROM f JOIN c ON c = src),
+p AS (SELECT dst AS p, CASE WHEN count(DISTINCT n) = 1 THEN min(n) END AS n, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS c, CASE WHEN count(DISTINCT o) = 1 THEN min(o) END AS o FROM f JOIN o ON o = src GROUP BY dst),
+s AS (SELECT dst AS s, CASE WHEN count(DISTINCT n) = 1 AND count(n) = count(*) THEN min(n) END AS n, CASE WHEN count(DISTINCT c) = 1 AND count(c) = count(*) THEN min(c) END AS c,
+  CASE WHEN count(DISTINCT o) = 1 AND count(o) = count(*) THEN min(o) END AS o, CASE WHEN count(DISTINCT p) = 1 THEN min(p) END AS p FROM f JOIN p ON p = src GROUP BY dst)
+SELECT dst AS node, src AS idom FROM f WHERE src = 'r0' UNION ALL SELECT c, n FROM c UNION ALL SELECT o, c FROM o UNION ALL SELECT p, coalesce(o, c, n, 'r0') FROM p UNION ALL SELECT s, coalesce(p, o, c, n, 'r0') FROM s""")
+def dominator_tree(spark, sf_dir):
+    """The immediate dominator of each node that the region reaches."""
+    return _prepared(spark, sf_dir).tree.where("idom IS NOT NULL")
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, {REACHED_SQL}, c AS (SELECT node AS root, node FROM reached UNION SELECT c.root, l.dst FROM c JOIN live l ON l.src = c.node),
+price AS (SELECT 'o' || o_orderkey AS node, o_totalprice AS v FROM orders UNION ALL SELECT 'p' || p_partkey, p_retailprice FROM part)
+SELECT root AS node, count(*) AS count, round(coalesce(sum(v), 0), 2) AS sum FROM c LEFT JOIN price USING (node) GROUP BY root""")
+def transitive_sums_of_all(spark, sf_dir):
+    """What every reachable node reaches, by bitmaps."""
+    return metrics.transitive_all(_prepared(spark, sf_dir), "price").withColumn("sum", F.round("sum", 2))
 
 
 @query()
@@ -264,8 +283,10 @@ def _stock(spark: SparkSession, sf_dir: str, before: str) -> tuple:
 
 
 @query(f"""WITH {TWIN_SQL}, d AS (SELECT DISTINCT src FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)))
-SELECT 'p' || p_partkey AS node, CAST(CASE WHEN d.src IS NULL THEN 0 ELSE 4 END AS INTEGER) AS diff FROM part LEFT JOIN d ON d.src = 'p' || p_partkey""")
+SELECT 'p' || p_partkey AS node, CAST(CASE WHEN d.src IS NULL THEN 0 ELSE 4 END AS INTEGER) AS diff FROM part LEFT JOIN d ON d.src = 'p' || p_partkey
+UNION ALL SELECT dst, CAST(CASE WHEN x.n IS NULL THEN 1 WHEN y.n IS NULL THEN 2 ELSE 0 END AS INTEGER) FROM (SELECT DISTINCT dst, 1 AS n FROM a) x FULL JOIN (SELECT DISTINCT dst, 1 AS n FROM b) y USING (dst)""")
 def twin_node_diff(spark, sf_dir):
+    """Parts are declared, their suppliers known only as targets."""
     return twin.node_diff(_stock(spark, sf_dir, "1998-07-01"), _stock(spark, sf_dir, "2002-01-01"))
 
 
@@ -291,15 +312,20 @@ def delta_apply(spark, sf_dir):
     return versions.apply(e("1998-07-01"), changes, keys, "held").select(*keys)
 
 
+def day_number(ts: str):
+    """Days since the last one of 2023, so that every day of any month and year has its own number."""
+    return F.datediff(F.to_date(ts), F.lit("2023-12-31").cast("date")).cast("long")
+
+
 #: Days of events are the frames of a timeline; days 8, 9 and 17 are taken as empty, every tenth from the first as full.
 FRAMES_SQL = """
-frames AS (SELECT 'events' AS timeline_id, CAST(day(CAST(ts AS DATE)) AS BIGINT) AS graph_id, min(ts) AS ts FROM events GROUP BY 1, 2),
+frames AS (SELECT 'events' AS timeline_id, CAST(CAST(ts AS DATE) - DATE '2023-12-31' AS BIGINT) AS graph_id, min(ts) AS ts FROM events GROUP BY 1, 2),
 typed AS (SELECT *, CASE WHEN graph_id IN (8, 9, 17) THEN 'empty' WHEN graph_id % 10 = 1 THEN 'full' ELSE 'delta' END AS frame_type FROM frames)
 """
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("long").alias("graph_id")).agg(F.min("ts").alias("ts"))
+    days = table(spark, sf_dir, "events").groupBy(day_number("ts").alias("graph_id")).agg(F.min("ts").alias("ts"))
     kind = F.when(F.col("graph_id").isin(8, 9, 17), "empty").when(F.col("graph_id") % 10 == 1, "full").otherwise("delta")
     return days.select(F.lit("events").alias("timeline_id"), "graph_id", "ts", kind.alias("frame_type"))
 
@@ -316,7 +342,7 @@ def compaction(spark, sf_dir):
 
 
 HISTORY_SQL = f"""{FRAMES_SQL},
-v AS (SELECT CAST(day(CAST(ts AS DATE)) AS BIGINT) AS graph_id, 'u' || user_id AS node, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1, 2),
+v AS (SELECT CAST(CAST(ts AS DATE) - DATE '2023-12-31' AS BIGINT) AS graph_id, 'u' || user_id AS node, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1, 2),
 live AS (SELECT v.* FROM v JOIN typed USING (graph_id) WHERE frame_type <> 'empty'),
 grid AS (SELECT n.node, t.graph_id, coalesce(l.x, 0) AS x, l.x IS NOT NULL AS here FROM (SELECT DISTINCT node FROM live) n CROSS JOIN typed t LEFT JOIN live l ON l.node = n.node AND l.graph_id = t.graph_id WHERE frame_type <> 'empty'),
 s AS (SELECT g.*, p.x AS was, coalesce(p.here, false) AS before, e.graph_id IS NOT NULL AS gap FROM grid g LEFT JOIN grid p ON p.node = g.node AND p.graph_id = g.graph_id - 1 LEFT JOIN typed e ON e.graph_id = g.graph_id - 1 AND e.frame_type = 'empty'),
@@ -326,7 +352,7 @@ j AS (SELECT *, NOT gap AND before AND abs(x - was) >= 4 AS over_, NOT gap AND h
 
 def _history(spark: SparkSession, sf_dir: str, threshold: float = 4.0) -> DataFrame:
     frames = _frames(spark, sf_dir).select("graph_id", (F.col("frame_type") != "empty").alias("has_data"))
-    values = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("long").alias("graph_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    values = table(spark, sf_dir, "events").groupBy(day_number("ts").alias("graph_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return history.judge(frames, values.withColumn("metric", F.lit("events")), threshold)
 
 

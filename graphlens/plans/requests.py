@@ -15,7 +15,7 @@ from graphlens.sources.frames import FrameStore
 from graphlens.sources.tables import Graph, supply, table
 
 from .config import MetricView
-from .queries import CLOSURE_SQL, CONFIG, FRAMES_SQL, GRAPH_SQL, REACHED_SQL, _frames, _named, _prepared, query
+from .queries import CLOSURE_SQL, CONFIG, FRAMES_SQL, GRAPH_SQL, REACHED_SQL, _frames, _named, _prepared, day_number, query
 
 
 @query(f"""{CLOSURE_SQL}, ti AS (SELECT 'r0' AS node, 0 AS tier UNION SELECT l.dst, greatest(ti.tier, l.to_tier) FROM ti JOIN live l ON l.src = ti.node),
@@ -151,7 +151,7 @@ def _store(spark, sf_dir, fulls: tuple[int, ...] = ()) -> FrameStore:
     frames = _frames(spark, sf_dir)
     frames = saved(frames.withColumn("frame_type", F.when(F.col("graph_id").isin(list(fulls)), "full").otherwise(F.col("frame_type"))))
     live = frames.where("frame_type <> 'empty'").select("graph_id", "frame_type")
-    counts = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("long").alias("graph_id"), F.col("user_id").cast("long").alias("user_id"), "event_type").agg(F.count(F.lit(1)).alias("n")).join(live, "graph_id")
+    counts = table(spark, sf_dir, "events").groupBy(day_number("ts").alias("graph_id"), F.col("user_id").cast("long").alias("user_id"), "event_type").agg(F.count(F.lit(1)).alias("n")).join(live, "graph_id")
     counts = saved(counts)
     full = counts.where("frame_type = 'full'").select("graph_id", F.lit("full").alias("op"), *store.keys, "n")
     before = counts.select((F.col("graph_id") + 1).alias("graph_id"), *store.keys, "n").join(live.where("frame_type = 'delta'"), "graph_id", "left_semi")
@@ -161,7 +161,7 @@ def _store(spark, sf_dir, fulls: tuple[int, ...] = ()) -> FrameStore:
 
 
 #: Frames 9 to 10 and 18 to 20 stand after a gap without a full frame, so they cannot be fetched.
-COUNTS_SQL = f"WITH {FRAMES_SQL}, n AS (SELECT CAST(day(CAST(ts AS DATE)) AS BIGINT) AS graph_id, CAST(user_id AS BIGINT) AS user_id, event_type, count(*) AS n FROM events GROUP BY ALL)"
+COUNTS_SQL = f"WITH {FRAMES_SQL}, n AS (SELECT CAST(CAST(ts AS DATE) - DATE '2023-12-31' AS BIGINT) AS graph_id, CAST(user_id AS BIGINT) AS user_id, event_type, count(*) AS n FROM events GROUP BY ALL)"
 
 
 @query(f"{COUNTS_SQL} SELECT user_id, event_type, n FROM n WHERE graph_id = 16")
@@ -179,7 +179,7 @@ def load_frames(spark, sf_dir):
 def store_frame_range(spark, sf_dir):
     """Two empty frames filled as a range, and a full one beside them that stays."""
     store = _store(spark, sf_dir)
-    counts = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("long").alias("graph_id"), F.col("user_id").cast("long").alias("user_id"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = table(spark, sf_dir, "events").groupBy(day_number("ts").alias("graph_id"), F.col("user_id").cast("long").alias("user_id"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     store.store_range("events", counts.where("graph_id IN (8, 9)"))
     return store.load_range("events", 8, 11).where("graph_id <> 10")
 

@@ -10,7 +10,7 @@ from graphlens.operators.fixpoint import new_folder
 from graphlens.sources.tables import table
 from graphlens.streaming import ingest
 
-from .queries import FRAMES_SQL, HISTORY_SQL, _frames, _history, query
+from .queries import FRAMES_SQL, HISTORY_SQL, _frames, _history, day_number, query
 
 REASONS_SQL = """r AS (
   SELECT a.node, a.graph_id, a.here, (CASE WHEN a.first_ THEN 1 ELSE 0 END) + (CASE WHEN a.over_ THEN 2 ELSE 0 END) + (CASE WHEN a.here AND coalesce(b.over_, false) THEN 4 ELSE 0 END)
@@ -34,7 +34,7 @@ def history_compact(spark, sf_dir):
 
 def _streamed(spark, sf_dir) -> str:
     """Days of events as frames in files, streamed a file at a time in no order: the folder of the history that the stream leaves."""
-    days = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").cast("long").alias("graph_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    days = table(spark, sf_dir, "events").groupBy(day_number("ts").alias("graph_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     full = _frames(spark, sf_dir).select("graph_id", (F.col("frame_type") != "empty").alias("has_data"))
     records = full.join(days.withColumn("metric", F.lit("events")), "graph_id").select("graph_id", "has_data", "node", "metric", "value")
     frames, store = new_folder(spark, "frames"), new_folder(spark, "history")
@@ -52,13 +52,13 @@ def history_stream(spark, sf_dir):
 
 
 DAYS_SQL = """
-d AS (SELECT 'u' || user_id AS node, event_type AS metric, CAST(day(CAST(ts AS DATE)) AS BIGINT) AS graph_id,
+d AS (SELECT 'u' || user_id AS node, event_type AS metric, CAST(CAST(ts AS DATE) - DATE '2023-12-31' AS BIGINT) AS graph_id,
   CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS week, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2, 3, 4)"""
 
 
 def _days(spark, sf_dir):
     ts = F.col("ts").cast("timestamp_ntz")
-    of = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node"), F.col("event_type").alias("metric"), F.dayofmonth("ts").cast("long").alias("graph_id"), formats.iso_week(ts).alias("week"))
+    of = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node"), F.col("event_type").alias("metric"), day_number("ts").alias("graph_id"), formats.iso_week(ts).alias("week"))
     return of.agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 

@@ -4,7 +4,8 @@ import itertools
 import random
 
 import pytest
-from graphlens.operators import history, metrics, paths, scc, twin
+from graphlens.operators import dominators as tree_of
+from graphlens.operators import history, metrics, paths, reached, scc, twin
 from graphlens.plans.config import MetricView
 from graphlens.streaming import ingest
 from pyspark.sql import functions as F
@@ -40,14 +41,66 @@ def test_components(graph):
     assert {r.node: r.scc for r in scc.components(n, e).collect()} == want
 
 
-def test_dominators(graph, spark):
-    nodes, links, _, e = graph
-    root = max(nodes, key=lambda a: len(closure(nodes, links)[a]))
-    live = closure(nodes, links)[root]
-    inside = e.where(F.col("src").isin(*live))
-    chains = metrics.dominators(inside, spark.createDataFrame([(root,)], "node string"))
-    got = {(r[0], r[1]) for r in metrics.dominated_pairs(chains).select("root", "node").collect() if r[0] not in (root, r[1])}
-    assert got == {(x, y) for x in live - {root} for y in live - closure(nodes, links, x)[root] - {x}}
+def dominators(links, root):
+    """Immediate dominators by iteration over a search order."""
+    live = sorted(closure({root} | {x for e in links for x in e}, links)[root])
+    dom = {n: set(live) for n in live} | {root: {root}}
+    into = {n: [a for a, b in links if b == n and a in dom] for n in live}
+    moved = True
+    while moved:
+        moved = False
+        for n in live:
+            if n != root:
+                new = {n} | set.intersection(*(dom[a] for a in into[n]))
+                moved, dom[n] = moved or new != dom[n], new
+    return {n: max(dom[n] - {n}, key=lambda x: len(dom[x]), default=None) for n in live}
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_dominator_tree(spark, seed):
+    rng = random.Random(seed)
+    size, n = [(14, 20), (14, 24), (30, 34), (30, 60), (60, 90), (12, 40)][seed]
+    links = sorted({(f"n{rng.randrange(size)}", f"n{rng.randrange(size)}") for _ in range(n)})
+    root = links[0][0]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    tree = tree_of.dominator_tree(edges, spark.createDataFrame([(root,)], "node string"))
+    assert {r.node: r.idom for r in tree.collect()} == dominators(links, root)
+    up = dominators(links, root)
+    jumps = {r.node: (r.depth, r.jump) for r in tree_of.jump_table(tree).collect()}
+
+    def chain(x):
+        return [x, *chain(up[x])] if x else []
+
+    assert jumps == {x: (len(chain(x)) - 1, [chain(x)[1 << k] for k in range(8) if 1 << k < len(chain(x))]) for x in up}
+    sums = tree_of.subtree_sums(tree_of.jump_table(tree), tree.select("node", F.lit(1).alias("n"), F.length("node").alias("v")))
+    assert {r.node: (r.n, r.v) for r in sums.collect()} == {x: (len(b := [y for y in up if x in chain(y)]), sum(map(len, b))) for x in up}
+
+
+def test_dominators_of_a_long_path_with_side_steps(spark):
+    n = 2000
+    links = [(f"v{k}", f"v{k + 1}") for k in range(n)] + [(f"v{k}", f"w{k}") for k in range(0, n, 50)] + [(f"w{k}", f"v{k + 30}") for k in range(0, n - 30, 50)] + [(f"v{k + 7}", f"v{k}") for k in range(0, n - 7, 90)]
+    tree = tree_of.dominator_tree(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([("v0",)], "node string"))
+    want = {f"v{k + 1}": f"v{k}" for k in range(n)} | {f"w{k}": f"v{k}" for k in range(0, n, 50)} | {f"v{k + 30}": f"v{k}" for k in range(0, n - 30, 50)} | {"v0": None}
+    assert {r.node: r.idom for r in tree.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [0, 2])
+def test_sums_over_what_all_reach(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(reached, "ROWS", 3)
+    nodes = [f"n{k}" for k in range(40)]
+    links = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range([30, 45, 70][seed])})
+    value = {x: rng.randrange(9) / 2 for x in nodes[:30]}
+    got = reached.reached_sums(spark.createDataFrame([(x,) for x in nodes], "node string"), spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(list(value.items()), "node string, v double"))
+    assert {r.node: (r["count"], r.v) for r in got.collect()} == {x: (len(s), sum(value.get(y, 0) for y in s)) for x, s in closure(nodes, links).items()}
+
+
+def test_bitmaps_of_several_runs(spark):
+    n = 70_000
+    links = spark.range(n).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("src"), F.concat(F.lit("x"), F.col("id")).alias("dst")).union(spark.sql("SELECT 'r', 'a' UNION ALL SELECT 'r', 'b' UNION ALL SELECT 'x5', 'x6'"))
+    nodes = links.select("dst").union(spark.sql("SELECT 'r'")).toDF("node")
+    got = {r.node: (r["count"], r.v) for r in reached.reached_sums(nodes, links, nodes.select("node", F.lit(2.0).alias("v"))).where("length(node) = 1 OR node = 'x5'").collect()}
+    assert got == {"r": (n + 3, 2.0 * (n + 3)), "a": (23_335, 46_670.0), "b": (46_668, 93_336.0), "x5": (2, 4.0)}
 
 
 def test_shortest_path_depths(graph, spark):
