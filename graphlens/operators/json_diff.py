@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Arrays whose differing middles have more pairs of elements than this are compared place by place.
-CELLS = 250_000
 #: Changes are handed on in runs of so many.
 RUN = 10_000
 
@@ -34,49 +34,75 @@ def _lines(value: object) -> int:
     return 1 if inner is None else 2 + sum(map(_lines, inner))
 
 
-def _aligned(a: list[str], b: list[str], cells: int) -> Iterator[tuple[int | None, int | None]]:
-    """Places of two lists side by side, by a longest common subsequence of what is left between equal ends; of ties the left one goes first."""
+def _matched(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int | None, int | None]]:
+    """Places of two lists side by side by a longest common subsequence; of ties the left one goes first.
+
+    The table of lengths is made row by row from its end. Of its rows only every step-th is kept (step: the root of their
+    number), and the rows between two kept ones are made again when the walk comes to them: memory grows with the width times that root, at every size.
+    """
+    n, m = len(a), len(b)
+    step = max(1, math.isqrt(n))
+
+    def above(row: np.ndarray, x: int) -> np.ndarray:
+        best = row.copy()
+        best[:-1] = np.maximum(row[:-1], np.where(b == a[x], row[1:] + 1, 0))
+        return np.maximum.accumulate(best[::-1])[::-1]
+
+    row, kept = np.zeros(m + 1, np.int32), {}
+    for x in reversed(range(n)):
+        if (x + 1) % step == 0 or x + 1 == n:
+            kept[x + 1] = row
+        row = above(row, x)
+    rows: dict[int, np.ndarray] = {0: row} | ({n: kept[n]} if n else {})
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and a[i] == b[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+            continue
+        if i < n and j < m and i + 1 not in rows or i < n and j < m and i not in rows:
+            end = min(k for k in kept if k > i)
+            rows = {end: kept[end]}
+            for x in reversed(range(i, end)):
+                rows[x] = above(rows[x + 1], x)
+        if j == m or (i < n and rows[i + 1][j] >= rows[i][j + 1]):
+            yield i, None
+            i += 1
+        else:
+            yield None, j
+            j += 1
+
+
+def _aligned(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """Places of two lists side by side: their equal ends, and what lies between by a longest common subsequence."""
     head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     most = min(len(a), len(b)) - head
     tail = next((k for k in range(most) if a[-1 - k] != b[-1 - k]), most)
-    i, j, n, m = head, head, len(a) - tail, len(b) - tail
-    if (n - i) * (m - j) > cells:
-        yield from ((k if k < n else None, k if k < m else None) for k in range(max(n, m)))
-    else:
-        yield from ((k, k) for k in range(head))
-        common = [[0] * (m - head + 1) for _ in range(n - head + 1)]
-        for x in reversed(range(n - head)):
-            for y in reversed(range(m - head)):
-                common[x][y] = common[x + 1][y + 1] + 1 if a[head + x] == b[head + y] else max(common[x + 1][y], common[x][y + 1])
-        while i < n or j < m:
-            if i < n and j < m and a[i] == b[j]:
-                yield i, j
-                i, j = i + 1, j + 1
-            elif j == m or (i < n and common[i + 1 - head][j - head] >= common[i - head][j + 1 - head]):
-                yield i, None
-                i += 1
-            else:
-                yield None, j
-                j += 1
+    n, m = len(a) - tail, len(b) - tail
+    number: dict[str, int] = {}
+    inner = [np.array([number.setdefault(x, len(number)) for x in part], np.int64) for part in (a[head:n], b[head:m])]
+    yield from ((k, k) for k in range(head))
+    for i, j in _matched(*inner):
+        yield None if i is None else head + i, None if j is None else head + j
     yield from ((n + k, m + k) for k in range(tail))
 
 
-def changes_of(left: object, right: object, cells: int = CELLS, path: str = "$") -> Iterator[tuple[str, str, str | None, str | None, int]]:
+def changes_of(left: object, right: object, path: str = "$") -> Iterator[tuple[str, str, str | None, str | None, int]]:
     """(path, tone, left, right, lines). Objects are compared by key, arrays element by element; values of different shape are a removal and an addition."""
     if isinstance(left, dict) and isinstance(right, dict):
         for key in sorted(left.keys() | right.keys()):
             at = f"{path}[{json.dumps(key, ensure_ascii=False)}]"
             if key in left and key in right:
-                yield from changes_of(left[key], right[key], cells, at)
+                yield from changes_of(left[key], right[key], at)
             elif key in left:
                 yield at, "removed", _text(left[key]), None, _lines(left[key])
             else:
                 yield at, "added", None, _text(right[key]), _lines(right[key])
     elif isinstance(left, list) and isinstance(right, list):
-        for i, j in _aligned([*map(_text, left)], [*map(_text, right)], cells):
+        for i, j in _aligned([*map(_text, left)], [*map(_text, right)]):
             at = f"{path}[{i if j is None else j}]"
             if i is not None and j is not None:
-                yield from changes_of(left[i], right[j], cells, at)
+                yield from changes_of(left[i], right[j], at)
             elif j is None:
                 yield at, "removed", _text(left[i]), None, _lines(left[i])
             else:
@@ -88,7 +114,7 @@ def changes_of(left: object, right: object, cells: int = CELLS, path: str = "$")
         yield path, "changed", _text(left), _text(right), 1
 
 
-def json_changes(pairs: DataFrame, key: str, left: str, right: str, cells: int = CELLS) -> DataFrame:
+def json_changes(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """(key, place, path, tone, left, right, lines): a row for each change from left to right, in the order of place within its pair.
 
     Tone is added, removed or changed; lines counts what the value takes when it is written out. A text that is null is absent: the other
@@ -107,7 +133,7 @@ def json_changes(pairs: DataFrame, key: str, left: str, right: str, cells: int =
                     whole = _read(a if b is None else b) if (a, b) != (None, None) else None
                     found = [] if (a, b) == (None, None) else [("$", "removed" if b is None else "added", a and _text(whole), b and _text(whole), _lines(whole))]
                 else:
-                    found = changes_of(_read(a), _read(b), cells)
+                    found = changes_of(_read(a), _read(b))
                 rows.extend((who, place, *change) for place, change in enumerate(found))
                 if len(rows) >= RUN:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
