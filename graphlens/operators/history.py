@@ -94,6 +94,31 @@ def weekly(values: DataFrame, ts: str = "ts") -> DataFrame:
     return rows.withColumn("_was", was).where(F.col("_was").isNull() | (F.col("_was") != F.col("value"))).select("node", "week", ts, "metric", (F.col("value") / 1000).alias("value"))
 
 
+def weekly_merge(stored: DataFrame, late: DataFrame, frames: DataFrame, ts: str = "ts") -> DataFrame:
+    """(node, week, ts, metric, value): stored change points of weeks once late values (node, ts, metric, value) are put among them; late ones win over stored ones of the same frame.
+
+    ``frames`` (ts) are all frames of these weeks, late ones included. A stored value holds until the next point, so where a late value stands the frame after it gets a point
+    of its own with what was held there; then points that say what the one before says fall out. Weeks without late values pass unread by the sort.
+    """
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), F.col(ts)), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
+    keys = ["node", "metric", "week"]
+    new = late.select("node", "metric", week.alias("week"), ts, F.round(F.col("value") * 1000).cast("long").alias("_late"))
+    touched = new.select(*keys).distinct()
+    calm = stored.join(touched, keys, "left_anti").select("node", "week", ts, "metric", "value")
+    old = stored.join(touched, keys, "left_semi").select(*keys, ts, F.round(F.col("value") * 1000).cast("long").alias("_held"))
+    order = Window.partitionBy("week").orderBy(ts)  # the frames of a week are few
+    follow = frames.select(week.alias("week"), ts).distinct().select("week", ts, F.lead(ts).over(order).alias("_next")).where("_next IS NOT NULL")
+    after = new.join(follow, ["week", ts]).select(*keys, F.col("_next").alias(ts))
+    none = F.lit(None).cast("long")
+    points = old.select(*keys, ts, "_held", none.alias("_late")).unionByName(new.select(*keys, ts, none.alias("_held"), "_late")).unionByName(after.select(*keys, ts, none.alias("_held"), none.alias("_late")))
+    points = points.groupBy(*keys, ts).agg(F.max("_held").alias("_held"), F.max("_late").alias("_late"))
+    line = Window.partitionBy(*keys).orderBy(ts)
+    points = points.withColumn("_value", F.coalesce("_late", F.last("_held", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))).where("_value IS NOT NULL")
+    was = F.lag("_value").over(line)
+    made = points.withColumn("_was", was).where("_was IS NULL OR _was <> _value").select("node", "week", ts, "metric", (F.col("_value") / 1000).alias("value"))
+    return calm.unionByName(made)
+
+
 def dense(values: DataFrame, frames: DataFrame) -> DataFrame:
     """(node, week, graph_id, metric, value): each metric of a node in every frame of the weeks in which it has one; null where it is absent.
 

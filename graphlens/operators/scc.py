@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import MOST_ROUNDS, saved
+from .fixpoint import MOST_ROUNDS, numbered, saved
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,6 +70,25 @@ def condense(scc: DataFrame, node_metrics: DataFrame, edges: DataFrame) -> tuple
     return sizes.join(totals, "scc", "left"), outer
 
 
+def condensed_graph(scc: DataFrame, node_metrics: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A graph with a node for each component: nodes (node, size), metrics and edges (src, dst, kind, tag, type_key, edge_name, branch, entered).
+
+    A component of one node keeps its name; others are called SCC #1, SCC #2, ... in the order of their least nodes. Metrics are summed over the members, zeros left out,
+    and components of several nodes have their number as scc_node_count. Followed edges between components stay by kind, each once for each node that it enters.
+    """
+    sizes = saved(scc.groupBy("scc").agg(F.count(F.lit(1)).alias("size")))
+    several = numbered(sizes.where("size > 1"), ["scc"], "_place")
+    names = saved(sizes.where("size = 1").select("scc", F.col("scc").alias("name"), "size").unionByName(several.select("scc", F.concat(F.lit("SCC #"), (F.col("_place") + 1).cast("string")).alias("name"), "size")))
+    of = saved(scc.join(names, "scc").select("node", "name"))
+    sums = node_metrics.join(of, "node").groupBy(F.col("name").alias("node"), "metric").agg(F.sum("value").alias("value")).where("value <> 0")
+    counts = names.where("size > 1").select(F.col("name").alias("node"), F.lit("scc_node_count").alias("metric"), F.col("size").cast("double").alias("value"))
+    live = edges.where("NOT excluded") if "excluded" in edges.columns else edges
+    form = [c for c in ("kind", "tag", "type_key", "edge_name", "branch") if c in edges.columns]
+    ends = [of.select(F.col("node").alias(c), F.col("name").alias(f"_{c}")) for c in ("src", "dst")]
+    outer = live.join(ends[0], "src").join(ends[1], "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *form, F.col("dst").alias("entered")).distinct()
+    return names.select(F.col("name").alias("node"), "size"), sums.unionByName(counts), outer
+
+
 def source_entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): the least node of each component that no edge enters from another."""
     scc = components(nodes, edges)

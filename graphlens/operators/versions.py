@@ -10,14 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .fixpoint import numbered
+from .fixpoint import MOST_ROUNDS, numbered, saved
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """A full outer join in which null keys equal null keys; the keys stand once."""
+    other = b.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    match = None
+    for k in keys:
+        one = a[k].eqNullSafe(other[f"_key_{k}"])
+        match = one if match is None else match & one
+    return a.join(other, match, "full_outer").withColumns({k: F.coalesce(F.col(k), F.col(f"_key_{k}")) for k in keys}).drop(*[f"_key_{k}" for k in keys])
 
 
 def derive(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(op, keys, value): what turns one table into the other; keys may be null."""
     a = old.select(*keys, F.col(value).alias("_old"), F.lit(True).alias("_a"))
     b = new.select(*keys, F.col(value).alias("_new"), F.lit(True).alias("_b"))
     op = F.when(F.col("_a").isNull(), "add").when(F.col("_b").isNull(), "remove").when(~F.col("_old").eqNullSafe(F.col("_new")), "change")
-    return a.join(b, keys, "full_outer").select(op.alias("op"), *keys, F.col("_new").alias(value)).where("op IS NOT NULL")
+    return _met(a, b, keys).select(op.alias("op"), *keys, F.col("_new").alias(value)).where("op IS NOT NULL")
 
 
 def merge(deltas: DataFrame, keys: list[str], value: str, order: str = "graph_id") -> DataFrame:
@@ -31,7 +42,7 @@ def merge(deltas: DataFrame, keys: list[str], value: str, order: str = "graph_id
 def apply(base: DataFrame, deltas: DataFrame, keys: list[str], value: str, order: str = "graph_id") -> DataFrame:
     """The base with changes applied in order: the last change of a key counts."""
     last = deltas.groupBy(*keys).agg(F.max_by(F.struct(F.col("op").alias("op"), F.col(value).alias("v")), order).alias("_d"))
-    out = base.select(*keys, value, F.lit(True).alias("_b")).join(last, keys, "full_outer")
+    out = _met(base.select(*keys, value), last, keys)
     return out.where("_d IS NULL OR _d.op <> 'remove'").select(*keys, F.when(F.col("_d").isNull(), F.col(value)).otherwise(F.col("_d.v")).alias(value))
 
 
@@ -72,6 +83,25 @@ def type_counts(frames: DataFrame, now: str, hours: tuple[int, ...] = (24, 168,
     return grid.join(got, ["timeline_id", "frame_type"], "left").fillna(0)
 
 
+def needed(frames: DataFrame, kept: DataFrame) -> DataFrame:
+    """(timeline_id, graph_id) of the kept frames and of all that their versions are made of: along bases (which may lie in other timelines), else back through adjacent changes to a full frame.
+
+    Adjacent frames are settled at once, as all that lie from the nearest full frame on, so that there are as many rounds as the longest chain of bases has links.
+    """
+    of = saved(nearest_full(frames).select("timeline_id", "graph_id", "frame_type", "full_id", F.coalesce("base_timeline", "timeline_id").alias("_base_of"), "base_id"))
+    found = frontier = saved(kept.select("timeline_id", "graph_id").distinct())
+    for _ in range(MOST_ROUNDS):
+        rows = of.join(frontier, ["timeline_id", "graph_id"], "left_semi").where("frame_type = 'delta'")
+        along = rows.where("base_id IS NOT NULL").select(F.col("_base_of").alias("timeline_id"), F.col("base_id").alias("graph_id"))
+        spans = rows.where("base_id IS NULL").groupBy("timeline_id", "full_id").agg(F.max("graph_id").alias("_to"))
+        back = of.join(spans, ["timeline_id", "full_id"]).where(F.col("graph_id") <= F.col("_to")).select("timeline_id", "graph_id")
+        frontier = saved(along.unionByName(back).distinct().join(found, ["timeline_id", "graph_id"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = saved(found.unionByName(frontier))
+    raise RuntimeError("bases go round")
+
+
 def expired(rows: DataFrame, now: str) -> DataFrame:
     return rows.where(F.col("expires_at") <= F.lit(now).cast(rows.schema["expires_at"].dataType))
 

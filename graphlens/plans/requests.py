@@ -145,10 +145,11 @@ def graph_delta_apply(spark, sf_dir):
     return back.nodes.join(one, "node").select("node", F.element_at("props", "type").alias("type"), F.element_at("props", "brand").alias("brand"), "price")
 
 
-def _store(spark, sf_dir, fulls: tuple[int, ...] = ()) -> FrameStore:
-    """Days of events as frames of counts by user and type: every tenth (and ``fulls``) in full, others as changes, three empty."""
+def _store(spark, sf_dir, fulls: tuple[int, ...] = (), expires: str = "false") -> FrameStore:
+    """Days of events as frames of counts by user and type: every tenth (and ``fulls``) in full, others as changes, three empty; ``expires`` says which expire in 2025."""
     store = FrameStore(spark, new_folder(spark, "store"), ["user_id", "event_type"], "n", "user_id long, event_type string, n long")
     frames = _frames(spark, sf_dir)
+    frames = frames.withColumn("expires_at", F.when(F.expr(expires), F.lit("2025-01-01").cast("timestamp_ntz")))
     frames = saved(frames.withColumn("frame_type", F.when(F.col("graph_id").isin(list(fulls)), "full").otherwise(F.col("frame_type"))))
     live = frames.where("frame_type <> 'empty'").select("graph_id", "frame_type")
     counts = table(spark, sf_dir, "events").groupBy(day_number("ts").alias("graph_id"), F.col("user_id").cast("long").alias("user_id"), "event_type").agg(F.count(F.lit(1)).alias("n")).join(live, "graph_id")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphlens.operators import contraction, explore, paths
-from graphlens.operators.fixpoint import reach_set, saved
+from graphlens.operators import contraction, explore, history, paths, scc, twin
+from graphlens.operators.fixpoint import new_folder, numbered, reach_set, saved
 from graphlens.operators.rules import apply_rules
+from graphlens.sources import names
 from graphlens.sources.tables import supply, table
 
 from .config import MetricView
-from .queries import CLOSURE_SQL, CONFIG, GRAPH_SQL, REACHED_SQL, _named, _prepared, query
-from .requests import BOTH_SQL, _both
+from .queries import CLOSURE_SQL, CONFIG, FRAMES_SQL, GRAPH_SQL, REACHED_SQL, _frames, _named, _prepared, query
+from .requests import BOTH_SQL, COUNTS_SQL, _both, _store
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, {REACHED_SQL}, f AS (SELECT src, dst FROM judged WHERE NOT excluded AND src IN (SELECT node FROM reached)),
@@ -102,3 +103,112 @@ def explore_delta_positions(spark, sf_dir):
     left, right = _both(spark, sf_dir)
     page = explore.explore_delta(left, right, "all", [MetricView("", "parents", None, "delta")], sort="parents-count@delta", limit=100).rows
     return page.select("position", "node", F.col("`parents-count@delta`").alias("delta"))
+
+
+def _indexed(spark, sf_dir) -> str:
+    folder = new_folder(spark, "names")
+    names.write_index(supply(spark, sf_dir).nodes, folder)
+    return folder
+
+
+@query(f"WITH {GRAPH_SQL} SELECT node FROM nodes WHERE regexp_matches(node, '1.*2.*3') ORDER BY strlen(node), node LIMIT 20")
+def search_index(spark, sf_dir):
+    """Names with 1, 2 and 3 in this order, from the index of pairs."""
+    return names.search(spark, _indexed(spark, sf_dir), "123", 20)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT count(*) AS names_read FROM nodes WHERE regexp_matches(node, 'o.*7') AND regexp_matches(node, '7.*7') AND regexp_matches(node, '7.*0')")
+def search_index_read(spark, sf_dir):
+    """How many names a search for o770 reads."""
+    return names.candidates(spark, _indexed(spark, sf_dir), "o770").agg(F.count(F.lit(1)).alias("names_read"))
+
+
+#: Users of a quarter of a day as nodes, an edge to the next one seen in it, tagged by what the first one did.
+DAYS_SQL = """
+q AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) || '.' || CAST(hour(ts) // 6 AS VARCHAR) AS quarter FROM events),
+x AS (SELECT 'u' || user_id || '@' || quarter AS src, event_type AS tag, lead('u' || user_id || '@' || quarter) OVER (PARTITION BY quarter ORDER BY ts, event_id) AS dst FROM q),
+xe AS (SELECT DISTINCT src, dst, tag FROM x WHERE dst IS NOT NULL AND src <> dst), xn AS (SELECT src AS node, count(*) AS n FROM x GROUP BY src),
+pr AS (SELECT node AS a, node AS b FROM xn UNION SELECT pr.a, xe.dst FROM pr JOIN xe ON xe.src = pr.b),
+co AS (SELECT p.a AS node, min(p.b) AS scc, count(*) AS size FROM pr p JOIN pr q ON p.a = q.b AND p.b = q.a GROUP BY p.a),
+nm AS (SELECT scc, CASE WHEN size = 1 THEN scc ELSE 'SCC #' || sum(CASE WHEN size > 1 THEN 1 ELSE 0 END) OVER (ORDER BY scc) END AS name, size FROM (SELECT DISTINCT scc, size FROM co))
+"""
+
+
+def _days(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    quarter = F.concat(F.to_date("ts").cast("string"), F.lit("."), F.floor(F.hour("ts") / 6).cast("string"))
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@"), quarter)
+    placed = numbered(events.select(quarter.alias("quarter"), "ts", "event_id", name.alias("src"), F.col("event_type").alias("tag")), ["quarter", "ts", "event_id"], "place")
+    after = placed.select("quarter", (F.col("place") - 1).alias("place"), F.col("src").alias("dst"))
+    edges = saved(placed.join(after, ["quarter", "place"]).where("src <> dst").select("src", "dst", F.lit("tagged").alias("kind"), "tag").distinct())
+    seen = events.groupBy(name.alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.lit("events"))
+    return scc.condensed_graph(scc.components(seen.select("node"), edges), seen, edges)
+
+
+@query(f"WITH RECURSIVE {DAYS_SQL} SELECT DISTINCT a.name AS src, b.name AS dst, 'tagged' AS kind, tag, xe.dst AS entered FROM xe JOIN co p ON p.node = xe.src JOIN nm a ON a.scc = p.scc JOIN co q ON q.node = xe.dst JOIN nm b ON b.scc = q.scc WHERE a.name <> b.name")
+def condensed_edges(spark, sf_dir):
+    """The edges between the components of users of a quarter of a day, by tag and by the user whom they enter."""
+    return _days(spark, sf_dir)[2]
+
+
+@query(f"""WITH RECURSIVE {DAYS_SQL} SELECT name AS node, 'events' AS metric, CAST(sum(n) AS DOUBLE) AS value FROM co JOIN nm USING (scc) JOIN xn ON xn.node = co.node GROUP BY name
+UNION ALL SELECT name, 'scc_node_count', CAST(size AS DOUBLE) FROM nm WHERE size > 1""")
+def condensed_metrics(spark, sf_dir):
+    """The events of each component, and the users of those with several."""
+    return _days(spark, sf_dir)[1].select("node", "metric", "value")
+
+
+@query(f"""WITH RECURSIVE {BOTH_SQL}, g AS (SELECT min(l.node) AS node FROM l JOIN r USING (node) WHERE l.node LIKE 's%'),
+bl AS (SELECT 'r0' AS node, 0 AS depth UNION SELECT e.dst, bl.depth + 1 FROM bl JOIN live e ON e.src = bl.node WHERE bl.depth < 8), br AS (SELECT 'r0' AS node, 0 AS depth UNION SELECT e.dst, br.depth + 1 FROM br JOIN later e ON e.src = br.node WHERE br.depth < 8),
+n AS (SELECT (SELECT min(depth) + 1 FROM bl JOIN g USING (node)) AS a, (SELECT min(depth) + 1 FROM br JOIN g USING (node)) AS b)
+SELECT CASE WHEN a <= b THEN 'left' ELSE 'right' END AS side, CAST(least(a, b) AS BIGINT) AS nodes FROM n""")
+def twin_path(spark, sf_dir):
+    """The side and length of the shorter path from a region to the least supplier that both configurations reach."""
+    left, right = _both(spark, sf_dir)
+    both = left.state.where("reachable AND node LIKE 's%'").select("node").join(right.state.where("reachable").select("node"), "node", "left_semi")
+    goal = saved(both.agg(F.min("node").alias("node")))
+    ordered = lambda p: p.steps.withColumn("edge_ord", F.xxhash64("dst"))
+    side, path = twin.twin_path(ordered(left), ordered(right), _named(spark, "r0"), goal)
+    return path.agg(F.count(F.lit(1)).alias("nodes")).select(F.lit(side).alias("side"), "nodes")
+
+
+@query("""WITH f AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), u AS (SELECT DISTINCT 'u' || user_id AS node FROM events), c AS (SELECT 'u' || user_id AS node, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
+d AS (SELECT u.node, f.day, CAST(isoyear(f.day) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(f.day) AS VARCHAR), 2, '0') AS week, coalesce(c.n, 0) AS v FROM u CROSS JOIN f LEFT JOIN c ON c.node = u.node AND c.day = f.day),
+l AS (SELECT *, lag(v) OVER (PARTITION BY node, week ORDER BY day) AS was FROM d)
+SELECT node, week, CAST(day AS VARCHAR) AS day, CAST(v AS DOUBLE) AS value FROM l WHERE was IS NULL OR was <> v""")
+def weekly_merge(spark, sf_dir):
+    """The weeks of all users from two halves: even days are stored, then odd days come late, the later half of them first."""
+    events = table(spark, sf_dir, "events")
+    frames = saved(events.select(F.to_date("ts").alias("ts")).distinct())
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node")
+    counts = events.groupBy(user, F.to_date("ts").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    grid = events.select(user).distinct().withColumn("ts", F.explode(F.lit([r[0] for r in frames.collect()])))  # the days of a timeline are few
+    values = saved(grid.join(counts, ["node", "ts"], "left").fillna(0.0, ["value"]).withColumn("metric", F.lit("events")))
+    odd = F.dayofmonth("ts") % 2 == 1
+    stored = history.weekly(values.where(~odd))
+    known = frames.where(~odd)
+    for late in (F.dayofmonth("ts") > 15, F.dayofmonth("ts") <= 15):
+        known = known.unionByName(frames.where(odd & late))
+        stored = saved(history.weekly_merge(stored, values.where(odd & late), known))
+    return stored.select("node", "week", F.col("ts").cast("string").alias("day"), "value")
+
+
+@query(f"""WITH {FRAMES_SQL}, c AS (SELECT *, sum(CASE WHEN frame_type = 'empty' THEN 1 ELSE 0 END) OVER (ORDER BY graph_id) AS cut, graph_id <= 15 AND graph_id % 4 <> 0 AS old FROM typed),
+f AS (SELECT *, CASE WHEN frame_type <> 'empty' THEN max(CASE WHEN frame_type = 'full' THEN graph_id END) OVER (PARTITION BY cut ORDER BY graph_id) END AS full_id FROM c)
+SELECT graph_id, frame_type FROM f WHERE NOT old OR EXISTS (SELECT 1 FROM f t WHERE NOT t.old AND t.full_id = f.full_id AND t.graph_id >= f.graph_id)""")
+def after_cleanup(spark, sf_dir):
+    """The frames that stay once most of the first half month has expired: the others, and what they are made of."""
+    store = _store(spark, sf_dir, expires="graph_id <= 15 AND graph_id % 4 <> 0")
+    store.expire("2030-01-01")
+    store.clean(0)
+    return store.frames.select("graph_id", "frame_type")
+
+
+@query(f"{COUNTS_SQL} SELECT user_id, event_type, CASE WHEN user_id % 2 = 0 THEN 2 * n ELSE n END AS n FROM n WHERE graph_id = 16")
+def fetch_base_chain(spark, sf_dir):
+    """A version of another timeline whose base is a frame of this one: even users count twice."""
+    store = _store(spark, sf_dir)
+    changes = store.fetch("events", 16).where("user_id % 2 = 0").select(F.lit("branch").alias("timeline_id"), F.lit(1).cast("long").alias("graph_id"), F.lit("change").alias("op"), *store.keys, (2 * F.col("n")).alias("n"))
+    frame = _frames(spark, sf_dir).where("graph_id = 16").select(F.lit("branch").alias("timeline_id"), F.lit(1).cast("long").alias("graph_id"), "ts", F.lit("delta").alias("frame_type"), F.lit("events").alias("base_timeline"), F.lit(16).cast("long").alias("base_id"))
+    store.add(frame, changes)
+    return store.fetch("branch", 1)

@@ -1,12 +1,19 @@
 """Timelines of frames as tables in a folder: full versions of a keyed table, changes between them, gaps and errors.
 
-Frames stand in ``frames`` (timeline_id, graph_id, ts, frame_type, base_timeline, base_id, expires_at) and their rows in ``data`` (timeline_id,
-graph_id, op, key..., value), both partitioned by timeline. Plain Spark has no transactions: data is written before its frame, so
-what a failed write leaves is not seen, but two writers of one frame are not kept apart.
+Frames (timeline_id, graph_id, ts, frame_type, base_timeline, base_id, expires_at, errors) and their rows (timeline_id, graph_id, op, key..., value)
+stand in Parquet folders, one for each write and timeline. What is there is said by commits: small numbered files that name the folders of each
+timeline. A commit is made by one create that fails if its number is taken, and readers follow the greatest number, so that a write is seen whole or not at all: a
+writer that dies leaves folders that nobody names, and of two writers one finds its number taken and starts anew from what the other left (and fails if
+its frame is there by then). Folders that are no longer named stay for readers until ``clean``.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +21,10 @@ from graphlens.operators import versions
 from graphlens.operators.fixpoint import saved
 
 FRAME = "timeline_id string, graph_id long, ts timestamp_ntz, frame_type string, base_timeline string, base_id long, expires_at timestamp_ntz, errors array<string>"
+#: How often a write starts anew when others commit before it, and the seconds after which a commit that was begun and not ended is given up.
+TRIES, PATIENCE = 20, 5.0
+
+Names = dict[str, dict[str, list[str]]]
 
 
 class FrameStore:
@@ -21,11 +32,65 @@ class FrameStore:
         """``row`` is the schema of keys and value."""
         self.spark, self.folder, self.keys, self.value = spark, folder.rstrip("/"), keys, value
         self.data_schema = f"timeline_id string, graph_id long, op string, {row}"
-        for name, schema in (("frames", FRAME), ("data", self.data_schema)):
-            spark.createDataFrame([], schema).write.partitionBy("timeline_id").mode("append").parquet(f"{self.folder}/{name}")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(f"{self.folder}/commits"))
+
+    def _text(self, path) -> str:
+        stream = self._fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def latest_commit(self) -> tuple[int, Names]:
+        """The greatest number and the folders that it names. One that was begun and is not ended is waited for, then taken away."""
+        start = time.monotonic()
+        while True:
+            numbers = sorted(int(f.getPath().getName()) for f in self._fs.listStatus(self._path(f"{self.folder}/commits")) if f.getPath().getName().isdigit())
+            if not numbers:
+                return 0, {"frames": {}, "data": {}}
+            path = self._path(f"{self.folder}/commits/{numbers[-1]:012d}")
+            try:
+                return numbers[-1], json.loads(self._text(path))["folders"]
+            except ValueError:
+                if time.monotonic() - start > PATIENCE:
+                    self._fs.delete(path, False)
+                time.sleep(0.05)
+
+    def _publish(self, number: int, folders: Names) -> bool:
+        """Whether the commit of that number is this one."""
+        path, text = self._path(f"{self.folder}/commits/{number:012d}"), json.dumps({"by": uuid.uuid4().hex, "folders": folders})
+        try:
+            out = self._fs.create(path, False)
+        except Exception as e:
+            if "AlreadyExists" not in str(e):
+                raise
+            return False
+        out.write(text.encode())
+        out.close()
+        return self._fs.exists(path) and self._text(path) == text
+
+    def _change(self, make: Callable[[Names], Names | None]) -> None:
+        """Commit what ``make`` makes of the folders that are named now; it is called again if another commit comes first. None: nothing is to be done."""
+        for _ in range(TRIES):
+            number, now = self.latest_commit()
+            after = make({name: {t: list(f) for t, f in of.items()} for name, of in now.items()})
+            if after is None or self._publish(number + 1, after):
+                return
+        raise RuntimeError("other writers kept coming first")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+    def _write(self, name: str, rows: DataFrame) -> dict[str, list[str]]:
+        """Write rows into a folder of their own for each timeline; they are seen once a commit names them."""
+        at = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        rows.withColumn("_of", F.hex(F.col("timeline_id").cast("binary"))).write.partitionBy("_of").parquet(at)
+        found = [f.getPath().getName() for f in self._fs.listStatus(self._path(at)) if f.isDirectory()]
+        return {bytes.fromhex(d.removeprefix("_of=")).decode(): [f"{at}/{d}"] for d in found}
+
+    def _read(self, name: str, schema: str, folders: Names | None = None, timeline: str | None = None) -> DataFrame:
+        of = (self.latest_commit()[1] if folders is None else folders)[name]
+        paths = [p for t, each in of.items() if timeline is None or t == timeline for p in each]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     @property
     def frames(self) -> DataFrame:
@@ -35,24 +100,32 @@ class FrameStore:
     def data(self) -> DataFrame:
         return self._read("data", self.data_schema)
 
-    def _put(self, name: str, rows: DataFrame) -> None:
-        rows.write.partitionBy("timeline_id").mode("append").parquet(f"{self.folder}/{name}")
+    def _both(self, folders: Names, timeline: str) -> tuple[DataFrame, DataFrame]:
+        return self._read("frames", FRAME, folders, timeline), self._read("data", self.data_schema, folders, timeline)
 
-    def check(self, new: DataFrame) -> None:
+    def check(self, new: DataFrame, folders: Names | None = None) -> None:
         """Raise unless ids rise and times do not fall."""
-        bad = versions.append_violations(self.frames.select("timeline_id", "graph_id", "ts"), new.select("timeline_id", "graph_id", "ts")).limit(1).collect()
+        bad = versions.append_violations(self._read("frames", FRAME, folders).select("timeline_id", "graph_id", "ts"), new.select("timeline_id", "graph_id", "ts")).limit(1).collect()
         if bad:
             raise ValueError(f"frame {bad[0]['graph_id']} of {bad[0]['timeline_id']} does not come after what is there")
 
     def add(self, frames: DataFrame, data: DataFrame | None = None, checked: bool = True) -> None:
         """Add frames (columns of FRAME; missing ones are null) with their data (timeline_id, graph_id, op, keys, value): op is ``full`` for rows of a full frame, else add, remove or change."""
         kinds = self.spark.createDataFrame([], FRAME).schema
-        frames = frames.select(*[(F.col(f.name) if f.name in frames.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+        frames = saved(frames.select(*[(F.col(f.name) if f.name in frames.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]))
         if checked:
             self.check(frames)
-        if data is not None:
-            self._put("data", data.select("timeline_id", "graph_id", "op", *self.keys, self.value))
-        self._put("frames", frames)
+        new = {"data": self._write("data", data.select("timeline_id", "graph_id", "op", *self.keys, self.value)) if data is not None else {}, "frames": self._write("frames", frames)}
+
+        def make(folders: Names) -> Names:
+            if checked:
+                self.check(frames, folders)
+            for name, of in new.items():
+                for timeline, paths in of.items():
+                    folders[name].setdefault(timeline, []).extend(paths)
+            return folders
+
+        self._change(make)
 
     def store(self, timeline: str, graph_id: int, ts: str, rows: DataFrame, base_id: int | None = None) -> None:
         """Add a version: in full, or as its changes against ``base_id`` of the same timeline."""
@@ -102,7 +175,7 @@ class FrameStore:
         """The rows (keys, value) of a version: its full frame with the changes after it, in one pass over the data of the chain."""
         chain = self.chain(timeline, graph_id)
         steps = self.spark.createDataFrame([(t, g, k) for k, (t, g) in enumerate(chain)], "timeline_id string, graph_id long, _turn int")
-        rows = self.data.join(F.broadcast(steps), ["timeline_id", "graph_id"])
+        rows = self.data.join(F.broadcast(steps), ["timeline_id", "graph_id"])  # as many names as the chain has
         base = rows.where("_turn = 0").select(*self.keys, self.value)
         return versions.apply(base, rows.where("_turn > 0"), self.keys, self.value, "_turn")
 
@@ -122,14 +195,23 @@ class FrameStore:
 
         A key's changes are laid out over the frames until the next one, so nothing is replayed on the driver.
         """
-        frames = versions.nearest_full(self.frames.where(F.col("timeline_id") == timeline).select("timeline_id", "graph_id", "ts", "frame_type")).where("full_id IS NOT NULL")
+        return self.load_versions(timeline, self.spark.range(first, last + 1).select(F.col("id").alias("graph_id")))
+
+    def load_versions(self, timeline: str, ids: DataFrame, folders: Names | None = None) -> DataFrame:
+        """(graph_id, keys, value) of some frames (graph_id)."""
+        folders = self.latest_commit()[1] if folders is None else folders
+        mine, data = self._both(folders, timeline)
+        frames = versions.nearest_full(mine.select("timeline_id", "graph_id", "ts", "frame_type")).where("full_id IS NOT NULL")
         frames = saved(frames.select("graph_id", "full_id"))
-        rows = self.data.where(F.col("timeline_id") == timeline).join(F.broadcast(frames), "graph_id")
+        wanted = saved(frames.join(ids, "graph_id", "left_semi"))
+        # of chains that hold no wanted frame nothing is read
+        chains = wanted.groupBy("full_id").agg(F.max("graph_id").alias("_last"))
+        rows = data.join(frames.join(chains, "full_id").where(F.col("graph_id") <= F.col("_last")).drop("_last"), "graph_id")
         w = versions.Window.partitionBy("full_id", *self.keys).orderBy("graph_id")
         spans = rows.withColumn("_until", F.lead("graph_id").over(w)).where("op <> 'remove'")
-        wanted = frames.where(F.col("graph_id").between(first, last)).select(F.col("graph_id").alias("_at"), F.col("full_id").alias("_full"))
-        hit = (F.col("full_id") == F.col("_full")) & (F.col("_at") >= F.col("graph_id")) & (F.col("_until").isNull() | (F.col("_at") < F.col("_until")))
-        return spans.join(F.broadcast(wanted), hit).select(F.col("_at").alias("graph_id"), *self.keys, self.value)
+        at = wanted.select(F.col("graph_id").alias("_at"), "full_id")
+        hit = (F.col("_at") >= F.col("graph_id")) & (F.col("_until").isNull() | (F.col("_at") < F.col("_until")))
+        return spans.join(at, "full_id").where(hit).select(F.col("_at").alias("graph_id"), *self.keys, self.value)
 
     def register_empty(self, frames: DataFrame, overlap: bool = False) -> int:
         """Add empty frames (timeline_id, graph_id, ts) that are not there yet; known ones must be the same, and with ``overlap`` there must be some. Returns how many were added."""
@@ -152,7 +234,7 @@ class FrameStore:
         first = ids.agg(F.min("graph_id")).first()[0]
         order = versions.Window.orderBy("graph_id")  # one row for each frame
         turns = saved(ids.select("graph_id", F.lag("graph_id").over(order).alias("_before"), F.lead("graph_id").over(order).alias("_after")))
-        rows = data.join(F.broadcast(turns), "graph_id")
+        rows = data.join(turns, "graph_id")
         old = rows.where("_after IS NOT NULL").select(F.col("_after").alias("graph_id"), *self.keys, self.value)
         new = rows.where("_before IS NOT NULL").select("graph_id", *self.keys, self.value)
         changes = versions.derive(old, new, ["graph_id", *self.keys], self.value)
@@ -160,42 +242,108 @@ class FrameStore:
         self._replace(timeline, there.drop("frame_type", "errors").withColumn("frame_type", F.when(F.col("graph_id") == first, "full").otherwise("delta")).withColumn("errors", F.lit(None).cast("array<string>")), full.unionByName(changes))
 
     def _replace(self, timeline: str, frames: DataFrame, data: DataFrame) -> None:
-        rest = saved(self.frames.where(F.col("timeline_id") == timeline).join(frames.select("graph_id"), "graph_id", "left_anti"))
-        self._put("data", data.select(F.lit(timeline).alias("timeline_id"), "graph_id", "op", *self.keys, self.value))
-        self._overwrite("frames", timeline, rest.unionByName(frames.withColumn("timeline_id", F.lit(timeline)).select(*rest.columns)))
+        """Put frames that are empty or errors in place of themselves, with their data."""
+        new = saved(frames.withColumn("timeline_id", F.lit(timeline)))
+        rows = self._write("data", data.select(F.lit(timeline).alias("timeline_id"), "graph_id", "op", *self.keys, self.value))
+
+        def make(folders: Names) -> Names:
+            mine, _ = self._both(folders, timeline)
+            if new.join(mine.where("frame_type IN ('empty', 'error')"), "graph_id", "left_anti").limit(1).count():
+                raise ValueError("a frame of the range is no longer empty")
+            rest = mine.join(new.select("graph_id"), "graph_id", "left_anti").select(*mine.columns)
+            folders["frames"][timeline] = self._write("frames", rest.unionByName(new.select(*mine.columns)))[timeline]
+            folders["data"].setdefault(timeline, []).extend(rows.get(timeline, []))
+            return folders
 
-    def _overwrite(self, name: str, timeline: str, rows: DataFrame) -> None:
-        """Put rows in place of a timeline's partition."""
-        held = saved(rows)
-        held.drop("timeline_id").write.mode("overwrite").parquet(f"{self.folder}/{name}/timeline_id={timeline}")
+        self._change(make)
 
     def delete(self, timeline: str, graph_id: int | None = None) -> None:
-        """Delete a frame, or all of a timeline: its frames before its data, so that a reader never sees a frame without data."""
-        gone = F.lit(True) if graph_id is None else F.col("graph_id") == graph_id
-        for name, table in (("frames", self.frames), ("data", self.data)):
-            self._overwrite(name, timeline, table.where((F.col("timeline_id") == timeline) & ~gone))
+        """Delete a frame, or all of a timeline, with its data. A frame that another version is made of is an error."""
+
+        def make(folders: Names) -> Names:
+            if graph_id is None:
+                for of in folders.values():
+                    of.pop(timeline, None)
+                return folders
+            every = self._read("frames", FRAME, folders)
+            here = (F.col("timeline_id") == timeline) & (F.col("graph_id") == graph_id)
+            if not versions.needed(every, every.where(~here)).where(here).isEmpty():
+                raise ValueError(f"another version is made of frame {graph_id} of {timeline}")
+            return self._without(folders, timeline, every.where(here).select("graph_id"))
+
+        self._change(make)
+
+    def _without(self, folders: Names, timeline: str, gone: DataFrame) -> Names:
+        """The folders once frames (graph_id) of a timeline and their data are left out."""
+        for name, table in zip(("frames", "data"), self._both(folders, timeline), strict=True):
+            rest = self._write(name, table.join(gone.select("graph_id"), "graph_id", "left_anti").select(*table.columns))
+            folders[name].pop(timeline, None)
+            folders[name] |= rest
+        return folders
 
     def compact(self, timeline: str) -> int:
-        """Rewrite full frames that follow another version as changes against it; returns how many."""
-        mine = self.frames.where(F.col("timeline_id") == timeline)
-        turns = versions.compaction(mine.select("timeline_id", "graph_id", "frame_type")).where("frame_type <> becomes")
-        held = versions.nearest_full(mine.select("timeline_id", "graph_id", "ts", "frame_type"))  # what stands before must be a version
-        held = held.select("graph_id", F.lag("full_id").over(versions.Window.orderBy("graph_id")).alias("_full")).where("_full IS NOT NULL")
-        todo = saved(turns.join(held, "graph_id", "left_semi").select("graph_id"))
-        ids = [r[0] for r in todo.orderBy("graph_id").collect()]  # names of frames only
-        if not ids:
-            return 0
-        last = mine.agg(F.max("graph_id")).first()[0]
-        all_versions = saved(self.load_range(timeline, 0, last))
-        before = mine.select("graph_id", F.lag("graph_id").over(versions.Window.orderBy("graph_id")).alias("_before")).join(todo, "graph_id", "left_semi")
-        old = all_versions.join(F.broadcast(before.select(F.col("_before").alias("graph_id"), F.col("graph_id").alias("_to"))), "graph_id").select(F.col("_to").alias("graph_id"), *self.keys, self.value)
-        new = all_versions.join(todo, "graph_id", "left_semi")
-        changes = saved(versions.derive(old, new, ["graph_id", *self.keys], self.value).withColumn("timeline_id", F.lit(timeline)))
-        rest = self.data.where(F.col("timeline_id") == timeline).join(todo, "graph_id", "left_anti")
-        self._overwrite("data", timeline, rest.unionByName(changes.select(*rest.columns)))
-        kind = F.when(F.col("graph_id").isin(ids), "delta").otherwise(F.col("frame_type"))
-        self._overwrite("frames", timeline, mine.withColumn("frame_type", kind))
-        return len(ids)
+        """Rewrite full frames that follow another version as changes against it; returns how many. Only these versions and those just before them are laid out."""
+        done = 0
+
+        def make(folders: Names) -> Names | None:
+            nonlocal done
+            mine, data = self._both(folders, timeline)
+            turns = versions.compaction(mine.select("timeline_id", "graph_id", "frame_type")).where("frame_type <> becomes")
+            held = versions.nearest_full(mine.select("timeline_id", "graph_id", "ts", "frame_type"))  # what stands before must be a version
+            order = versions.Window.orderBy("graph_id")  # a row for each frame of the timeline
+            held = held.select("graph_id", F.lag("full_id").over(order).alias("_full"), F.lag("graph_id").over(order).alias("_before")).where("_full IS NOT NULL")
+            todo = saved(turns.join(held, "graph_id").select("graph_id", "_before"))
+            done = todo.count()
+            if not done:
+                return None
+            ids = todo.select("graph_id").unionByName(todo.select(F.col("_before").alias("graph_id"))).distinct()
+            laid = saved(self.load_versions(timeline, ids, folders))
+            old = laid.join(todo.select(F.col("_before").alias("graph_id"), F.col("graph_id").alias("_to")), "graph_id").select(F.col("_to").alias("graph_id"), *self.keys, self.value)
+            new = laid.join(todo.select("graph_id"), "graph_id", "left_semi")
+            changes = versions.derive(old, new, ["graph_id", *self.keys], self.value).withColumn("timeline_id", F.lit(timeline))
+            rest = data.join(todo.select("graph_id"), "graph_id", "left_anti").select(*data.columns)
+            frames = mine.join(todo.select("graph_id", F.lit("delta").alias("_type")), "graph_id", "left").withColumn("frame_type", F.coalesce("_type", "frame_type")).select(*mine.columns)
+            folders["data"][timeline] = self._write("data", rest.unionByName(changes.select(*rest.columns))).get(timeline, [])
+            folders["frames"][timeline] = self._write("frames", frames)[timeline]
+            return folders
+
+        self._change(make)
+        return done
+
+    def expire(self, now: str) -> int:
+        """Remove frames that have expired by then, but for those that a version which stays is made of. Returns how many."""
+        gone = 0
+
+        def make(folders: Names) -> Names | None:
+            nonlocal gone
+            every = saved(self._read("frames", FRAME, folders))
+            old = versions.expired(every, now)
+            kept = every.join(old.select("timeline_id", "graph_id"), ["timeline_id", "graph_id"], "left_anti")
+            drop = saved(old.select("timeline_id", "graph_id").join(versions.needed(every, kept), ["timeline_id", "graph_id"], "left_anti"))
+            gone = drop.count()
+            for (timeline,) in drop.select("timeline_id").distinct().toLocalIterator():
+                folders = self._without(folders, timeline, drop.where(F.col("timeline_id") == timeline))
+            return folders if gone else None
+
+        self._change(make)
+        return gone
+
+    def clean(self, older_than: float = 86_400.0) -> int:
+        """Delete folders and commits that the last commit does not name and that are older than so many seconds (longer than any reader or writer runs). Returns how many folders went."""
+        number, folders = self.latest_commit()
+        named = {p for of in folders.values() for paths in of.values() for p in paths}
+        before, count = (time.time() - older_than) * 1000, 0
+        for name in ("frames", "data"):
+            top = self._path(f"{self.folder}/{name}")
+            for write in self._fs.listStatus(top) if self._fs.exists(top) else []:
+                for f in self._fs.listStatus(write.getPath()):
+                    own = f"{self.folder}/{name}/{write.getPath().getName()}/{f.getPath().getName()}"
+                    if f.isDirectory() and own not in named and write.getModificationTime() <= before:
+                        count += bool(self._fs.delete(f.getPath(), True))
+        for f in self._fs.listStatus(self._path(f"{self.folder}/commits")):
+            if f.getPath().getName().isdigit() and int(f.getPath().getName()) < number and f.getModificationTime() <= before:
+                self._fs.delete(f.getPath(), False)
+        return count
 
     def timelines(self) -> DataFrame:
         """(timeline_id, frames, first_id, last_id, last_ts)."""
