@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.functions.formats import QUERY_PREFIX, handle
+from graphlens.operators.fixpoint import saved
 from graphlens.operators.traverse import Prepared, prepare, restrict
 from graphlens.plans.config import TraversalConfig
 
@@ -38,12 +39,16 @@ class ConfigStore:
     @property
     def rows(self) -> DataFrame:
         """Writers at the same time may both add a text; it is read once."""
-        return self.spark.read.schema("key string, text string").parquet(self.folder).dropDuplicates(["key"])
+        return self.spark.read.schema("key string, text string").parquet(self.folder).distinct()
 
     def put(self, texts: DataFrame, prefix: str = TRAVERSAL_PREFIX) -> DataFrame:
-        """Save texts (text), each once; return (key, text) of each."""
-        keyed = texts.select(content_key(prefix, F.col("text")).alias("key"), "text").where("text IS NOT NULL").dropDuplicates(["key"])
-        keyed.join(self.rows.select("key"), "key", "left_anti").write.mode("append").parquet(self.folder)
+        """Save texts (text), each once; return (key, text) of each. Texts that share a key and differ are an error: the hash names them, it does not decide that they are equal."""
+        keyed = saved(texts.select(content_key(prefix, F.col("text")).alias("key"), "text").where("text IS NOT NULL").distinct())
+        there = self.rows.join(keyed.select("key").distinct(), "key", "left_semi")
+        clash = keyed.unionByName(there).groupBy("key").agg((F.min("text") != F.max("text")).alias("differ")).where("differ").first()
+        if clash:
+            raise ValueError(f"different texts share the key {clash['key']}")
+        keyed.join(there.select("key"), "key", "left_anti").write.mode("append").parquet(self.folder)
         return keyed
 
     def put_one(self, config: dict, prefix: str = TRAVERSAL_PREFIX) -> str:

@@ -52,11 +52,11 @@ def fold(batch: DataFrame, store: str, threshold: float) -> None:
     centre = places.where("_new OR _newest").select(F.explode(F.array(F.col("_place") - 1, "_place", F.col("_place") + 1)).alias("_place")).distinct()
     touched = saved(places.join(centre, "_place", "left_semi").select("graph_id", "_place"))
     around = touched.select(F.explode(F.array(F.col("_place") - 1, "_place", F.col("_place") + 1)).alias("_place")).distinct()
-    around = places.join(around, "_place", "left_semi").select("graph_id")
+    around = saved(places.join(around, "_place", "left_semi").select("graph_id"))  # its size is known, so that the planner may broadcast it
 
     values = _stored(spark, f"{store}/values", "node string, metric string, value double").where("node IS NOT NULL")
-    values = values.join(F.broadcast(around), "graph_id", "left_semi")  # a few frames: only their partitions are read
-    kept = judge(frames, values, threshold).join(F.broadcast(touched.select("graph_id")), "graph_id", "left_semi").select("graph_id", "node", "reasons", "metrics")
+    values = values.join(around, "graph_id", "left_semi")
+    kept = judge(frames, values, threshold).join(touched.select("graph_id"), "graph_id", "left_semi").select("graph_id", "node", "reasons", "metrics")
     mark = touched.select("graph_id", F.lit(None).cast("string").alias("node"), F.lit(0).alias("reasons"), F.lit(None).cast("map<string,double>").alias("metrics"))
     _replace(kept.unionByName(mark), f"{store}/kept")
 

@@ -2,8 +2,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphlens.operators.json_diff import changes_of, json_changes
+from graphlens.sources import configs
 from graphlens.sources.arrays import from_documents, read_any
 from graphlens.sources.configs import ConfigStore, GraphQuery, resolve, settled
 
@@ -101,6 +103,16 @@ def test_configs(spark, tmp_path):
         settled(store, GraphQuery(store.put_query(other)))
 
 
+def test_texts_that_share_a_key(spark, tmp_path, monkeypatch):
+    store = ConfigStore(spark, f"file://{tmp_path}/configs")
+    store.put_one({"a": 1})
+    monkeypatch.setattr(configs, "content_key", lambda prefix, text: F.concat(F.lit(prefix), F.lit("0" * 16)))
+    store.put_one({"b": 1})
+    assert store.put_one({"b": 1}) == "tvc_" + "0" * 16
+    with pytest.raises(ValueError, match="share the key"):
+        store.put_one({"b": 2})
+
+
 def test_resolved_graph(spark, tmp_path):
     g, _ = from_documents(spark.createDataFrame([(json.dumps({"nodes": {"a": {"edges_directed": ["b"]}, "b": {"edges_directed": ["c"]}, "z": {"edges_directed": ["a"]}}}),)], "value string"))
     store, asked = ConfigStore(spark, f"file://{tmp_path}/configs"), []
