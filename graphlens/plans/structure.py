@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphlens.operators import contraction, explore, history, paths, scc, twin
 from graphlens.operators.fixpoint import new_folder, numbered, reach_set, saved
 from graphlens.operators.rules import apply_rules
-from graphlens.sources import names
+from graphlens.sources import export, names
 from graphlens.sources.tables import supply, table
 
 from .config import MetricView
@@ -212,3 +212,19 @@ def fetch_base_chain(spark, sf_dir):
     frame = _frames(spark, sf_dir).where("graph_id = 16").select(F.lit("branch").alias("timeline_id"), F.lit(1).cast("long").alias("graph_id"), "ts", F.lit("delta").alias("frame_type"), F.lit("events").alias("base_timeline"), F.lit(16).cast("long").alias("base_id"))
     store.add(frame, changes)
     return store.fetch("branch", 1)
+
+
+@query(f"WITH RECURSIVE {GRAPH_SQL}, {REACHED_SQL} SELECT (SELECT count(*) FROM reached) AS nodes, (SELECT count(*) FROM judged WHERE NOT excluded AND src IN (SELECT node FROM reached)) AS edges")
+def exported_counts(spark, sf_dir):
+    """How many nodes and edges an export of what is reachable has, as its lines are read again."""
+    path = new_folder(spark, "export")
+    export.export(_prepared(spark, sf_dir), "Reachable", "Gephi", path)
+    return spark.read.text(path).agg(F.count_if(F.col("value").startswith("<node id=")).alias("nodes"), F.count_if(F.col("value").startswith("<edge id=")).alias("edges"))
+
+
+@query(f"WITH {FRAMES_SQL} SELECT 'empty one' AS timeline_id, CAST(0 AS BIGINT) AS frames, CAST(NULL AS BIGINT) AS first_id, CAST(NULL AS BIGINT) AS last_id UNION ALL SELECT 'events', count(*), min(graph_id), max(graph_id) FROM typed")
+def timelines_listed(spark, sf_dir):
+    """All timelines with their frames, one of them without any."""
+    store = _store(spark, sf_dir)
+    store.create_timeline("empty one", {"days": 30})
+    return store.timelines().select("timeline_id", "frames", "first_id", "last_id")

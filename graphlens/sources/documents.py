@@ -73,6 +73,13 @@ def to_specs(g: Graph) -> DataFrame:
     return out.select("node", spec.cast(SPEC_TYPE).alias("spec"))
 
 
+def with_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes and, without values, those that only edges name."""
+    named = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node"), "node", "left_anti")
+    none = {"props": F.create_map().cast("map<string,string>"), "labels": F.create_map().cast("map<string,array<string>>")}
+    return nodes.select("node", *none).unionByName(named.select("node", *[v.alias(c) for c, v in none.items()]))
+
+
 def configured(g: Graph, judged: DataFrame, reachable: DataFrame) -> Graph:
     """What a configuration leaves: reachable nodes (node), and of the judged edges those that it follows between them."""
     edges = judged.where("NOT excluded").join(reachable.select(F.col("node").alias("src")), "src", "left_semi").select(*g.edges.columns)

@@ -49,7 +49,7 @@ class FrameStore:
         while True:
             numbers = sorted(int(f.getPath().getName()) for f in self._fs.listStatus(self._path(f"{self.folder}/commits")) if f.getPath().getName().isdigit())
             if not numbers:
-                return 0, {"frames": {}, "data": {}}
+                return 0, {"frames": {}, "data": {}, "timelines": {}}
             path = self._path(f"{self.folder}/commits/{numbers[-1]:012d}")
             try:
                 return numbers[-1], json.loads(self._text(path))["folders"]
@@ -104,7 +104,13 @@ class FrameStore:
         return self._read("frames", FRAME, folders, timeline), self._read("data", self.data_schema, folders, timeline)
 
     def check(self, new: DataFrame, folders: Names | None = None) -> None:
-        """Raise unless ids rise and times do not fall."""
+        """Raise unless ids rise, times do not fall, and each base that is named is a version that is there or comes along."""
+        if "base_id" in new.columns:
+            every = self._read("frames", FRAME, folders).select("timeline_id", "graph_id", "frame_type").unionByName(new.select("timeline_id", "graph_id", "frame_type")).where("frame_type IN ('full', 'delta')")
+            named = new.where("base_id IS NOT NULL").select(F.coalesce("base_timeline", "timeline_id").alias("timeline_id"), F.col("base_id").alias("graph_id"))
+            lost = named.join(every, ["timeline_id", "graph_id"], "left_anti").first()
+            if lost:
+                raise ValueError(f"the base {lost['graph_id']} of {lost['timeline_id']} is no version")
         bad = versions.append_violations(self._read("frames", FRAME, folders).select("timeline_id", "graph_id", "ts"), new.select("timeline_id", "graph_id", "ts")).limit(1).collect()
         if bad:
             raise ValueError(f"frame {bad[0]['graph_id']} of {bad[0]['timeline_id']} does not come after what is there")
@@ -345,6 +351,26 @@ class FrameStore:
                 self._fs.delete(f.getPath(), False)
         return count
 
+    def create_timeline(self, timeline: str, config: dict) -> None:
+        """Make a timeline without frames, with its configuration; one that is there is an error."""
+
+        def make(folders: Names) -> Names:
+            if any(timeline in of for of in folders.values()):
+                raise ValueError(f"{timeline} is there already")
+            folders["timelines"][timeline] = [json.dumps(config, sort_keys=True)]
+            return folders
+
+        self._change(make)
+
+    def timeline_config(self, timeline: str) -> dict:
+        """The configuration of a timeline; none is an empty one, an unknown timeline an error."""
+        folders = self.latest_commit()[1]
+        if not any(timeline in of for of in folders.values()):
+            raise ValueError(f"no timeline {timeline}")
+        return json.loads(folders["timelines"].get(timeline, ["{}"])[0])
+
     def timelines(self) -> DataFrame:
-        """(timeline_id, frames, first_id, last_id, last_ts)."""
-        return self.frames.groupBy("timeline_id").agg(F.count(F.lit(1)).alias("frames"), F.min("graph_id").alias("first_id"), F.max("graph_id").alias("last_id"), F.max("ts").alias("last_ts"))
+        """(timeline_id, frames, first_id, last_id, last_ts) of all timelines, those without frames included."""
+        made = self.spark.createDataFrame([(t,) for t in sorted(self.latest_commit()[1]["timelines"])], "timeline_id string")
+        every = self.frames.select("timeline_id", "graph_id", "ts").unionByName(made, allowMissingColumns=True)
+        return every.groupBy("timeline_id").agg(F.count("graph_id").alias("frames"), F.min("graph_id").alias("first_id"), F.max("graph_id").alias("last_id"), F.max("ts").alias("last_ts"))

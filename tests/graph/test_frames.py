@@ -105,3 +105,20 @@ def test_frames_of_two_months(spark, tmp_path):
     assert sorted(r.graph_id for r in queries._frames(spark, str(tmp_path)).collect()) == [5, 36, 37, 371]
     store = requests._store(spark, str(tmp_path), (5, 36))
     assert {r.user_id: r.n for r in store.fetch("events", 37).collect()} == {1: 1}
+
+
+def test_timelines_and_bases(spark, store):
+    store.create_timeline("a", {"ttl": 3})
+    with pytest.raises(ValueError, match="already"):
+        store.create_timeline("a", {})
+    store.store("b", 4, "2024-01-01", rows(spark, {"x": 1}))
+    store.store("b", 6, "2024-01-02", rows(spark, {"x": 2}))
+    assert sorted((r.timeline_id, r.frames, r.first_id, r.last_id) for r in store.timelines().collect()) == [("a", 0, None, None), ("b", 2, 4, 6)]
+    assert store.timeline_config("a") == {"ttl": 3} and store.timeline_config("b") == {}
+    with pytest.raises(ValueError, match="no timeline"):
+        store.timeline_config("c")
+    lost = spark.createDataFrame([("b", 7, "delta", 5)], "timeline_id string, graph_id long, frame_type string, base_id long").withColumn("ts", F.lit("2024-01-05").cast("timestamp_ntz"))
+    with pytest.raises(ValueError, match="no version"):
+        store.add(lost)
+    store.delete("a")
+    assert [r.timeline_id for r in store.timelines().collect()] == ["b"]

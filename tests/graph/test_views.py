@@ -7,6 +7,7 @@ from graphlens.operators import deltas, explore, traverse, versions
 from graphlens.operators.rules import LITERALS, apply_rules
 from graphlens.operators.selection import NodeSelection, select_nodes
 from graphlens.plans.config import MetricView, TraversalConfig
+from graphlens.sources import documents, export
 from graphlens.sources.tables import Graph
 from pyspark.sql import functions as F
 
@@ -71,3 +72,21 @@ def test_the_frame_before_a_point(spark):
     frames = spark.createDataFrame([("t", k, "full", t) for k, t in enumerate(at)], "timeline_id string, graph_id long, frame_type string, ts timestamp_ntz")
     before = lambda ts, k: [r.graph_id for r in versions.select_frames(frames, "t", before=(ts, k)).collect()]
     assert before(at[1], 1) == [0] and before(at[3], 3) == [2] and before(at[0], 0) == [] and before(datetime.datetime(2024, 2, 1), 0) == [3]
+
+
+def test_exports(spark, graph, tmp_path):
+    p = prepared(spark, Graph(graph.nodes.where("node <> 'f'"), graph.node_metrics, graph.edges), force_nodes={"b": False})
+    for scope, count in (("Whole", 7), ("Reachable", 4)):
+        export.export(p, scope, "MapGraphJson", f"file://{tmp_path}/{scope}")
+        text = "".join(f.read_text() for f in sorted((tmp_path / scope).glob("part-*")))
+        (tmp_path / f"{scope}.json").write_text(text)
+        g, entry = documents.read_document(spark, f"file://{tmp_path}/{scope}.json")
+        assert g.nodes.count() == count and [r.node for r in entry.collect()] == ["r"]
+        want = LINKS if scope == "Whole" else [e for e in LINKS if e[0] in "ra" and e[1] != "b"]
+        assert sorted((r.src, r.dst, r.tag or "") for r in g.edges.collect()) == sorted((x, y, t or "") for x, y, t in want)
+        export.export(p, scope, "Gephi", f"file://{tmp_path}/{scope}-gexf")
+        lines = "".join(f.read_text() for f in sorted((tmp_path / f"{scope}-gexf").glob("part-*")))
+        assert lines.count("<node id=") == count and lines.count("<edge id=") == len(want) and lines.endswith("</gexf>\n")
+    for bad in (("All", "Gephi"), ("Whole", "Dot")):
+        with pytest.raises(ValueError, match="unknown export"):
+            export.export(p, *bad, f"file://{tmp_path}/no")
