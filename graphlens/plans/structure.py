@@ -123,10 +123,10 @@ def search_index_read(spark, sf_dir):
     return names.candidates(spark, _indexed(spark, sf_dir), "o770").agg(F.count(F.lit(1)).alias("names_read"))
 
 
-#: Users of a quarter of a day as nodes, an edge to the next one seen in it, tagged by what the first one did.
+#: Users of an hour as nodes, an edge to the next one seen in it, tagged by what the first one did.
 DAYS_SQL = """
-q AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) || '.' || CAST(hour(ts) // 6 AS VARCHAR) AS quarter FROM events),
-x AS (SELECT 'u' || user_id || '@' || quarter AS src, event_type AS tag, lead('u' || user_id || '@' || quarter) OVER (PARTITION BY quarter ORDER BY ts, event_id) AS dst FROM q),
+q AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) || '.' || CAST(hour(ts) AS VARCHAR) AS hour FROM events),
+x AS (SELECT 'u' || user_id || '@' || hour AS src, event_type AS tag, lead('u' || user_id || '@' || hour) OVER (PARTITION BY hour ORDER BY ts, event_id) AS dst FROM q),
 xe AS (SELECT DISTINCT src, dst, tag FROM x WHERE dst IS NOT NULL AND src <> dst), xn AS (SELECT src AS node, count(*) AS n FROM x GROUP BY src),
 pr AS (SELECT node AS a, node AS b FROM xn UNION SELECT pr.a, xe.dst FROM pr JOIN xe ON xe.src = pr.b),
 co AS (SELECT p.a AS node, min(p.b) AS scc, count(*) AS size FROM pr p JOIN pr q ON p.a = q.b AND p.b = q.a GROUP BY p.a),
@@ -136,18 +136,18 @@ nm AS (SELECT scc, CASE WHEN size = 1 THEN scc ELSE 'SCC #' || sum(CASE WHEN siz
 
 def _days(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    quarter = F.concat(F.to_date("ts").cast("string"), F.lit("."), F.floor(F.hour("ts") / 6).cast("string"))
-    name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@"), quarter)
-    placed = numbered(events.select(quarter.alias("quarter"), "ts", "event_id", name.alias("src"), F.col("event_type").alias("tag")), ["quarter", "ts", "event_id"], "place")
-    after = placed.select("quarter", (F.col("place") - 1).alias("place"), F.col("src").alias("dst"))
-    edges = saved(placed.join(after, ["quarter", "place"]).where("src <> dst").select("src", "dst", F.lit("tagged").alias("kind"), "tag").distinct())
+    hour = F.concat(F.to_date("ts").cast("string"), F.lit("."), F.hour("ts").cast("string"))
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@"), hour)
+    placed = numbered(events.select(hour.alias("hour"), "ts", "event_id", name.alias("src"), F.col("event_type").alias("tag")), ["hour", "ts", "event_id"], "place")
+    after = placed.select("hour", (F.col("place") - 1).alias("place"), F.col("src").alias("dst"))
+    edges = saved(placed.join(after, ["hour", "place"]).where("src <> dst").select("src", "dst", F.lit("tagged").alias("kind"), "tag").distinct())
     seen = events.groupBy(name.alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.lit("events"))
     return scc.condensed_graph(scc.components(seen.select("node"), edges), seen, edges)
 
 
 @query(f"WITH RECURSIVE {DAYS_SQL} SELECT DISTINCT a.name AS src, b.name AS dst, 'tagged' AS kind, tag, xe.dst AS entered FROM xe JOIN co p ON p.node = xe.src JOIN nm a ON a.scc = p.scc JOIN co q ON q.node = xe.dst JOIN nm b ON b.scc = q.scc WHERE a.name <> b.name")
 def condensed_edges(spark, sf_dir):
-    """The edges between the components of users of a quarter of a day, by tag and by the user whom they enter."""
+    """The edges between the components of users of an hour, by tag and by the user whom they enter."""
     return _days(spark, sf_dir)[2]
 
 
