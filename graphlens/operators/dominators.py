@@ -8,7 +8,8 @@ meet of those of its parents until none changes.
 
 A tree is (node, idom): one row for each node, whatever its depth. Its jump table has, for each node, what lies 1, 2, 4, ...
 steps up. A meet of any number of nodes lifts them to one depth and then together, largest steps first, in as many joins as
-the depth has digits.
+the depth has digits. Where no node lies as deep as SHALLOW, the table also has the way from the root to each node, and a meet is one
+join: what all ways have in common is what the first and the last of them in their order have.
 """
 
 from __future__ import annotations
@@ -22,27 +23,40 @@ from .fixpoint import MOST_ROUNDS, reach_set, saved
 
 #: Joins of a meet that are planned together.
 TOGETHER = 6
+#: Ways are held in trees less deep than this (a power of two), so that a row has at most so many names.
+SHALLOW = 32
 
 
 def jump_table(tree: DataFrame) -> DataFrame:
-    """(node, depth, jump): the number of steps to the root, and what lies 1, 2, 4, ... steps up. ``tree``: (node, idom), no idom at roots."""
-    at = tree.select("node", F.col("idom").alias("far"), F.when(F.col("idom").isNull(), 0).otherwise(1).alias("depth"), F.array().cast("array<string>").alias("jump"))
-    at = saved(at)
-    for _ in range(MOST_ROUNDS):
+    """(node, depth, jump, way) of a saved ``tree`` (node, idom), no idom at roots.
+
+    depth: the number of steps to the root; jump: what lies 1, 2, 4, ... steps up; way: the nodes from the root to this one, null for all nodes if one lies at depth SHALLOW or below.
+    """
+    at = tree.select("node", F.col("idom").alias("far"), F.when(F.col("idom").isNull(), 0).otherwise(1).alias("depth"), F.array().cast("array<string>").alias("jump"), F.array("node").alias("way"))
+    for turn in range(MOST_ROUNDS):
         if at.where("far IS NOT NULL").isEmpty():
-            return at.select("node", "depth", "jump")
-        up = at.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("depth").alias("_steps"))
+            return at.select("node", "depth", "jump", "way")
+        up = at.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("depth").alias("_steps"), F.col("way").alias("_way"))
         nxt = at.join(up, "far", "left")
         jump = F.when(F.col("far").isNull(), F.col("jump")).otherwise(F.concat("jump", F.array("far")))
-        at = saved(nxt.select("node", F.col("_far").alias("far"), (F.col("depth") + F.coalesce("_steps", F.lit(0))).alias("depth"), jump.alias("jump")))
+        way = F.coalesce(F.concat("_way", "way"), F.col("way")) if 2 << turn <= SHALLOW else F.lit(None).cast("array<string>")
+        at = saved(nxt.select("node", F.col("_far").alias("far"), (F.col("depth") + F.coalesce("_steps", F.lit(0))).alias("depth"), jump.alias("jump"), way.alias("way")))
     raise RuntimeError("a tree has no end")
 
 
+def _deepest(jumps: DataFrame) -> int:
+    return jumps.agg(F.max("depth")).first()[0] or 0
+
+
 def meets(items: DataFrame, jumps: DataFrame) -> DataFrame:
     """(key, node): for each key the lowest node that all of its nodes (key, node) have above them or are."""
+    deepest = _deepest(jumps)
+    if deepest < SHALLOW:
+        ends = items.join(jumps.select("node", "way"), "node").groupBy("key").agg(F.min("way").alias("_first"), F.max("way").alias("_last"))
+        return ends.select("key", F.try_element_at(F.array_intersect("_first", "_last"), F.lit(-1)).alias("node"))
     items = items.select("key", "node").distinct()
     known = items.join(jumps.select("node", "depth"), "node")
-    levels = math.ceil(math.log2(1 + (jumps.agg(F.max("depth")).first()[0] or 0)))
+    levels = math.ceil(math.log2(1 + deepest))
     goal = known.groupBy("key").agg(F.min("depth").alias("goal"))
     now = known.join(goal, "key").select("key", "node", (F.col("depth") - F.col("goal")).alias("above"))
     up = lambda k: jumps.where(F.size("jump") > k).select("node", F.col("jump")[k].alias("_up"))
@@ -106,7 +120,7 @@ def dominator_tree(edges: DataFrame, root: DataFrame) -> DataFrame:
         if not several.isEmpty():
             # a meet lies in the class that all the nodes are of, whose tree is known; tops of other classes have no way up yet
             tops = links.select(F.col("top").alias("node")).distinct().join(tree.select("node"), "node", "left_anti")
-            jumps = jump_table(tree.unionByName(tops.select("node", F.lit(None).cast("string").alias("idom"))))
+            jumps = jump_table(saved(tree.unionByName(tops.select("node", F.lit(None).cast("string").alias("idom")))))
             met = meets(several.withColumnRenamed("src", "node"), jumps)
             found = found.unionByName(met.select(F.col("key").alias("node"), F.col("node").alias("idom")))
         joined = _joined(single.select("dst", "into"), 2 + count.bit_length())
@@ -146,7 +160,7 @@ def _settled(links: DataFrame, tree: DataFrame, start: str) -> DataFrame:
     fixed = saved(_below(tree, seen))
     into = saved(links.select(F.col("dst").alias("key"), F.col("src").alias("node")).distinct())
     for _ in range(MOST_ROUNDS):
-        met = meets(into, jump_table(fixed.unionByName(hung)))
+        met = meets(into, jump_table(saved(fixed.unionByName(hung))))
         after = saved(met.select(F.col("key").alias("node"), F.col("node").alias("idom")))
         if after.join(hung.withColumnRenamed("idom", "_old"), "node").where("idom <> _old").isEmpty():
             return fixed.unionByName(hung)
@@ -169,11 +183,15 @@ def _below(tree: DataFrame, tops: DataFrame) -> DataFrame:
 def subtree_sums(jumps: DataFrame, values: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(node, *keys, value columns): the sums of each node and all below it.
 
-    ``values``: (node, *keys, number columns), nodes and keys once. Sums over what lies less than 2^k steps below make those over less than 2^(k+1), so there are as many rounds
-    as the depth has digits, and no row for a pair of nodes.
+    ``values``: (node, *keys, number columns), nodes and keys once. Where ways are held, each node counts along its own, summed before the shuffle. Else sums over what lies less
+    than 2^k steps below make those over less than 2^(k+1), so there are as many rounds as the depth has digits, and no row for a pair of nodes.
     """
     columns = [c for c in values.columns if c not in ("node", *keys)]
-    levels = math.ceil(math.log2(1 + (jumps.agg(F.max("depth")).first()[0] or 0)))
+    deepest = _deepest(jumps)
+    if deepest < SHALLOW:
+        along = values.join(jumps.select("node", "way"), "node", "left").select(F.explode(F.coalesce("way", F.array("node"))).alias("node"), *keys, *columns)
+        return along.groupBy("node", *keys).agg(*[F.sum(c).alias(c) for c in columns])
+    levels = math.ceil(math.log2(1 + deepest))
     now = values
     for k in range(levels):
         up = jumps.where(F.size("jump") > k).select("node", F.col("jump")[k].alias("_up"))

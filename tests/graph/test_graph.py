@@ -56,8 +56,10 @@ def dominators(links, root):
     return {n: max(dom[n] - {n}, key=lambda x: len(dom[x]), default=None) for n in live}
 
 
-@pytest.mark.parametrize("seed", [1, 3])
-def test_dominator_tree(spark, seed):
+@pytest.mark.parametrize("seed,shallow", [(1, 32), (3, 32), (1, 1)])
+def test_dominator_tree(spark, seed, shallow, monkeypatch):
+    """By the ways of shallow trees and by jumps alone."""
+    monkeypatch.setattr(tree_of, "SHALLOW", shallow)
     rng = random.Random(seed)
     size, n = [(14, 20), (14, 24), (30, 34), (30, 60), (60, 90), (12, 40)][seed]
     links = sorted({(f"n{rng.randrange(size)}", f"n{rng.randrange(size)}") for _ in range(n)})
@@ -66,13 +68,16 @@ def test_dominator_tree(spark, seed):
     tree = tree_of.dominator_tree(edges, spark.createDataFrame([(root,)], "node string"))
     assert {r.node: r.idom for r in tree.collect()} == dominators(links, root)
     up = dominators(links, root)
-    jumps = {r.node: (r.depth, r.jump) for r in tree_of.jump_table(tree).collect()}
+    table = tree_of.jump_table(tree)
+    jumps = {r.node: (r.depth, r.jump) for r in table.collect()}
 
     def chain(x):
         return [x, *chain(up[x])] if x else []
 
     assert jumps == {x: (len(chain(x)) - 1, [chain(x)[1 << k] for k in range(8) if 1 << k < len(chain(x))]) for x in up}
-    sums = tree_of.subtree_sums(tree_of.jump_table(tree), tree.select("node", F.lit(1).alias("n"), F.length("node").alias("v")))
+    held = max(len(chain(x)) for x in up) <= shallow
+    assert {r.node: r.way for r in table.collect()} == {x: chain(x)[::-1] if held else None for x in up}
+    sums = tree_of.subtree_sums(table, tree.select("node", F.lit(1).alias("n"), F.length("node").alias("v")))
     assert {r.node: (r.n, r.v) for r in sums.collect()} == {x: (len(b := [y for y in up if x in chain(y)]), sum(map(len, b))) for x in up}
 
 
