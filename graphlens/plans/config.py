@@ -11,7 +11,9 @@ class TraversalConfig:
 
     force_dynamic: type key -> {"default": branches, "overrides": {edge name: {"branches": branches, "decision": bool}}},
     where branches is ("include" | "exclude", list). label_predicates: (label, value, contains, decision) in the order
-    in which they apply. tiers: names with the tags and dynamic type keys that move to them.
+    in which they apply. tiers: names with the tags and dynamic type keys that move to them. message_of: the ids of the messages of
+    single entries, by (rule, entry): ("force_node", name), ("force_edge", from, to), ("force_tagged", tag), ("force_dynamic", type key, edge name)
+    or ("label", place among the predicates). messages: texts by id.
     """
 
     force_nodes: dict[str, bool] = field(default_factory=dict)
@@ -21,6 +23,8 @@ class TraversalConfig:
     label_predicates: tuple[tuple[str, str, bool, bool], ...] = ()
     tiers: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()
     max_tier: int | None = None
+    message_of: dict[tuple, str] = field(default_factory=dict)
+    messages: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def from_json(doc: dict | None) -> TraversalConfig:
@@ -37,14 +41,22 @@ class TraversalConfig:
             for key, c in (doc.get("force_dynamic") or {}).items()
         }
         labels = doc.get("label_predicates") or {}
+        ordered = [p for _, p in sorted(labels.items())]
+        decisions = {("force_node", n): d for n, d in (doc.get("force_nodes") or {}).items()}
+        decisions |= {("force_edge", a, b): d for a, to in (doc.get("force_edges") or {}).items() for b, d in to.items()}
+        decisions |= {("force_tagged", t): d for t, d in (doc.get("force_tagged") or {}).items()}
+        decisions |= {("force_dynamic", key, n): o.get("decision") for key, c in (doc.get("force_dynamic") or {}).items() for n, o in (c.get("overrides") or {}).items()}
+        decisions |= {("label", k): p["decision"] for k, p in enumerate(ordered)}
         return TraversalConfig(
             {n: yes(d) for n, d in (doc.get("force_nodes") or {}).items()},
             {(a, b): yes(d) for a, to in (doc.get("force_edges") or {}).items() for b, d in to.items()},
             {t: yes(d) for t, d in (doc.get("force_tagged") or {}).items()},
             dynamic,
-            tuple((p["label_name"], p["label_value"], bool(p["contains"]), yes(p["decision"])) for _, p in sorted(labels.items())),
+            tuple((p["label_name"], p["label_value"], bool(p["contains"]), yes(p["decision"])) for p in ordered),
             tuple((t["name"], tuple(t.get("tags_that_transition_to_this_tier") or ()), tuple(t.get("dynamic_type_keys_that_transition_to_this_tier") or ())) for t in tiers.get("tiers") or ()),
             tiers.get("max_tier"),
+            {entry: d["message_id"] for entry, d in decisions.items() if d and d.get("message_id")},
+            dict(doc.get("messages") or {}),
         )
 
 

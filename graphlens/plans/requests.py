@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphlens.operators import deltas, explore, paths, traverse, versions
 from graphlens.operators.fixpoint import new_folder, reach_set, saved
-from graphlens.operators.messages import message_id, rendered
+from graphlens.operators.messages import message_id, rendered, with_messages
 from graphlens.operators.rules import apply_rules
 from graphlens.operators.selection import NodeSelection
 from graphlens.sources.frames import FrameStore
@@ -58,6 +58,19 @@ def exclusion_texts(spark, sf_dir):
     return judged.select(F.col("dst").alias("node"), rendered().alias("message"))
 
 
+@query(f"""WITH {GRAPH_SQL} SELECT src, dst, tag, CASE WHEN t.brand = 'Brand#12' THEN 'no_brand' WHEN tag = 'N' THEN 'force_tagged_excluded' ELSE 'kept' END AS message_id,
+CASE WHEN t.brand = 'Brand#12' THEN 'No ' || dst || ' for ' || src WHEN tag = 'N' THEN 'Out by ' || tag ELSE 'Kept: ' || tag END AS message
+FROM judged LEFT JOIN nodes t ON t.node = dst WHERE kind = 'tagged' AND src LIKE 'o%' AND (t.brand = 'Brand#12' OR tag IN ('N', 'A'))""")
+def entry_messages(spark, sf_dir):
+    """What the entries of a configuration say of the edges from orders to parts: one by its own text, one by an id that is not known, one by a brand."""
+    g = supply(spark, sf_dir)
+    named = {("force_tagged", "N"): "unknown", ("force_tagged", "A"): "kept", ("label", 0): "no_brand"}
+    texts = {"no_brand": "No %points_to% for %points_from%", "force_tagged_excluded": "Out by %edge_tag%", "kept": "Kept: %edge_tag%"}
+    config = replace(CONFIG, force_tagged={"N": False, "A": True}, message_of=named, messages=texts)
+    judged = apply_rules(g.edges, g.nodes, config).where("kind = 'tagged' AND src LIKE 'o%' AND rule IS NOT NULL")
+    return with_messages(judged, g.nodes, config).select("src", "dst", "tag", "message_id", "message")
+
+
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, {REACHED_SQL} SELECT e.src AS node, e.excluded, e.src NOT IN (SELECT node FROM reached) AS unreachable FROM judged e WHERE e.dst = 's1'""")
 def arrows_into_supplier(spark, sf_dir):
     """All parts that a supplier stocks, followed or not: the reverse arrows of a node."""
