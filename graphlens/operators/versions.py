@@ -74,9 +74,9 @@ def append_violations(frames: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def type_counts(frames: DataFrame, now: str, hours: tuple[int, ...] = (24, 168, 720)) -> DataFrame:
-    """(timeline_id, frame_type, h24, h168, h720, every): frames by type in windows up to now, zeros included."""
-    age = F.timestamp_diff("HOUR", F.col("ts"), F.lit(now).cast("timestamp_ntz"))
-    counts = [F.count_if((age >= 0) & (age < h)).alias(f"h{h}") for h in hours]
+    """(timeline_id, frame_type, h24, h168, h720, every): frames by type in windows of so many hours up to now, both ends included, zeros included."""
+    end = F.lit(now).cast("timestamp_ntz")
+    counts = [F.count_if(F.col("ts").between(end - F.make_dt_interval(hours=F.lit(h)), end)).alias(f"h{h}") for h in hours]
     types = F.explode(F.array(*map(F.lit, ("full", "delta", "empty", "error"))))
     grid = frames.select("timeline_id").distinct().select("timeline_id", types.alias("frame_type"))
     got = frames.groupBy("timeline_id", "frame_type").agg(*counts, F.count(F.lit(1)).alias("every"))

@@ -80,8 +80,8 @@ def history_decode(spark, sf_dir):
     return history.decode_series(history.encode_series(_days(spark, sf_dir)))
 
 
-@query(f"""WITH {FRAMES_SQL}, t AS (SELECT unnest(['full', 'delta', 'empty', 'error']) AS frame_type), a AS (SELECT *, date_diff('second', ts, TIMESTAMP '2024-01-31') / 3600 AS age FROM typed)
-SELECT 'events' AS timeline_id, t.frame_type, count(*) FILTER (age >= 0 AND age < 24) AS h24, count(*) FILTER (age >= 0 AND age < 168) AS h168, count(*) FILTER (age >= 0 AND age < 720) AS h720, count(graph_id) AS every
+@query(f"""WITH {FRAMES_SQL}, t AS (SELECT unnest(['full', 'delta', 'empty', 'error']) AS frame_type), a AS (SELECT *, TIMESTAMP '2024-01-31' - ts AS age FROM typed)
+SELECT 'events' AS timeline_id, t.frame_type, count(*) FILTER (age BETWEEN INTERVAL 0 HOUR AND INTERVAL 24 HOUR) AS h24, count(*) FILTER (age BETWEEN INTERVAL 0 HOUR AND INTERVAL 168 HOUR) AS h168, count(*) FILTER (age BETWEEN INTERVAL 0 HOUR AND INTERVAL 720 HOUR) AS h720, count(graph_id) AS every
 FROM t LEFT JOIN a USING (frame_type) GROUP BY t.frame_type""")
 def frame_type_counts(spark, sf_dir):
     return versions.type_counts(_frames(spark, sf_dir), "2024-01-31")

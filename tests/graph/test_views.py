@@ -90,3 +90,11 @@ def test_exports(spark, graph, tmp_path):
     for bad in (("All", "Gephi"), ("Whole", "Dot")):
         with pytest.raises(ValueError, match="unknown export"):
             export.export(p, *bad, f"file://{tmp_path}/no")
+
+
+def test_counts_by_windows_include_both_ends_and_parts_of_seconds(spark):
+    times = ["2024-01-29 23:59:59.7", "2024-01-30 00:00:00", "2024-01-30 00:00:00.3", "2024-01-31 00:00:00", "2024-01-31 00:00:00.3", "2024-01-31 00:30:00"]
+    frames = spark.createDataFrame([("a", k, t) for k, t in enumerate(times)], "timeline_id string, graph_id long, ts string")
+    frames = frames.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("frame_type", F.lit("full"))
+    got = {r.frame_type: r for r in versions.type_counts(frames, "2024-01-31").collect()}
+    assert (got["full"].h24, got["full"].h168, got["full"].h720, got["full"].every) == (3, 4, 4, 6) and got["error"].every == 0
