@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import reach, saved, steps_of
+from .fixpoint import dealt, reach, saved, steps_of
 
 FORM = ["kind", "tag", "type_key", "edge_name", "branch"]
 
@@ -22,8 +22,10 @@ def contract(nodes: DataFrame, node_metrics: DataFrame, edges: DataFrame, groups
     end = lambda df, c: df.join(of.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("_group", c)).drop("_group")
     sums = end(node_metrics, "node").groupBy("node", "metric").agg(F.sum("value").alias("value"))
     form = [c for c in FORM if c in edges.columns]
-    made = end(edges.select("src", "dst", *form).distinct(), "src").distinct()
-    made = end(made, "dst").where("src <> dst").distinct()
+    rest = saved(edges.select("src", "dst", *form))
+    rows = rest.count()
+    made = end(dealt(rest, rows, "src").distinct(), "src")
+    made = end(dealt(made, rows, "dst").distinct(), "dst").where("src <> dst").distinct()
     return members, sums, made
 
 

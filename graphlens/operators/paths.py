@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import MOST_ROUNDS, reach_set, saved
+from .fixpoint import LARGE, MOST_ROUNDS, dealt, reach_set, saved, saved_by, steps_of
 
 def shortest_paths(edges: DataFrame, start: DataFrame, avoid: DataFrame | None = None, until: DataFrame | None = None) -> DataFrame:
     """(node, depth, route, parent): the first shortest path to each node, in the order of a breadth-first search.
@@ -20,6 +20,8 @@ def shortest_paths(edges: DataFrame, start: DataFrame, avoid: DataFrame | None =
         closed = avoid.select("node").join(starts, "node", "left_anti")
         steps = steps.join(closed.withColumnRenamed("node", "dst"), "dst", "left_anti")
     steps = saved(steps)
+    rows = steps.count()
+    steps = saved_by(dealt(steps, rows, "src"), rows, "src") if rows > LARGE else steps
     seen = saved(starts.select("node", F.lit(0).alias("depth"), F.array().cast("array<struct<node:string,ord:bigint>>").alias("route"), F.lit(None).cast("string").alias("parent")))
     frontier = seen
     for depth in range(1, MOST_ROUNDS):
@@ -52,12 +54,12 @@ def ancestors(edges: DataFrame, of: DataFrame, chosen: DataFrame | None = None,
     """(node, depth) of what reaches the nodes over all edges, themselves left out; at least one condition is needed."""
     if chosen is None and not parentless:
         raise ValueError("ancestors need a selection or parentless")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    up = reach_set(back, of).join(of.select("node"), "node", "left_anti")
+    back = steps_of(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    up = reach_set(back, of, back).join(of.select("node"), "node", "left_anti")
     if chosen is not None:
         up = up.join(chosen.select("node"), "node", "left_semi")
     if parentless:
-        up = up.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+        up = up.join(back.select(F.col("src").alias("node")), "node", "left_anti")
     return up if limit is None else up.orderBy("node").limit(limit)
 
 

@@ -234,3 +234,23 @@ def test_min_cut_of_protected_edges(spark):
     assert paths.min_cut(edges, one("a"), one("h"), table([("a", "b"), ("b", "h")]))[1]
     cut, blocked = paths.min_cut(edges, one("a"), one("h"), table([("a", "b")]))
     assert not blocked and {tuple(r) for r in cut.collect()} == {("b", "h"), ("c", "h")}
+
+
+def test_large_steps_are_dealt_by_their_key(spark, monkeypatch):
+    """Steps beyond LARGE lie in as many parts as their rows ask for, whatever the session's number, with the same results."""
+    for module in (fixpoint, paths):
+        monkeypatch.setattr(module, "LARGE", 10)
+    monkeypatch.setattr(fixpoint, "PART", 10)
+    rng = random.Random(3)
+    nodes = [f"n{k}" for k in range(50)]
+    links = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(90)})
+    e = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(links)], "src string, dst string, edge_ord long")
+    assert fixpoint.dealt(e, 90, "src").rdd.getNumPartitions() == 9
+    reach = closure(nodes, links)
+    into = {b for _, b in links}
+    got = paths.ancestors(e, spark.createDataFrame([("n7",)], "node string"), parentless=True, limit=None)
+    assert {r.node for r in got.collect()} == {a for a in nodes if a != "n7" and "n7" in reach[a] and a not in into}
+    comp = {a: min(b for b in reach[a] if a in reach[b]) for a in nodes}
+    entered = {comp[b] for a, b in links if comp[a] != comp[b]}
+    every = spark.createDataFrame([(n,) for n in nodes], "node string")
+    assert {r.node for r in scc.source_entry_points(every, e).collect()} == {*comp.values()} - entered
