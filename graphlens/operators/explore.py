@@ -24,7 +24,7 @@ def view_values(p: Prepared, nodes: DataFrame, view: MetricView) -> DataFrame:
     if view.kind == "tier":
         got = p.state.select("node", F.coalesce("tier", F.lit(0)).cast("double").alias("value"))
     elif view.kind == "parents":
-        got = metrics.parents_count(p).join(p.state.where("reachable").select("node"), "node", "left_semi").select("node", F.col("parents").cast("double").alias("value"))
+        got = p.parents.select("node", F.col("parents").cast("double").alias("value"))
     elif view.kind == "tiered_dominated":
         at = p.tiers.index(view.tier) if view.tier in p.tiers else -1
         got = metrics.dominated_tiered(p, view.metric).where(F.col("tier") == at).select("node", F.col("sum").alias("value"))
@@ -71,7 +71,7 @@ def targets(p: Prepared, target: str | NodeSelection = "entry_points", structure
     if target == "entry_points":
         return p.state.where("entry AND reachable").select("node")
     if target == "all":
-        return p.state.where("reachable").select("node")
+        return p.reached.select("node")
     name = target.removeprefix("node:")
     if p.state.where(F.col("node") == name).isEmpty():
         raise ValueError(f"unknown node: {name}")
@@ -129,6 +129,14 @@ def changed(diff: DataFrame, left_state: DataFrame, right_state: DataFrame) -> D
     return rows.select("node", "diff", ((F.col("diff") != 0) | F.coalesce(F.col("_l") != F.col("_r"), F.lit(False))).alias("changed"))
 
 
+def compared(left: Prepared, right: Prepared) -> DataFrame:
+    """(node, diff, changed) of two graphs (see changed). Of one graph under two configurations only the nodes that either reaches: the others are unchanged, and edges and metrics need no comparison."""
+    if not left.same_graph(right):
+        return changed(twin.node_diff((left.nodes, left.node_metrics, left.edges), (right.nodes, right.node_metrics, right.edges)), left.state, right.state)
+    sides = [p.reached.select("node", F.lit(True).alias(c)) for p, c in ((left, "_l"), (right, "_r"))]
+    return sides[0].join(sides[1], "node", "full_outer").select("node", F.lit(0).alias("diff"), (F.col("_l").isNull() | F.col("_r").isNull()).alias("changed"))
+
+
 def delta_values(left: Prepared, right: Prepared, nodes: DataFrame, view: MetricView, diff: DataFrame | None = None) -> DataFrame:
     """(node, value) of a view with a side: the right graph's (no side), the left's, or the difference.
 
@@ -170,7 +178,7 @@ def explore_delta(left: Prepared, right: Prepared, target: str | NodeSelection =
         found = ends[0].join(ends[1], "node", "full_outer").fillna(False, ["in_left", "in_right"])
     else:
         found = targets(left, target).select("node").unionByName(targets(right, target).select("node")).distinct()
-    diff = saved(changed(twin.node_diff((left.nodes, left.node_metrics, left.edges), (right.nodes, right.node_metrics, right.edges)), left.state, right.state))
+    diff = saved(compared(left, right))
     rows = saved(found.join(diff, "node", "left").fillna(0, ["diff"]).fillna(False, ["changed"]))
     shown = rows.where("changed") if changed_only else rows
     total = rows.agg(F.count_if("changed").alias("_c"), F.count(F.lit(1)).alias("_n")).select(F.col("_c" if changed_only else "_n").alias("total"), (F.col("_n") - F.col("_c") if changed_only else F.lit(0).cast("long")).alias("hidden"))

@@ -78,6 +78,23 @@ def steps_of(edges: DataFrame) -> DataFrame:
     return saved_by(dealt(pairs, rows, "src").distinct(), rows, "src") if rows > LARGE else saved(pairs.distinct())
 
 
+class Near:
+    """What a round joins of steps (src, ...) of a loop: of many rows only those whose src lies between the least and the greatest name of the frontier.
+
+    Bucketed steps are sorted by src, so that pages of their files outside of it are not read.
+    """
+
+    def __init__(self, steps: DataFrame):
+        self.steps, self.large = steps, steps.count() > LARGE
+
+    def __call__(self, frontier: DataFrame) -> DataFrame | None:
+        """None if the frontier (saved; node) is empty."""
+        if not self.large:
+            return None if frontier.isEmpty() else self.steps
+        n, least, greatest = frontier.agg(F.count(F.lit(1)), F.min("node"), F.max("node")).first()
+        return self.steps.where(F.col("src").between(F.lit(least), F.lit(greatest))) if n else None
+
+
 def reach(edges: DataFrame, seeds: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): what each root reaches, itself at depth 0, by edges (src, dst).
 
@@ -87,11 +104,15 @@ def reach(edges: DataFrame, seeds: DataFrame, steps: DataFrame | None = None) ->
     """
     steps = steps_of(edges) if steps is None else steps
     frontier = saved(seeds.select("root", "node", F.lit(0).alias("depth")))
-    seen = frontier
+    seen, near = frontier, Near(steps)
+    at_hand = near(frontier)
+    if at_hand is None:
+        return seen
     for depth in itertools.count(1):
-        step = frontier.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        step = frontier.join(at_hand, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         frontier = saved(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        at_hand = near(frontier)
+        if at_hand is None:
             return seen
         seen = saved(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)
 

@@ -70,7 +70,7 @@ def _named(spark: SparkSession, *names: str) -> DataFrame:
 
 def _prepared(spark: SparkSession, sf_dir: str, root: str = "r0") -> traverse.Prepared:
     g = supply(spark, sf_dir)
-    return traverse.prepare(g.nodes, g.node_metrics, g.edges, CONFIG, _named(spark, root))
+    return traverse.prepare(g.nodes, g.node_metrics, g.edges, CONFIG, _named(spark, root), rows=g.rows)
 
 
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {REACHED_SQL} SELECT node FROM reached")

@@ -87,7 +87,8 @@ l AS (SELECT 'r0' AS node UNION SELECT e.dst FROM l JOIN live e ON e.src = l.nod
 
 def _both(spark, sf_dir):
     g = supply(spark, sf_dir)
-    return [traverse.prepare(g.nodes, g.node_metrics, g.edges, c, _named(spark, "r0")) for c in (CONFIG, OTHER)]
+    edges = traverse.laid(g.edges, g.rows)
+    return [traverse.prepare(g.nodes, g.node_metrics, edges, c, _named(spark, "r0"), rows=g.rows, held="laid") for c in (CONFIG, OTHER)]
 
 
 @query(f"""WITH RECURSIVE {BOTH_SQL}, n AS (SELECT node, l.node IS NOT NULL AS a, r.node IS NOT NULL AS b FROM l FULL JOIN r USING (node)),

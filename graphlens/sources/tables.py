@@ -23,8 +23,8 @@ class Graph:
 class LazyGraph:
     """A graph whose tables are opened when they are asked for."""
 
-    def __init__(self, nodes: Callable[[], DataFrame], node_metrics: Callable[[], DataFrame], edges: Callable[[], DataFrame]):
-        self._makers = nodes, node_metrics, edges
+    def __init__(self, nodes: Callable[[], DataFrame], node_metrics: Callable[[], DataFrame], edges: Callable[[], DataFrame], rows: Callable[[], int]):
+        self._makers = nodes, node_metrics, edges, rows
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -38,6 +38,11 @@ class LazyGraph:
     def edges(self) -> DataFrame:
         return self._makers[2]()
 
+    @cached_property
+    def rows(self) -> int:
+        """About how many edges there are, and no fewer, without making them."""
+        return self._makers[3]()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,26 +93,31 @@ def supply(spark: SparkSession, sf_dir: str, before: str | None = None, ordered:
         return union([metric("orders", "o", "o_orderkey", "price", "o_totalprice"), metric("part", "p", "p_partkey", "price", "p_retailprice"), metric("part", "p", "p_partkey", "size", "p_size"), metric("customer", "c", "c_custkey", "balance", "c_acctbal")])
 
     def edges() -> DataFrame:
-        lines = of("lineitem")
-        if before is None:
-            lines = lines.join(of("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-        else:
-            lines = lines.where(F.col("l_shipdate") < F.lit(before).cast("timestamp_ntz"))
         many = of("lineitem").count()
+        orders = of("orders").select(F.col("o_orderkey").alias("l_orderkey"))
+
+        def lines_of(*columns: str) -> DataFrame:
+            """Lines, those of an order in one part: they are dealt by the order before they are held against the orders, so that they are shuffled once however many orders there are."""
+            if before is not None:
+                held = of("lineitem").where(F.col("l_shipdate") < F.lit(before).cast("timestamp_ntz")).select(*columns)
+                return dealt(held, many, "l_orderkey") if "l_orderkey" in columns else held
+            held = of("lineitem").select("l_orderkey", *[c for c in columns if c != "l_orderkey"])
+            return dealt(held, many, "l_orderkey").join(orders, "l_orderkey", "left_semi").select(*columns)
+
         lot = F.concat(F.lit('{"lot":"'), (F.col("l_partkey") % 7).cast("string"), F.lit('"}'))
         every = union(
             [
                 of("nation").select(*_edge(_name("r", "n_regionkey"), _name("n", "n_nationkey"))),
                 of("customer").select(*_edge(_name("n", "c_nationkey"), _name("c", "c_custkey"))),
                 of("orders").select(*_edge(_name("c", "o_custkey"), _name("o", "o_orderkey"), "tagged", F.col("o_orderpriority"))),
-                # pairs are made different while they are numbers
-                dealt(lines.select("l_orderkey", "l_partkey", "l_returnflag"), many, "l_orderkey", "l_partkey").distinct().select(*_edge(_name("o", "l_orderkey"), _name("p", "l_partkey"), "tagged", F.col("l_returnflag"))),
-                dealt(lines.select("l_partkey", "l_suppkey", "l_linestatus"), many, "l_partkey", "l_suppkey").distinct().select(*_edge(_name("p", "l_partkey"), _name("s", "l_suppkey"), "dynamic", None, "stock", "line", F.col("l_linestatus"), lot)),
+                # pairs are made different while they are numbers, those of an order where its lines are
+                lines_of("l_orderkey", "l_partkey", "l_returnflag").distinct().select(*_edge(_name("o", "l_orderkey"), _name("p", "l_partkey"), "tagged", F.col("l_returnflag"))),
+                dealt(lines_of("l_partkey", "l_suppkey", "l_linestatus"), many, "l_partkey", "l_suppkey").distinct().select(*_edge(_name("p", "l_partkey"), _name("s", "l_suppkey"), "dynamic", None, "stock", "line", F.col("l_linestatus"), lot)),
             ]
         )
         return with_order(dealt(every, 2 * many, "src")) if ordered else every.withColumn("edge_ord", F.lit(None).cast("long"))
 
-    return LazyGraph(all_nodes, metrics, edges)
+    return LazyGraph(all_nodes, metrics, edges, lambda: 2 * of("lineitem").count() + sum(of(t).count() for t in ("orders", "customer", "nation")))
 
 
 def flow(spark: SparkSession, sf_dir: str) -> Graph:

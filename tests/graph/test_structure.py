@@ -4,9 +4,9 @@ import random
 from collections import defaultdict
 
 import pytest
-from graphlens.operators import contraction, explore, history, json_diff, paths, scc, traverse, twin
+from graphlens.operators import contraction, explore, fixpoint, history, json_diff, paths, scc, traverse, twin
 from graphlens.operators.fixpoint import new_folder
-from graphlens.plans.config import MetricView
+from graphlens.plans.config import MetricView, TraversalConfig
 from graphlens.sources import names
 from pyspark.sql import functions as F
 
@@ -209,3 +209,22 @@ def test_arrays_are_aligned_at_every_size():
     b = [x for k, x in enumerate(a) if k % 7] + ["z"] * 700
     rng.shuffle(b)
     assert len([1 for i, j in json_diff._aligned(a, sorted(b, key=lambda x: (x == "z", int(x) if x != "z" else 0))) if i is not None and j is not None]) == 4285
+
+
+def test_one_graph_under_two_configurations_is_not_compared_edge_by_edge(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"n{k:02d}" for k in range(30)]
+    nodes = spark.createDataFrame([(n, {}, {}) for n in names], "node string, props map<string,string>, labels map<string,array<string>>")
+    metrics = spark.createDataFrame([(n, "w", 1.0) for n in names], "node string, metric string, value double")
+    edges = edges_of(spark, [(rng.choice(names), rng.choice(names), rng.choice([None, "x"])) for _ in range(60)])
+    configs = TraversalConfig(force_tagged={"x": False}), TraversalConfig()
+    page = lambda sides: {tuple(r) for r in explore.explore_delta(*sides, "all", [MetricView.parse(v) for v in ("parents-count", "parents-count@delta")], sort="parents-count@delta", limit=100).rows.collect()}
+    want = page([traverse.prepare(nodes, metrics, edges.where("src IS NOT NULL"), c, one(spark, "n00")) for c in configs])
+    monkeypatch.setattr(fixpoint, "LARGE", 10)
+    monkeypatch.setattr(traverse, "LARGE", 10)
+    held = traverse.laid(edges, 60)
+    monkeypatch.setattr(twin, "node_diff", lambda *_: pytest.fail("edges of one graph are compared"))
+    assert page([traverse.prepare(nodes, metrics, edges, c, one(spark, "n00")) for c in configs]) == want
+    sides = [traverse.prepare(nodes, metrics, held, c, one(spark, "n00"), rows=60, held="laid") for c in configs]
+    assert page(sides) == want and len({r[2] for r in want}) == 2
+    assert sides[0].state.count() == len(names) and traverse.prepare(nodes, metrics, edges, entry=one(spark, "n00", "nowhere")).state.where("entry").count() == 1
