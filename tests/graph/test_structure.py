@@ -216,7 +216,7 @@ def test_one_graph_under_two_configurations_is_not_compared_edge_by_edge(spark,
     names = [f"n{k:02d}" for k in range(30)]
     nodes = spark.createDataFrame([(n, {}, {}) for n in names], "node string, props map<string,string>, labels map<string,array<string>>")
     metrics = spark.createDataFrame([(n, "w", 1.0) for n in names], "node string, metric string, value double")
-    edges = edges_of(spark, [(rng.choice(names), rng.choice(names), rng.choice([None, "x"])) for _ in range(60)])
+    edges = edges_of(spark, [("n00", "n01", None), ("n00", "q", "x"), *[(rng.choice(names), rng.choice(names), rng.choice([None, "x"])) for _ in range(60)]])
     configs = TraversalConfig(force_tagged={"x": False}), TraversalConfig()
     page = lambda sides: {tuple(r) for r in explore.explore_delta(*sides, "all", [MetricView.parse(v) for v in ("parents-count", "parents-count@delta")], sort="parents-count@delta", limit=100).rows.collect()}
     want = page([traverse.prepare(nodes, metrics, edges.where("src IS NOT NULL"), c, one(spark, "n00")) for c in configs])
@@ -227,4 +227,4 @@ def test_one_graph_under_two_configurations_is_not_compared_edge_by_edge(spark,
     assert page([traverse.prepare(nodes, metrics, edges, c, one(spark, "n00")) for c in configs]) == want
     sides = [traverse.prepare(nodes, metrics, held, c, one(spark, "n00"), rows=60, held="laid") for c in configs]
     assert page(sides) == want and len({r[2] for r in want}) == 2
-    assert sides[0].state.count() == len(names) and traverse.prepare(nodes, metrics, edges, entry=one(spark, "n00", "nowhere")).state.where("entry").count() == 1
+    assert sides[0].state.count() == len(names) + 1 and traverse.prepare(nodes, metrics, edges, entry=one(spark, "n00", "nowhere")).state.where("entry").count() == 1
