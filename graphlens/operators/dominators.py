@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .fixpoint import MOST_ROUNDS, reach_set, saved
 
@@ -32,14 +33,15 @@ def jump_table(tree: DataFrame) -> DataFrame:
 
     depth: the number of steps to the root; jump: what lies 1, 2, 4, ... steps up; way: the nodes from the root to this one, null for all nodes if one lies at depth SHALLOW or below.
     """
-    at = tree.select("node", F.col("idom").alias("far"), F.when(F.col("idom").isNull(), 0).otherwise(1).alias("depth"), F.array().cast("array<string>").alias("jump"), F.array("node").alias("way"))
+    nodes = ArrayType(tree.schema["node"].dataType)
+    at = tree.select("node", F.col("idom").alias("far"), F.when(F.col("idom").isNull(), 0).otherwise(1).alias("depth"), F.array().cast(nodes).alias("jump"), F.array("node").alias("way"))
     for turn in range(MOST_ROUNDS):
         if at.where("far IS NOT NULL").isEmpty():
             return at.select("node", "depth", "jump", "way")
         up = at.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("depth").alias("_steps"), F.col("way").alias("_way"))
         nxt = at.join(up, "far", "left")
         jump = F.when(F.col("far").isNull(), F.col("jump")).otherwise(F.concat("jump", F.array("far")))
-        way = F.coalesce(F.concat("_way", "way"), F.col("way")) if 2 << turn <= SHALLOW else F.lit(None).cast("array<string>")
+        way = F.coalesce(F.concat("_way", "way"), F.col("way")) if 2 << turn <= SHALLOW else F.lit(None).cast(nodes)
         at = saved(nxt.select("node", F.col("_far").alias("far"), (F.col("depth") + F.coalesce("_steps", F.lit(0))).alias("depth"), jump.alias("jump"), way.alias("way")))
     raise RuntimeError("a tree has no end")
 
@@ -78,7 +80,7 @@ def meets(items: DataFrame, jumps: DataFrame) -> DataFrame:
         apart = tried.groupBy("key").agg((F.min("_up") != F.max("_up")).alias("_apart"))
         now = kept(tried.join(apart, "key").select("key", F.when(F.col("_apart"), F.col("_up")).otherwise(F.col("node")).alias("node")).distinct())
     last = now.groupBy("key").agg(F.min("node").alias("node"), (F.min("node") != F.max("node")).alias("_apart"))
-    last = last.join(up(0), "node", "left") if levels else last.withColumn("_up", F.lit(None).cast("string"))
+    last = last.join(up(0), "node", "left") if levels else last.withColumn("_up", F.lit(None).cast(jumps.schema["node"].dataType))
     return last.select("key", F.when(F.col("_apart"), F.col("_up")).otherwise(F.col("node")).alias("node"))
 
 
@@ -93,13 +95,31 @@ def _joined(single: DataFrame, limit: int) -> DataFrame:
     return at.join(single.select(F.col("dst").alias("into")), "into", "left_anti")
 
 
-def dominator_tree(edges: DataFrame, root: DataFrame) -> DataFrame:
-    """(node, idom) of the nodes that the root (one row, node) reaches; the root has no idom."""
+def dominator_tree(edges: DataFrame, root: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, idom) of the nodes that the root (one row, node) reaches; the root has no idom.
+
+    Nodes are numbered for the work: numbers are met and grouped by hash, names only by sorting them. ``nodes`` may be given if they are known: (node), each once, all that the root
+    reaches; then ``edges`` has each pair once, and all of them lead from one of the nodes to one of them.
+    """
+    if nodes is None:
+        edges = saved(edges.select("src", "dst").where("src <> dst").distinct())
+        nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(root.select("node")).distinct()
+    numbers = saved(nodes.select("node", F.monotonically_increasing_id().alias("_id")))
+    end = lambda c: numbers.select(F.col("node").alias(c), F.col("_id").alias(f"_{c}"))
+    pairs = edges.where("src <> dst").select("src", "dst").join(end("src"), "src").select("_src", "dst").join(end("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    tree = _numbered_tree(pairs, numbers.join(root.select("node"), "node").select(F.col("_id").alias("node")))
+    named = numbers.join(tree.withColumnRenamed("node", "_id"), "_id").select("node", F.col("idom").alias("_up"))
+    return named.join(numbers.select(F.col("_id").alias("_up"), F.col("node").alias("idom")), "_up", "left").select("node", "idom")
+
+
+def _numbered_tree(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """The tree of pairs (src, dst) without loops of one node, each once."""
     first = saved(root.select("node"))
     start = first.first()[0]
-    tree = first.select("node", F.lit(None).cast("string").alias("idom"))
+    kind = first.schema["node"].dataType
+    tree = first.select("node", F.lit(None).cast(kind).alias("idom"))
     # src: a node, top: its class, dst: a node that no class has taken up yet
-    links = saved(edges.select("src", F.col("src").alias("top"), "dst").where((F.col("src") != F.col("dst")) & (F.col("dst") != start)).distinct())
+    links = saved(edges.select("src", F.col("src").alias("top"), "dst").where(F.col("dst") != start))
     checked = False
     for _ in range(MOST_ROUNDS):
         ends = links.groupBy("dst").agg(F.min("top").alias("into"), F.max("top").alias("_other"), F.min("src").alias("_a"), F.max("src").alias("_b"))
@@ -120,7 +140,7 @@ def dominator_tree(edges: DataFrame, root: DataFrame) -> DataFrame:
         if not several.isEmpty():
             # a meet lies in the class that all the nodes are of, whose tree is known; tops of other classes have no way up yet
             tops = links.select(F.col("top").alias("node")).distinct().join(tree.select("node"), "node", "left_anti")
-            jumps = jump_table(saved(tree.unionByName(tops.select("node", F.lit(None).cast("string").alias("idom")))))
+            jumps = jump_table(saved(tree.unionByName(tops.select("node", F.lit(None).cast(kind).alias("idom")))))
             met = meets(several.withColumnRenamed("src", "node"), jumps)
             found = found.unionByName(met.select(F.col("key").alias("node"), F.col("node").alias("idom")))
         joined = _joined(single.select("dst", "into"), 2 + count.bit_length())
@@ -131,7 +151,7 @@ def dominator_tree(edges: DataFrame, root: DataFrame) -> DataFrame:
     return _reached(tree, start)
 
 
-def _reached(tree: DataFrame, start: str) -> DataFrame:
+def _reached(tree: DataFrame, start: int) -> DataFrame:
     """The part of a forest (in which some may go round) that hangs at a root."""
     at = saved(tree.select("node", F.when(F.col("node") == start, F.col("node")).otherwise(F.col("idom")).alias("far")))
     for _ in range(2 + at.count().bit_length()):
@@ -142,7 +162,7 @@ def _reached(tree: DataFrame, start: str) -> DataFrame:
     return tree.join(at.where(F.col("far") == start).select("node"), "node", "left_semi")
 
 
-def _settled(links: DataFrame, tree: DataFrame, start: str) -> DataFrame:
+def _settled(links: DataFrame, tree: DataFrame, start: int) -> DataFrame:
     """The tree with what contraction leaves: (src, top, dst) whose dst is in no class but its own."""
     # a search over classes; each node hangs at a node of the class that found it
     seen = frontier = saved(tree.where(F.col("node") == start).select("node"))

@@ -78,7 +78,7 @@ class Prepared:
     @cached_property
     def tree(self) -> DataFrame:
         """(node, idom): the dominators from the only entry point; graphs with several need a root over them (see with_super_root)."""
-        return saved(dominator_tree(self.__dict__.get("steps", self.live), self.entry))
+        return saved(dominator_tree(self.__dict__.get("steps", self.live), self.entry, self.reached))
 
     @cached_property
     def jumps(self) -> DataFrame:
@@ -114,23 +114,23 @@ def open_steps(edges: DataFrame, count: int, rows: int | None = None, by_src: bo
     return saved_by((live if by_src else dealt(live, rows, "src")).groupBy("src", "dst").agg(F.min("stamp").alias("stamp"), F.count(F.lit(1)).alias("parallel")), rows, "src")
 
 
-def tiers_of(steps: DataFrame, entry: DataFrame) -> DataFrame:
-    """(node, tier): the least tier in which a node is reached by steps (see open_steps), where a tier rises along a path to the greatest stamp.
+def tiers_of(steps: DataFrame, entry: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, node, tier), for each of the keys of the entry points by itself: the least tier in which a node is reached by steps (see open_steps), where a tier rises along a path to the greatest stamp.
 
     One loop: a round carries on only the nodes that it reached first or at a lower tier than before.
     """
-    frontier = saved(entry.select("node", F.lit(0).alias("tier")).distinct())
+    frontier = saved(entry.select(*keys, "node", F.lit(0).alias("tier")).distinct())
     best, near = frontier, Near(steps)
     for turn in itertools.count(1):
         at_hand = near(frontier)
         if at_hand is None:
-            return best.groupBy("node").agg(F.min("tier").alias("tier"))
-        reached = frontier.join(at_hand, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.greatest("tier", "stamp")).alias("tier"))
-        known = best.groupBy("node").agg(F.min("tier").alias("_known"))
-        frontier = saved(reached.join(known, "node", "left").where("_known IS NULL OR tier < _known").select("node", "tier"))
+            return best.groupBy(*keys, "node").agg(F.min("tier").alias("tier"))
+        reached = frontier.join(at_hand, F.col("node") == F.col("src")).groupBy(*keys, F.col("dst").alias("node")).agg(F.min(F.greatest("tier", "stamp")).alias("tier"))
+        known = best.groupBy(*keys, "node").agg(F.min("tier").alias("_known"))
+        frontier = saved(reached.join(known, [*keys, "node"], "left").where("_known IS NULL OR tier < _known").select(*keys, "node", "tier"))
         best = best.unionByName(frontier)
         if turn % 8 == 0:
-            best = saved(best.groupBy("node").agg(F.min("tier").alias("tier")))
+            best = saved(best.groupBy(*keys, "node").agg(F.min("tier").alias("tier")))
 
 
 def _known(entry: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from graphlens.operators import dominators as tree_of
-from graphlens.operators import fixpoint, history, metrics, paths, reached, scc, twin
+from graphlens.operators import fixpoint, history, metrics, paths, reached, scc, traverse, twin
 from graphlens.plans.config import MetricView
 from graphlens.streaming import ingest
 from pyspark.sql import functions as F
@@ -254,3 +254,20 @@ def test_large_steps_are_dealt_by_their_key(spark, monkeypatch):
     entered = {comp[b] for a, b in links if comp[a] != comp[b]}
     every = spark.createDataFrame([(n,) for n in nodes], "node string")
     assert {r.node for r in scc.source_entry_points(every, e).collect()} == {*comp.values()} - entered
+
+
+def test_dominators_of_numbered_nodes(spark, monkeypatch):
+    """The tree of a prepared graph is made of its steps alone: edges are not saved with their verdicts."""
+    rng = random.Random(5)
+    links = sorted({(f"n{rng.randrange(20)}", f"n{rng.randrange(20)}") for _ in range(45)})
+    pairs = [x for x in links if x[0] != x[1]]
+    want = dominators(links, links[0][0])
+    live = sorted({x for x in pairs if x[0] in want})
+    one = spark.createDataFrame([(links[0][0],)], "node string")
+    tree = tree_of.dominator_tree(spark.createDataFrame(live, "src string, dst string"), one, spark.createDataFrame([(x,) for x in want], "node string"))
+    assert {r.node: r.idom for r in tree.collect()} == want
+    edges = spark.createDataFrame([(a, b, "directed", None, None, None, None, k) for k, (a, b) in enumerate(links)], "src string, dst string, kind string, tag string, type_key string, edge_name string, branch string, edge_ord long")
+    nodes = spark.createDataFrame([(x, {}, {}) for x in sorted({a for a, _ in links})], "node string, props map<string,string>, labels map<string,array<string>>")
+    monkeypatch.setattr(traverse, "laid", lambda *_: pytest.fail("edges are saved"))
+    p = traverse.prepare(nodes, None, edges, entry=one, rows=len(links), held="steps")
+    assert {r.node: r.idom for r in p.tree.collect()} == want
