@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import dealt, reach, saved, steps_of
+from .fixpoint import dealt, saved, saved_by
+from .traverse import tiers_of
 
 FORM = ["kind", "tag", "type_key", "edge_name", "branch"]
 
@@ -48,15 +49,16 @@ def route_entries(edges: DataFrame, nodes: DataFrame, membership: DataFrame) ->
     return found, entries.join(found.select("node"), "node", "left_anti")
 
 
-def route_sizes(routes: DataFrame, edges: DataFrame, node_metrics: DataFrame, metric: str) -> DataFrame:
+def route_sizes(routes: DataFrame, edges: DataFrame, node_metrics: DataFrame, metric: str, by_src: bool = False) -> DataFrame:
     """(route, eager, lazy): sums of a metric over what a route reaches by edges that are not lazy, and over what it reaches besides.
 
-    ``routes``: (route, node); ``edges``: (src, dst, lazy). All routes are searched together, each from its own entry points.
+    ``routes``: (route, node); ``edges``: (src, dst, lazy), saved; ``by_src``: they are from ``traverse.laid``. All routes are searched together in one loop, each from its own
+    entry points: what is lazy is a second tier.
     """
-    seeds = routes.select(F.col("route").alias("root"), "node").distinct()
-    at_once = reach(edges.where("NOT lazy"), seeds).select("root", "node", F.lit(True).alias("_eager"))
-    every = reach(edges, seeds, steps_of(edges)).select("root", "node")
+    rows = edges.count()
+    stamped = edges.select("src", "dst", F.when(~F.col("lazy"), 0).otherwise(1).alias("stamp"))
+    steps = saved_by((stamped if by_src else dealt(stamped, rows, "src")).groupBy("src", "dst").agg(F.min("stamp").alias("stamp")), rows, "src")
     value = node_metrics.where(F.col("metric") == metric).select("node", "value")
-    rows = every.join(at_once, ["root", "node"], "left").join(value, "node")
-    sums = rows.groupBy(F.col("root").alias("route")).agg(F.sum(F.when(F.col("_eager"), F.col("value")).otherwise(0.0)).alias("eager"), F.sum(F.when(F.col("_eager").isNull(), F.col("value")).otherwise(0.0)).alias("lazy"))
+    found = tiers_of(steps, routes, ("route",)).join(value, "node")
+    sums = found.groupBy("route").agg(F.sum(F.when(F.col("tier") == 0, F.col("value")).otherwise(0.0)).alias("eager"), F.sum(F.when(F.col("tier") > 0, F.col("value")).otherwise(0.0)).alias("lazy"))
     return routes.select("route").distinct().join(sums, "route", "left").fillna(0.0, ["eager", "lazy"])

@@ -64,11 +64,12 @@ def with_order(edges: DataFrame) -> DataFrame:
     return edges.withColumn("edge_ord", F.row_number().over(w).cast("long"))
 
 
-def supply(spark: SparkSession, sf_dir: str, before: str | None = None, ordered: bool = False) -> LazyGraph:
+def supply(spark: SparkSession, sf_dir: str, before: str | None = None, ordered: bool = False, only: str = "rncop") -> LazyGraph:
     """region, nation, customer, order, part, supplier as one graph; lines shipped before a day only, if one is given.
 
     Orders are tagged by priority, parts of an order by return flag; the suppliers of a part are dynamic edges
     of type stock, name line, with the line status as branch and the part's lot (its number modulo 7) as metadata.
+    ``only``: the edges from these kinds of nodes, by the first letters of their names; others are not made.
     """
     of = cache(lambda name: table(spark, sf_dir, name))
     union = lambda parts: reduce(DataFrame.unionByName, parts)
@@ -105,19 +106,18 @@ def supply(spark: SparkSession, sf_dir: str, before: str | None = None, ordered:
             return dealt(held, many, "l_orderkey").join(orders, "l_orderkey", "left_semi").select(*columns)
 
         lot = F.concat(F.lit('{"lot":"'), (F.col("l_partkey") % 7).cast("string"), F.lit('"}'))
-        every = union(
-            [
-                of("nation").select(*_edge(_name("r", "n_regionkey"), _name("n", "n_nationkey"))),
-                of("customer").select(*_edge(_name("n", "c_nationkey"), _name("c", "c_custkey"))),
-                of("orders").select(*_edge(_name("c", "o_custkey"), _name("o", "o_orderkey"), "tagged", F.col("o_orderpriority"))),
-                # pairs are made different while they are numbers, those of an order where its lines are
-                lines_of("l_orderkey", "l_partkey", "l_returnflag").distinct().select(*_edge(_name("o", "l_orderkey"), _name("p", "l_partkey"), "tagged", F.col("l_returnflag"))),
-                dealt(lines_of("l_partkey", "l_suppkey", "l_linestatus"), many, "l_partkey", "l_suppkey").distinct().select(*_edge(_name("p", "l_partkey"), _name("s", "l_suppkey"), "dynamic", None, "stock", "line", F.col("l_linestatus"), lot)),
-            ]
-        )
+        makers = {
+            "r": lambda: of("nation").select(*_edge(_name("r", "n_regionkey"), _name("n", "n_nationkey"))),
+            "n": lambda: of("customer").select(*_edge(_name("n", "c_nationkey"), _name("c", "c_custkey"))),
+            "c": lambda: of("orders").select(*_edge(_name("c", "o_custkey"), _name("o", "o_orderkey"), "tagged", F.col("o_orderpriority"))),
+            # pairs are made different while they are numbers, those of an order where its lines are
+            "o": lambda: lines_of("l_orderkey", "l_partkey", "l_returnflag").distinct().select(*_edge(_name("o", "l_orderkey"), _name("p", "l_partkey"), "tagged", F.col("l_returnflag"))),
+            "p": lambda: dealt(lines_of("l_partkey", "l_suppkey", "l_linestatus"), many, "l_partkey", "l_suppkey").distinct().select(*_edge(_name("p", "l_partkey"), _name("s", "l_suppkey"), "dynamic", None, "stock", "line", F.col("l_linestatus"), lot)),
+        }
+        every = union([makers[letter]() for letter in only])
         return with_order(dealt(every, 2 * many, "src")) if ordered else every.withColumn("edge_ord", F.lit(None).cast("long"))
 
-    return LazyGraph(all_nodes, metrics, edges, lambda: 2 * of("lineitem").count() + sum(of(t).count() for t in ("orders", "customer", "nation")))
+    return LazyGraph(all_nodes, metrics, edges, lambda: sum(of(t).count() for t in (dict(r="nation", n="customer", c="orders", o="lineitem", p="lineitem")[letter] for letter in only)))
 
 
 def flow(spark: SparkSession, sf_dir: str) -> Graph:

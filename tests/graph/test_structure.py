@@ -8,6 +8,7 @@ from graphlens.operators import contraction, explore, fixpoint, history, json_di
 from graphlens.operators.fixpoint import new_folder
 from graphlens.plans.config import MetricView, TraversalConfig
 from graphlens.sources import names
+from graphlens.sources.tables import supply
 from pyspark.sql import functions as F
 
 EDGE = "src string, dst string, kind string, tag string, type_key string, edge_name string, branch string, edge_ord long"
@@ -228,3 +229,15 @@ def test_one_graph_under_two_configurations_is_not_compared_edge_by_edge(spark,
     sides = [traverse.prepare(nodes, metrics, held, c, one(spark, "n00"), rows=60, held="laid") for c in configs]
     assert page(sides) == want and len({r[2] for r in want}) == 2
     assert sides[0].state.count() == len(names) + 1 and traverse.prepare(nodes, metrics, edges, entry=one(spark, "n00", "nowhere")).state.where("entry").count() == 1
+
+
+def test_routes_in_one_search_over_the_edges_asked_for(spark, monkeypatch):
+    every, some = (supply(spark, "/root/testdata/sf0.001", **only).edges for only in ({}, {"only": "co"}))
+    assert sorted(some.collect()) == sorted(every.where("src LIKE 'c%' OR src LIKE 'o%'").collect())
+    monkeypatch.setattr(fixpoint, "LARGE", 3)
+    rows = [("a", "b", True), ("a", "b", False), ("b", "c", True), ("c", "a", False), ("c", "d", False), ("e", "d", None), ("e", "b", True), ("x", "y", False)]
+    edges = traverse.laid(spark.createDataFrame(rows, "src string, dst string, lazy boolean"), len(rows))
+    values = spark.createDataFrame([(n, "w", float(1 << k)) for k, n in enumerate("abcdexy")], "node string, metric string, value double")
+    routes = spark.createDataFrame([("one", "a"), ("two", "e"), ("two", "c"), ("none", "z")], "route string, node string")
+    got = {r.route: (r.eager, r.lazy) for r in contraction.route_sizes(routes, edges, values, "w", by_src=True).collect()}
+    assert got == {"one": (3.0, 12.0), "two": (31.0, 0.0), "none": (0.0, 0.0)}
