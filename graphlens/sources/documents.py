@@ -75,7 +75,12 @@ def to_specs(g: Graph) -> DataFrame:
 
 def with_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes and, without values, those that only edges name."""
-    named = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node"), "node", "left_anti")
+    return with_names(nodes, edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+
+
+def with_names(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """The nodes and, without values, those of the names (node), each once, that are none of them."""
+    named = names.join(nodes.select("node"), "node", "left_anti")
     none = {"props": F.create_map().cast("map<string,string>"), "labels": F.create_map().cast("map<string,array<string>>")}
     return nodes.select("node", *none).unionByName(named.select("node", *[v.alias(c) for c, v in none.items()]))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphlens.operators.fixpoint import saved
 from graphlens.operators.traverse import Prepared
 
 from . import documents, gexf
@@ -15,8 +16,12 @@ def part(p: Prepared, scope: str) -> Graph:
     """The graph as it is (``Whole``), or what is reachable with the edges that are followed (``Reachable``); nodes that only edges name are nodes, too."""
     if scope not in SCOPES:
         raise ValueError(f"unknown export scope: {scope}")
-    whole = Graph(documents.with_targets(p.nodes, p.edges), p.node_metrics, p.edges.drop("excluded", "to_tier", "rule"))
-    return whole if scope == "Whole" else documents.configured(whole, p.edges, p.state.where("reachable").select("node"))
+    edges = p.edges.drop("excluded", "to_tier", "rule")
+    if scope == "Whole":
+        return Graph(documents.with_targets(p.nodes, p.edges), p.node_metrics, edges)
+    reached = p.reached.select("node")
+    g = documents.configured(Graph(p.nodes, p.node_metrics, edges), p.edges, reached)
+    return Graph(saved(documents.with_names(g.nodes, reached)), g.node_metrics, g.edges)
 
 
 def export(p: Prepared, scope: str, form: str, path: str) -> None:
@@ -27,5 +32,5 @@ def export(p: Prepared, scope: str, form: str, path: str) -> None:
     if form == "Gephi":
         gexf.write(g, path)
     else:
-        entries = [r[0] for r in p.state.where("entry").select("node").orderBy("node").collect()]  # entry points are named in the document's last line
+        entries = [r[0] for r in p.entry.select("node").orderBy("node").collect()]  # entry points are named in the document's last line
         documents.write_document(g, path, entries)

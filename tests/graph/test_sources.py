@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 
 from graphlens.functions import formats
 from graphlens.sources import documents, gexf
+from graphlens.sources.tables import Graph
 from pyspark.sql import functions as F
 
 DOC = {
@@ -63,3 +64,18 @@ def test_formats(spark):
         ("999", "999", "999 bytes", "99,900%"),
         (None, None, None, None),
     ]
+
+
+def test_gexf_in_many_files_is_the_same_document(spark, tmp_path, monkeypatch):
+    names = [f"n{k}" for k in range(9)]
+    nodes = spark.createDataFrame([(n, {"p": n}, {}) for n in names], "node string, props map<string,string>, labels map<string,array<string>>")
+    metrics = spark.createDataFrame([(n, "w", 1.5) for n in names], "node string, metric string, value double")
+    links = [(a, b, "directed", None, None, None, None) for a in names for b in names[:4]]
+    g = Graph(nodes, metrics, spark.createDataFrame(links, "src string, dst string, kind string, tag string, type_key string, edge_name string, branch string"))
+    texts = []
+    for most in (1000, 4):
+        monkeypatch.setattr(gexf, "LINES", most)
+        gexf.write(g, f"file://{tmp_path}/{most}")
+        texts.append(parts(tmp_path / str(most)))
+    assert texts[0] == texts[1] and texts[0].count("<edge id=") == len(links) and len(list((tmp_path / "4").glob("part-*"))) == 1 + 3 + 9
+    assert [line.split('"')[1] for line in texts[0].splitlines() if line.startswith("<edge ")] == [str(k) for k in range(len(links))]
