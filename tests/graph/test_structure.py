@@ -241,3 +241,43 @@ def test_routes_in_one_search_over_the_edges_asked_for(spark, monkeypatch):
     routes = spark.createDataFrame([("one", "a"), ("two", "e"), ("two", "c"), ("none", "z")], "route string, node string")
     got = {r.route: (r.eager, r.lazy) for r in contraction.route_sizes(routes, edges, values, "w", by_src=True).collect()}
     assert got == {"one": (3.0, 12.0), "two": (31.0, 0.0), "none": (0.0, 0.0)}
+
+
+def test_several_configurations_share_one_table_and_one_loop(spark, monkeypatch):
+    rng = random.Random(9)
+    names = [f"n{k:02d}" for k in range(30)]
+    nodes = spark.createDataFrame([(n, {}, {"odd": ["yes"]} if k % 7 == 3 else {}) for k, n in enumerate(names)], "node string, props map<string,string>, labels map<string,array<string>>")
+    metrics = spark.createDataFrame([(n, "w", 1.0) for n in names], "node string, metric string, value double")
+    edges = edges_of(spark, [("n00", "n01", None), ("n00", "q", "x"), *[(rng.choice(names), rng.choice(names), rng.choice([None, "x", "y"])) for _ in range(90)]])
+    tiers = (("first", (), ()), ("second", ("y",), ()))
+    configs = [TraversalConfig(force_tagged={"x": False}, tiers=tiers), TraversalConfig(label_predicates=(("odd", "yes", True, False),)), TraversalConfig(tiers=tiers, max_tier=0)]
+    seen = lambda p: (sorted(p.reached.collect()), sorted(p.open_steps.collect()), sorted(p.live.collect()), p.tiers)
+    several, single = one(spark, "n00", "n05", "nowhere"), one(spark, "n00")
+    want = [seen(traverse.prepare(nodes, metrics, edges, c, several)) for c in configs]
+    assert want[0] != want[1] != want[2] != want[0]
+    made = []
+    loop, table = traverse.tiers_of, traverse.saved_by
+    monkeypatch.setattr(traverse, "tiers_of", lambda *a, **k: made.append("loop") or loop(*a, **k))
+    monkeypatch.setattr(traverse, "saved_by", lambda *a, **k: made.append("table") or table(*a, **k))
+    assert [seen(p) for p in traverse.prepare_all(nodes, metrics, edges, configs, several)] == want and made == ["table", "loop"]
+    want = [seen(traverse.prepare(nodes, metrics, edges, c, single)) for c in configs[:2]]
+    monkeypatch.setattr(fixpoint, "LARGE", 10)
+    sides = traverse.prepare_all(nodes, metrics, fixpoint.saved_by(fixpoint.dealt(edges, 92, "src"), 92, "src"), configs[:2], single, 92, by_src=True)
+    assert [seen(p) for p in sides] == want and sides[0].same_graph(sides[1])
+
+
+def test_edges_are_made_where_their_nodes_are_dealt(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    want = sorted(supply(spark, folder).edges.collect(), key=str)
+    monkeypatch.setattr(fixpoint, "LARGE", 2000)
+    monkeypatch.setattr(fixpoint, "PART", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        g = supply(spark, folder, by_src=True)
+        assert sorted(g.edges.collect(), key=str) == want
+        pairs = fixpoint.dealt(g.edges, g.rows, "src").groupBy("src", "dst").count()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # no shuffle above the union of the edges, nor one in the session's number of parts, as lines were shuffled once more when there were too many orders to broadcast
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Union")] and "ENSURE_REQUIREMENTS" not in plan
