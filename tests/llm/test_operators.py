@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from graphlens.llm import bpe, exact_dedup, language_id, mixing, near_dup, sharding, substring_dedup, token_files, vector_search, warc
 from graphlens.llm.common import table
@@ -161,3 +162,22 @@ def test_empty_tables(docs):
     none = docs.limit(0)
     for f in (substring_dedup.repeated_windows, exact_dedup.exact_dedup, near_dup.jaccard_join, sharding.shard_by_bytes, mixing.mix_sources, bpe.bpe_encode, token_files.round_trip):
         assert f(none).count() == 0, f
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    """Different words, marks, line ends, long words and special tokens, in parts and in texts taken whole, as the library has them; hardly a piece is taken by itself."""
+    path = public_tokenizers.path(bpe.TOKENIZER)
+    lib, encoder, alone = Tokenizer.from_file(path), bpe.Encoder(path), []
+    one = encoder._encode_piece
+    monkeypatch.setattr(encoder, "_encode_piece", lambda piece: alone.append(piece) or one(piece))
+    letters = ["e", "t", "a", "the", "ing", "é", "ß", "日", "😀", "7", "12", "'s", "\n", "\r\n", ".", "!!", "ª", "́", " ", "_", "<|endoftext|>"]
+    word = lambda: "".join(RNG.choice(letters[:6] if RNG.random() < 0.7 else letters, RNG.integers(1, 12)))
+    texts = [" ".join(word() for _ in range(500)) for _ in range(12)]
+    texts += [t.replace(" ", "  ", 2) for t in texts] + [None, "", " ", "<|endoftext|>", "y" * 64, "y" * 65, "z" * 3000, "a " + "ab" * 200 + " b"]
+    made = list(encoder.chunks(pa.array(texts)))
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [n for _, _, _, counts in made for n in counts.tolist()] == [len(w) for w in want]
+    assert [k for _, _, ids, _ in made for k in ids.tolist()] == [k for w in want for k in w]
+    assert len(alone) < 100
+    few = pa.array(["a b c", "q  q <|endoftext|>"])
+    assert [k for _, _, ids, _ in encoder.chunks(few) for k in ids.tolist()] == [k for t in few.to_pylist() for k in lib.encode(t, add_special_tokens=False).ids]
