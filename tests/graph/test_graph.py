@@ -6,7 +6,7 @@ import random
 import pytest
 from graphlens.operators import dominators as tree_of
 from graphlens.operators import fixpoint, history, metrics, paths, reached, scc, traverse, twin
-from graphlens.plans.config import MetricView
+from graphlens.plans.config import MetricView, TraversalConfig
 from graphlens.streaming import ingest
 from pyspark.sql import functions as F
 
@@ -122,6 +122,31 @@ def test_bitmaps_of_several_runs(spark):
     assert got == {"r": (n + 3, 2.0 * (n + 3)), "a": (23_335, 46_670.0), "b": (46_668, 93_336.0), "x5": (2, 4.0)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_many_roots_are_summed_without_pairs(spark, seed, monkeypatch):
+    """Lists and bitmaps give the same sums, with and without loops, however small lists, groups and parts are; pairs are not walked."""
+    for name, size in (("ROWS", 3), ("LISTED", 12), ("GROUP", 10), ("LARGE", 20)):
+        monkeypatch.setattr(reached, name, size, raising=False)
+    monkeypatch.setattr(metrics, "FEW", 3, raising=False)
+    monkeypatch.setattr(metrics, "reach", lambda *_: pytest.fail("pairs were walked"))
+    rng = random.Random(seed)
+    nodes = [f"n{k:02}" for k in range(40)]
+    links = {(a, b) for a, b in ((rng.choice(nodes), rng.choice(nodes)) for _ in range([90, 60][seed - 1])) if a < b or seed == 2} | {("n00", x) for x in nodes[1:9]}
+    tiers = (("now", (), ()), ("late", ("t",), ()))
+    rows = [(a, b, "tagged", "t" if (a + b).count("3") else "u", None, None, None, None, None) for a, b in sorted(links)]
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string, tag string, type_key string, edge_name string, branch string, metadata string, edge_ord long")
+    value = {x: float(rng.randrange(-2, 5)) for x in nodes[:30]}
+    held = spark.createDataFrame([(x, "v", v) for x, v in value.items()], "node string, metric string, value double")
+    every = spark.createDataFrame([(x, None, None) for x in nodes], "node string, props map<string,string>, labels map<string,array<string>>")
+    p = traverse.prepare(every, held, edges, TraversalConfig(tiers=tiers), spark.createDataFrame([("n00",)], "node string"), rows=len(rows), held="pairs")
+    whole, tier = closure(nodes, sorted(links)), {r.node: r.tier for r in p.reached.collect()}
+    ask = spark.createDataFrame([(x,) for x in nodes], "node string")
+    want = {x: (len(whole[x]), sum(value.get(y, 0) for y in whole[x])) if x in tier else (0, 0) for x in nodes}
+    assert {r.node: (r["count"], r["sum"]) for r in metrics.transitive(p, ask, "v").collect()} == want
+    sums = {(x, k): sum(value.get(y, 0) for y in whole[x] if tier[y] <= k) for x in tier for k in (0, 1)}
+    assert {(r.root, r.tier): r["sum"] for r in metrics.tiered_of(p, ask, "v").collect()} == {k: v for k, v in sums.items() if v > 0}
+
+
 def test_shortest_path_depths(graph, spark):
     nodes, links, _, e = graph
     want, level, depth = {}, {nodes[0]}, 0
