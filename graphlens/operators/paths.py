@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import LARGE, MOST_ROUNDS, dealt, reach_set, saved, saved_by, steps_of
+from .fixpoint import LARGE, MOST_ROUNDS, Near, dealt, reach_set, saved, saved_by, steps_of
 
 def shortest_paths(edges: DataFrame, start: DataFrame, avoid: DataFrame | None = None, until: DataFrame | None = None) -> DataFrame:
     """(node, depth, route, parent): the first shortest path to each node, in the order of a breadth-first search.
@@ -37,9 +37,33 @@ def shortest_paths(edges: DataFrame, start: DataFrame, avoid: DataFrame | None =
     raise RuntimeError("a search did not end")
 
 
-def find_path(edges: DataFrame, start: DataFrame, goal: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
-    """(position, node) of the nodes of a shortest path, start first; no rows if there is none. A start that is a goal is the path."""
-    found = shortest_paths(edges, start, avoid, goal)
+def find_path(edges: DataFrame, start: DataFrame, goal: DataFrame, avoid: DataFrame | None = None, laid: bool = False) -> DataFrame:
+    """(position, node) of the nodes of a shortest path, start first; no rows if there is none. A start that is a goal is the path.
+
+    Levels of names are searched first; sequences of edges are compared only among what lies on shortest ways to the goals that are found, which is all that
+    decides. ``laid``: the edges are a table already, best one that is bucketed by src.
+    """
+    steps, starts, goal = edges.select("src", "dst", "edge_ord"), saved(start.select("node").distinct()), saved(goal.select("node").distinct())
+    if avoid is not None:
+        steps = steps.join(avoid.select("node").join(starts, "node", "left_anti").withColumnRenamed("node", "dst"), "dst", "left_anti")
+    if not laid or avoid is not None:
+        steps = saved(steps)
+        rows = steps.count()
+        steps = saved_by(dealt(steps, rows, "src"), rows, "src") if rows > LARGE else steps
+    near, levels, seen = Near(steps), [starts], starts
+    while (ends := saved(levels[-1].join(goal, "node", "left_semi"))).isEmpty():
+        at_hand = near(levels[-1])
+        if at_hand is None:
+            return starts.limit(0).select(F.lit(0).alias("position"), "node")
+        step = levels[-1].join(at_hand, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        levels.append(saved(step.join(seen, "node", "left_anti")))
+        seen = saved(seen.unionByName(levels[-1])) if len(levels) % 8 == 0 else seen.unionByName(levels[-1])
+    ways = steps.limit(0)
+    for k, level in enumerate(reversed(levels[:-1]), 1):
+        here = saved(near(level).join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").join(level.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", "edge_ord"))
+        ends = here.select(F.col("src").alias("node")).distinct()
+        ways = saved(ways.unionByName(here)) if k % 8 == 0 else ways.unionByName(here)
+    found = shortest_paths(ways, starts, until=goal)
     at = found.join(goal.select("node"), "node", "left_semi").orderBy("depth", "route", "node").limit(1)
     path = at.select("depth", "node", "parent")
     steps = path

@@ -252,6 +252,46 @@ def test_find_path(spark):
     assert path("a", "a") == ["a"] and path("e", "a") == []
 
 
+def test_routes_are_compared_on_shortest_ways_only(spark, monkeypatch):
+    """Sequences of edges are not carried to what lies off the shortest ways to the goals; the path is the same."""
+    rng = random.Random(5)
+    nodes = [f"n{k:02}" for k in range(30)]
+    links = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(75)} | {("n00", f"x{k}") for k in range(20)})
+    edges = spark.createDataFrame([(a, b, k * 7 % 11) for k, (a, b) in enumerate(links)], "src string, dst string, edge_ord long")
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    plain, carried = paths.shortest_paths, []
+    found = {r.node: r for r in plain(edges, one("n00")).collect()}
+    far = max((r.depth, x) for x, r in found.items())[1]
+    near = sorted(x for x, r in found.items() if r.depth == 2)
+    monkeypatch.setattr(paths, "shortest_paths", lambda e, *a, **b: carried.append({r.dst for r in e.collect()}) or plain(e, *a, **b))
+    for goals in ([far], [*near, far]):
+        end = min((found[x].depth, found[x].route, x) for x in goals)[2]
+        want = [end]
+        while found[want[0]].parent is not None:
+            want.insert(0, found[want[0]].parent)
+        got = paths.find_path(edges, one("n00"), one(*goals)).orderBy("position").collect()
+        assert [tuple(r) for r in got] == [*enumerate(want)]
+    assert len(carried) == 2 and not any(x.startswith("x") for held in carried for x in held)
+    assert paths.find_path(edges, one("n00"), one("nowhere")).isEmpty()
+
+
+def test_tiers_of_what_only_one_side_reaches_without_pairs(spark):
+    """The same as over pairs, for many roots and tiers of either side."""
+    rng = random.Random(6)
+    nodes = [f"n{k:02}" for k in range(25)]
+    rows = [(a, b, "tagged", rng.choice("tuv"), None, None, None, None, None) for a, b in sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(60)} | {("n00", x) for x in nodes[1:6]})]
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string, tag string, type_key string, edge_name string, branch string, metadata string, edge_ord long")
+    every = spark.createDataFrame([(x, None, None) for x in nodes], "node string, props map<string,string>, labels map<string,array<string>>")
+    held = spark.createDataFrame([(x, "v", float(rng.randrange(-2, 5))) for x in nodes[:20]], "node string, metric string, value double")
+    tiers = [("now", (), ()), ("late", ("t",), ()), ("last", ("u",), ())]
+    configs = [TraversalConfig(force_tagged={"v": False}, tiers=tuple(tiers)), TraversalConfig(tiers=tuple(tiers[:2]))]
+    start = spark.createDataFrame([("n00",)], "node string")
+    left, right = traverse.prepare_all(every, held, edges, configs, start, rows=len(rows), counted=False)
+    want = twin.exclusive_tiered([metrics.closure(p, every) for p in (left, right)], left, right, "v")
+    got = twin.exclusive_tiers_of(every, left, right, "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not want.isEmpty()
+
+
 def test_min_cut_of_protected_edges(spark):
     table = lambda rows: spark.createDataFrame(rows, "src string, dst string")
     one = lambda n: spark.createDataFrame([(n,)], "node string")
